@@ -4,15 +4,18 @@
    fingerprint, 512 minima cut to their low four bits and packed (256 bytes),
    and 32 band keys of four whole minima each.
 2. Documents with equal sets form a class; its smallest id represents it.
-3. In each band bucket every member is paired with the bucket's smallest
-   (linear, never all pairs). The packed signatures estimate the similarity
-   by bit counts, corrected for chance collisions; pairs five standard
-   deviations below the threshold go. The rest is verified on the full sets.
-4. Connected components of the verified links.
-5. Buckets that still hold several components are compared tile by tile: a
-   tile is two chunks of about 1024 members, a packed comparison emits only
-   pairs of different components that pass the estimate. These are verified
-   too, and the components are joined.
+3. Band buckets are compared tile by tile (two chunks of about 1024 members):
+   the packed signatures estimate the similarity by bit counts, corrected for
+   chance collisions, and pairs up to five standard deviations below the
+   threshold pass. A tile emits only a forest of its passing pairs, fewer than
+   its members; connected components of the forests are candidate groups, and
+   every passing pair lies within one group.
+4. Groups are verified tile by tile on the full sets: pairs whose estimate
+   passes are compared exactly, and a tile emits a forest of its links.
+5. Connected components of the links.
+
+So no pair table is ever made: a group's rows are dealt to as many tiles as its
+size asks for, and rows grow with a group's size only by its chunks.
 
 A link of similarity 0.75 shares a band with probability 1 - 5e-6 and passes
 the estimate with 1 - 3e-7; nothing else is dropped. Words and shingles are
@@ -42,6 +45,7 @@ BANDS, ROWS = 32, 4
 #: Estimates may err by this many standard deviations before a link could be lost.
 SIGMAS = 5.0
 TILE = 1024
+TILE_BYTES = 8 << 20
 #: Ids are broadcast up to this many (8 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 500_000
 
@@ -155,109 +159,95 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     return written(spark, label.unionByName(label.select(F.col("label").alias("node"), "label").distinct()), "labels")
 
 
-def _passing(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose estimate passes."""
-    least = cutoff(threshold)
-
-    def kernel():
-        def each(batch):
-            good = equal_share(_words64(batch.column(2)), _words64(batch.column(3))) >= least
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(good))
-
-        return each
-
-    mine = pairs.join(sigs.select(F.col("doc").alias("a"), F.col("sig").alias("s")), "a").join(sigs.select(F.col("doc").alias("b"), F.col("sig").alias("t")), "b")
-    return map_batches(mine.select("a", "b", "s", "t"), kernel, "a long, b long")
-
-
 def only(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
     """Rows of df with (or without) an id of ids (one column of that name): broadcast up to BROADCAST_IDS distinct ids, shuffled beyond."""
     few = ids.count() <= BROADCAST_IDS
     return df.join(F.broadcast(ids) if few else ids, key, how)
 
 
-def verified(spark: SparkSession, pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a Jaccard similarity of at least threshold, in exact integer terms."""
-    hundred = round(threshold * 100)
-    ids = written(spark, pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "ids")
-    texts = written(spark, only(docs.select("doc", "text"), ids, "doc"), "texts")
+def _by_tile(rows: DataFrame, kernel, schema: str) -> DataFrame:
+    """kernel(table of one tile) -> pairs, for each tile (columns g, i, j) of rows.
 
-    def kernel():
-        def each(batch):
-            n, good = batch.num_rows, []
-            for s in range(0, n, 256):
-                part = batch.slice(s, 256)
-                sides = []
-                for c in (2, 3):
-                    sets = []
-                    for t in flat.texts(part.column(c)):
-                        h, at = flat.shingle_sets(t)
-                        sets += [h[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
-                    sides.append(sets)
-                for x, y in zip(*sides, strict=True):
-                    both = len(x) + len(y) - len(np.union1d(x, y))
-                    good.append(100 * both >= hundred * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+    Rows are dealt and sorted by tile; a task holds one tile and one Arrow batch.
+    """
 
-        return each
+    def bounds(table: pa.Table) -> np.ndarray:
+        new = np.zeros(table.num_rows, bool)
+        for c in ("g", "i", "j"):
+            k = table.column(c).to_numpy()
+            new[1:] |= k[1:] != k[:-1]
+        return np.concatenate(([0], np.flatnonzero(new), [table.num_rows]))
 
-    full = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("doc").alias("b"), F.col("text").alias("y")), "b")
-    return written(spark, map_batches(full.select("a", "b", "x", "y"), kernel, "a long, b long"), "links")
+    def tiles(batches):
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rest = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            at = bounds(rest)
+            for s, e in zip(at[:-2].tolist(), at[1:-1].tolist(), strict=True):
+                yield rest.slice(s, e - s)
+            rest = rest.slice(at[-2])
+        if rest is not None:
+            yield rest
 
+    def run(batches):
+        for tile in tiles(batches):
+            if tile.num_rows > 1:
+                a, b = kernel({c: (col.chunk(0) if col.num_chunks == 1 else pa.concat_arrays(col.chunks)) for c, col in zip(tile.column_names, tile.columns, strict=True)})
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-def _tiles(rows: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of different labels within a tile whose estimate passes.
+    return rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(run, schema)
 
-    rows: tile keys (bucket, i, j), chunk, doc, label, sig; sorted by tile in
-    each partition. Two chunks of a tile are compared, or one with itself.
-    """
-    least = cutoff(threshold)
-
-    def tile(chunk: np.ndarray, doc: np.ndarray, label: np.ndarray, sig: np.ndarray, i: int, j: int):
-        left = np.flatnonzero(chunk == i)
-        right = np.flatnonzero(chunk == j)
-        for x in left.tolist():
-            other = right[(label[right] != label[x])]
-            if i == j:
-                other = other[doc[other] > doc[x]]
-            if len(other):
-                good = other[equal_share(sig[other], sig[x]) >= least]
-                if len(good):
-                    yield np.full(len(good), doc[x]), doc[good]
 
-    def run(batches):
-        rest = None
-        for batch in batches:
-            rest = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            yield from flush(rest, False)
-            key = _bounds(rest)
-            rest = rest.slice(key[-2]).combine_chunks()
-        if rest is not None and rest.num_rows:
-            yield from flush(rest, True)
-
-    def _bounds(table: pa.Table) -> np.ndarray:
-        keys = [table.column(c).to_numpy() for c in ("bucket", "i", "j")]
-        new = np.zeros(table.num_rows, bool)
-        for k in keys:
-            new[1:] |= k[1:] != k[:-1]
-        return np.concatenate(([0], np.flatnonzero(new), [table.num_rows]))
+def _chunked(members: DataFrame) -> DataFrame:
+    """Rows (g, doc, t): one row for each tile that a row of a group of t chunks takes part in."""
+    rows = members.withColumn("chunk", F.pmod(F.xxhash64("doc"), F.col("t")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("t").cast("int") - 1)))
+    return rows.select("g", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "chunk", "doc")
+
 
-    def flush(table: pa.Table, last: bool):
-        at = _bounds(table)
-        stop = len(at) - 1 if last else len(at) - 2
-        if stop <= 0:
-            return
-        cols = {c: table.column(c).to_numpy() for c in ("i", "j", "chunk", "doc", "label")}
-        sig = _words64(table.column("sig").combine_chunks() if isinstance(table.column("sig"), pa.ChunkedArray) else table.column("sig"))
-        a, b = [], []
-        for s, e in zip(at[:stop].tolist(), at[1 : stop + 1].tolist(), strict=True):
-            for x, y in tile(cols["chunk"][s:e], cols["doc"][s:e], cols["label"][s:e], sig[s:e], cols["i"][s], cols["j"][s]):
-                a.append(x)
-                b.append(y)
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+def _forest(tile: dict[str, pa.Array], threshold: float, exact: bool) -> tuple[list, list]:
+    """Pairs that join the tile's documents into the components of its similar pairs, at most one less than its documents.
 
-    return rows.mapInArrow(run, "a long, b long")
+    A pair is similar if its estimate passes and, where exact, its shingle sets
+    reach the threshold. Two chunks are compared with each other, or one with itself.
+    """
+    least, hundred = cutoff(threshold), round(threshold * 100)
+    doc, chunk, sig = tile["doc"].to_numpy(), tile["chunk"].to_numpy(), _words64(tile["sig"])
+    i, j = tile["i"][0].as_py(), tile["j"][0].as_py()
+    left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
+    part = np.arange(len(doc))
+    if exact:
+        sets = []
+        for t in flat.texts(tile["text"]):
+            h, at = flat.shingle_sets(t)
+            sets += [h[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+        size = np.array([len(x) for x in sets])
+        ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        at = np.concatenate(([0], np.cumsum(size)))
+        mark = np.zeros(int(ids.max(initial=-1)) + 1, bool)
+    a, b = [], []
+    for n, x in enumerate(left.tolist()):
+        other = right[n + 1 :] if i == j else right
+        other = other[part[other] != part[x]]
+        if not len(other):
+            continue
+        other = other[equal_share(sig[other], sig[x]) >= least]
+        if exact and len(other):
+            mark[ids[at[x] : at[x + 1]]] = True
+            counts = size[other]
+            to = np.concatenate(([0], np.cumsum(counts)))
+            both = np.concatenate(([0], np.cumsum(mark[ids[np.repeat(at[other] - to[:-1], counts) + np.arange(to[-1])]])))
+            both = both[to[1:]] - both[to[:-1]]
+            mark[ids[at[x] : at[x + 1]]] = False
+            other = other[100 * both >= hundred * (size[x] + counts - both)]
+        for y in other.tolist():
+            if part[y] != part[x]:
+                a.append(doc[x])
+                b.append(doc[y])
+                part[part == part[y]] = part[x]
+    return a, b
 
 
 def classes(spark: SparkSession, docs: DataFrame, threshold: float = 0.75, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -272,25 +262,22 @@ def classes(spark: SparkSession, docs: DataFrame, threshold: float = 0.75, key:
     reps = base.join(same.select(F.col("rep").alias("doc")), "doc").select("doc", "sig", "bands")
     reps = written(spark, reps, "reps")
     rows = reps.select("doc", F.explode("bands").alias("bucket"))
-    buckets = written(spark, rows.groupBy("bucket").agg(F.min("doc").alias("head"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    member = written(spark, rows.join(buckets, "bucket").select("bucket", "doc", "head", "n"), "members")
-    stars = member.where("doc != head").select(F.col("head").alias("a"), F.col("doc").alias("b")).distinct()
-    links = verified(spark, written(spark, _passing(stars, reps, threshold), "stars"), docs, threshold)
+    buckets = written(spark, rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    member = rows.join(buckets, "bucket").select(F.col("bucket").alias("g"), "doc", F.ceil(F.col("n") / TILE).alias("t"))
+    tiles = _chunked(member).join(reps.select("doc", "sig"), "doc")
+    near = written(spark, _by_tile(tiles, lambda tile: _forest(tile, threshold, False), "a long, b long"), "near")
+    group = components(spark, near)
+    # The groups' documents, with whole texts, are verified tile by tile.
+    ids = written(spark, group.select(F.col("node").alias("doc"), F.col("label").alias("g")), "ids")
+    texts = written(spark, only(docs, ids.select("doc"), "doc").join(ids, "doc").join(reps.select("doc", "sig"), "doc"), "texts")
+    sizes = texts.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum(F.octet_length("text")) / TILE_BYTES)).alias("t"))
+    full = _chunked(texts.select("g", "doc").join(sizes, "g")).join(texts.select("doc", "sig", "text"), "doc")
+    links = written(spark, _by_tile(full, lambda tile: _forest(tile, threshold, True), "a long, b long"), "links")
     label = components(spark, links)
 
     def labelled(rows: DataFrame, of: DataFrame) -> DataFrame:
         return rows.join(of.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
 
-    member = written(spark, labelled(member.select("bucket", "doc", "n"), label), "members")
-    open_ = member.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("bucket")
-    left = member.join(open_, "bucket").withColumn("t", F.ceil(F.col("n") / TILE).cast("int"))
-    left = left.withColumn("chunk", F.pmod(F.xxhash64("doc"), F.col("t")).cast("int"))
-    left = left.select("bucket", "chunk", "doc", "label", F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("o")).join(reps.select("doc", "sig"), "doc")
-    left = left.select("bucket", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "chunk", "doc", "label", "sig")
-    left = left.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    late = written(spark, _tiles(left, threshold), "tiles").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = verified(spark, written(spark, late, "late"), docs, threshold)
-    label = components(spark, links.unionByName(more))
     rep_of = labelled(same.withColumnRenamed("rep", "doc"), label).select("k1", "k2", "label")
     out = base.select("doc", "n_shingles", "k1", "k2").join(rep_of, ["k1", "k2"], "left")
     if repeats:
