@@ -78,13 +78,14 @@ def modularity(edges: DataFrame, membership: DataFrame) -> DataFrame:
 
 
 def quality(edges: DataFrame, membership: DataFrame) -> DataFrame:
-    """Separation of inner and outer mean weights, less for uneven sizes, more for several communities."""
+    """Separation of inner and outer mean weights, less for uneven sizes, more for several communities; -1 without both kinds of pairs."""
     a = membership.select(F.col("node").alias("src"), F.col("community").alias("a"))
     b = membership.select(F.col("node").alias("dst"), F.col("community").alias("b"))
     means = edges.join(a, "src").join(b, "dst").agg(F.avg(F.when(F.col("a") == F.col("b"), F.col("weight"))).alias("inner"), F.avg(F.when(F.col("a") != F.col("b"), F.col("weight"))).alias("outer"))
-    sizes = membership.groupBy("community").agg(F.count("*").alias("n")).agg(F.count("*").alias("k"), F.coalesce(F.try_divide(F.stddev_pop("n"), F.avg("n")), F.lit(0.0)).alias("spread"))
-    gap = F.coalesce("inner", F.lit(0.0)) - F.coalesce("outer", F.lit(0.0))
-    return means.crossJoin(F.broadcast(sizes)).select("k", (gap * (1 - 0.3 * F.least(F.col("spread"), F.lit(1.0))) * (1 + 0.2 * F.least(F.col("k") / 5, F.lit(1.0)))).alias("quality"))
+    sizes = membership.groupBy("community").agg(F.count("*").alias("n")).agg(F.count("*").alias("k"), F.var_pop("n").alias("spread"), F.avg("n").alias("mean"))
+    penalty = F.least(F.lit(1.0), F.col("spread") / (F.col("mean") * F.col("mean")))
+    score = (F.col("inner") - F.col("outer")) / F.greatest(F.col("inner") + F.col("outer"), F.lit(0.001)) * (1 - 0.3 * penalty) * (1 + 0.2 * F.least(F.lit(1.0), F.col("k") / 5))
+    return means.crossJoin(F.broadcast(sizes)).select("k", F.coalesce(score, F.lit(-1.0)).alias("quality"))
 
 
 # --- one dense matrix -----------------------------------------------------------------------------

@@ -29,19 +29,28 @@ def feature_stats(scored: DataFrame, features: Sequence[str]) -> DataFrame:
     return out.withColumns({"diversity_level": _label(F.col("similarity_mean"), DIVERSITY, "very_high"), "complementarity_potential": _label(F.col("complementarity_mean"), POTENTIAL, "limited"), "homogeneity_score": F.col("similarity_mean") * (1 - F.col("similarity_variance"))})
 
 
+# Advice and the phrases of the context text.
+ADVICE = ("reduce_both_weights", "emphasize_complementarity", "balanced_or_emphasize_complementarity", "emphasize_similarity", "balanced_weights")
+HOMOGENEITY = ((0.7, "very homogeneous"), (0.5, "moderately homogeneous"), (0.3, "diverse"))
+MATCHING = ((0.7, "excellent matching opportunities"), (0.5, "good matching potential"), (0.3, "limited matching opportunities"))
+GUIDANCE = (" - lower both weights since diversity is already maximized", " - increase complementarity weights to add diversity")
+
+
 def recommendation(stats: DataFrame) -> DataFrame:
-    """Which of the two matrices of a feature to weigh more."""
-    s, c = F.col("similarity_mean"), F.col("complementarity_mean")
-    advice = F.when((s > 0.7) & (c > 0.5), "favor_complementarity").when((s < 0.3) & (c < 0.3), "balanced").when(c > s + 0.2, "increase_complementarity").when(s > c + 0.2, "increase_similarity").otherwise("balanced")
+    """Which weights of a feature to move, by its two labels."""
+    alike, apart = F.col("diversity_level").isin("very_low", "low"), F.col("diversity_level").isin("high", "very_high")
+    fits = F.col("complementarity_potential").isin("excellent", "good")
+    advice = F.when(alike & ~fits, ADVICE[0]).when(alike, ADVICE[1]).when(apart & fits, ADVICE[2]).when(apart, ADVICE[3]).otherwise(ADVICE[4])
     return stats.select("feature", advice.alias("recommendation"))
 
 
 def context(stats: DataFrame) -> DataFrame:
     """One text over all features, in order of name."""
-    level = lambda x, what: F.when(x > 0.7, f"high {what}").when(x > 0.5, f"moderate {what}").when(x > 0.3, f"low {what}").otherwise(f"minimal {what}")
-    phrase = F.concat("feature", F.lit(": "), level(F.col("similarity_mean"), "similarity"), F.lit(", "), level(F.col("complementarity_mean"), "complementarity"))
-    phrase = F.concat(phrase, F.when((F.col("similarity_mean") > 0.7) & (F.col("complementarity_mean") > 0.5), ", diversify").when((F.col("similarity_mean") < 0.3) & (F.col("complementarity_mean") < 0.3), ", keep balanced").otherwise(""))
-    return stats.select("feature", phrase.alias("p")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("feature", "p"))), lambda x: x["p"]), "; ").alias("context"))
+    s, c = F.col("similarity_mean"), F.col("complementarity_mean")
+    hint = F.when((s < 0.3) & (c > 0.7), GUIDANCE[0]).when((s > 0.7) & (c < 0.3), GUIDANCE[1]).otherwise("")
+    phrase = F.concat("feature", F.lit(": "), _label(s, HOMOGENEITY, "extremely diverse"), F.lit(", "), _label(c, MATCHING, "very limited matching opportunities"), hint)
+    texts = stats.select("feature", phrase.alias("p")).agg(F.array_sort(F.collect_list(F.struct("feature", "p"))).alias("all"))
+    return texts.select(F.concat(F.lit("Dataset characteristics: "), F.array_join(F.col("all.p"), "; ")).alias("context"))
 
 
 def tfidf(docs: DataFrame, key: str, text: str, terms: int = 100, stop_words: Sequence[str] = ()) -> DataFrame:
