@@ -8,6 +8,7 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FENCE = re.compile(r"```(?:json)?\s*(.*?)```", re.S)
 LINE = re.compile(r"^\W*(.+?)\W*[:=]\s*([01](?:\.\d+)?)\W*$")
@@ -60,7 +61,7 @@ def batch(reply: str, targets: Sequence[str], names: Sequence[str], default: flo
     return out
 
 
-@F.pandas_udf("map<string,double>")
+@F.pandas_udf(T.MapType(T.StringType(), T.DoubleType()))
 def parsed_scores(reply: pd.Series, names: pd.Series) -> pd.Series:
     """single() over columns (reply, array of names)."""
     return pd.Series([single(r or "", list(n)) for r, n in zip(reply, names, strict=True)])
