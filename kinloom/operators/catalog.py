@@ -22,7 +22,7 @@ def job_state(events: DataFrame) -> DataFrame:
     last = F.max(F.struct("at", "seq", "status", "progress"))
     out = events.groupBy("job_id").agg(last.alias("last"), F.min("at").alias("created_at"), F.min(F.when(F.col("status") == "running", F.col("at"))).alias("started_at"), F.max(F.when(done, F.col("at"))).alias("finished_at"))
     finished = F.when(F.col("last.status").isin(*FINISHED), F.col("finished_at"))
-    return out.select("job_id", F.col("last.status").alias("status"), F.col("last.progress").alias("progress"), F.col("last.at").alias("updated_at"), "created_at", "started_at", finished.alias("completed_at"), ((F.unix_micros(finished) - F.unix_micros("started_at")) / 1e6).alias("duration"))
+    return out.select("job_id", F.col("last.status").alias("status"), F.col("last.progress").alias("progress"), F.col("last.at").alias("updated_at"), "created_at", "started_at", finished.alias("completed_at"), ((F.unix_micros(finished.cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))) / 1e6).alias("duration"))
 
 
 def active(jobs: DataFrame) -> DataFrame:

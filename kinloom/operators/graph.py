@@ -105,7 +105,7 @@ def on_matrix(edges: DataFrame, kernel, schema: str, most: int = 10_000) -> Data
     n = edges.select(F.explode(F.array("src", "dst")).alias("n")).agg(F.approx_count_distinct("n")).first()[0]
     if n > most * 1.1:
         raise ValueError(f"about {n} nodes; the dense kernel takes {most}: use the batch form")
-    return edges.groupBy(F.lit(1)).applyInPandas(lambda pdf: kernel(*dense(pdf)), schema)
+    return edges.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(lambda pdf: kernel(*dense(pdf)), schema)
 
 
 def peel_order(w: np.ndarray) -> list[tuple[int, float, float]]:

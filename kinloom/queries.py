@@ -138,8 +138,8 @@ _VECS = f"{_P}, vecs AS (" + " UNION ALL ".join(f"SELECT person_id, '{f}' AS fea
 _MEM = ", m AS (SELECT person_id AS node, label AS community FROM p)"
 _LABELS = _EDGES + ", lg AS (SELECT least(a.label, b.label)::BIGINT AS src, greatest(a.label, b.label)::BIGINT AS dst, avg(weight) AS weight FROM edges e JOIN p a ON a.person_id = e.src JOIN p b ON b.person_id = e.dst WHERE a.label <> b.label GROUP BY ALL)"
 _TAGS = "tags AS (SELECT p_partkey AS person_id, 'f' || (p_size % 3) AS feature, unnest(list_filter(string_split(p_name, ' '), lambda x: x <> '')) AS tag FROM part)"
-_JOBEV = "ev AS (SELECT user_id || '-' || (event_id % 2) AS job_id, user_id::VARCHAR AS user_id, CASE event_type WHEN 'click' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'purchase' THEN 'completed' WHEN 'signup' THEN 'failed' WHEN 'logout' THEN 'cancelled' ELSE 'pending' END AS status, value AS progress, ts AS at, event_id AS seq FROM events)"
-_JOBS = f"{_JOBEV}, jobs AS (SELECT job_id, min(user_id) AS user_id, arg_max(status, (at, seq)) AS status, arg_max(progress, (at, seq)) AS progress, max(at) AS updated_at, min(at) AS created_at, min(at) FILTER (status = 'running') AS started_at, CASE WHEN arg_max(status, (at, seq)) IN ('completed', 'failed', 'cancelled') THEN max(at) FILTER (status IN ('completed', 'failed', 'cancelled')) END AS completed_at FROM ev GROUP BY job_id), job AS (SELECT *, (epoch_us(completed_at) - epoch_us(started_at)) / 1e6 AS duration FROM jobs)"
+_JOBEV = "ev AS (SELECT user_id || '-' || (event_id % 2) AS job_id, user_id::VARCHAR AS user_id, CASE event_type WHEN 'click' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'purchase' THEN 'completed' WHEN 'signup' THEN 'failed' WHEN 'logout' THEN 'cancelled' ELSE 'pending' END AS status, value AS progress, ts AS tm, event_id AS seq FROM events)"
+_JOBS = f"{_JOBEV}, jobs AS (SELECT job_id, min(user_id) AS user_id, arg_max(status, (tm, seq)) AS status, arg_max(progress, (tm, seq)) AS progress, max(tm) AS updated_at, min(tm) AS created_at, min(tm) FILTER (status = 'running') AS started_at, CASE WHEN arg_max(status, (tm, seq)) IN ('completed', 'failed', 'cancelled') THEN max(tm) FILTER (status IN ('completed', 'failed', 'cancelled')) END AS completed_at FROM ev GROUP BY job_id), job AS (SELECT *, (epoch_us(completed_at) - epoch_us(started_at)) / 1e6 AS duration FROM jobs)"
 
 
 def _r(*names: str) -> list:
@@ -261,9 +261,6 @@ def profile_cross_scores(spark, d):
     return pairs.cross_scores(own)
 
 
-_PM = ", ".join(f"l_{c}" for c in ("discount", "tax"))
-
-
 @query("SELECT l_orderkey, l_linenumber, round(exp(5e-1 * ln(greatest(least(l_discount, 1e0), 1e-9)) + 5e-1 * ln(greatest(least(l_tax, 1e0), 1e-9))), 8) AS mean FROM lineitem")
 def power_mean_geom(spark, d):
     v = {"a": F.col("l_discount"), "b": F.col("l_tax")}
@@ -376,7 +373,7 @@ def dense_subgraph(spark, d):
 
 @query()
 def batch_peeling(spark, d):
-    return graph.batch_peeling(_edges(spark, d), 0.55)
+    return graph.batch_peeling(_edges(spark, d), 0.35)
 
 
 @query()
@@ -416,7 +413,7 @@ def greedy_cycle(spark, d):
     return layout.cycle(_edges(spark, d))
 
 
-@query(f"WITH RECURSIVE {_LABELS}, mm AS (SELECT min(weight) AS lo, max(weight) AS hi FROM lg), dd AS (SELECT src, dst, 2 - 19e-1 * (weight - lo) / (hi - lo) AS d FROM lg, mm), a AS (SELECT src AS x, dst AS y, d FROM dd UNION ALL SELECT dst, src, d FROM dd), r(x, y, d, n) AS (SELECT x, y, d, 1 FROM a UNION ALL SELECT r.x, a.y, r.d + a.d, n + 1 FROM r JOIN a ON a.x = r.y WHERE n < 4 AND r.x <> a.y) SELECT x AS src, y AS dst, round(min(d), 8) AS distance FROM r WHERE x < y GROUP BY x, y")
+@query(f"WITH RECURSIVE {_LABELS}, lim AS (SELECT min(weight) AS lo, max(weight) AS hi FROM lg), dd AS (SELECT src, dst, 2 - 19e-1 * (weight - lo) / (hi - lo) AS d FROM lg, lim), a AS (SELECT src AS x, dst AS y, d FROM dd UNION ALL SELECT dst, src, d FROM dd), r(x, y, d, n) AS (SELECT x, y, d, 1 FROM a UNION ALL SELECT r.x, a.y, r.d + a.d, n + 1 FROM r JOIN a ON a.x = r.y WHERE n < 4 AND r.x <> a.y) SELECT x AS src, y AS dst, round(min(d), 8) AS distance FROM r WHERE x < y GROUP BY x, y")
 def shortest_paths(spark, d):
     return layout.shortest_paths(_label_graph(spark, d)).select("src", "dst", *_r("distance"))
 
