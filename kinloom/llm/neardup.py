@@ -73,9 +73,9 @@ def minima(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def packed(mins: np.ndarray) -> np.ndarray:
-    """The low bits of the minima, sixteen to a 64-bit word."""
+    """The low bits of the (mixed) minima, sixteen to a 64-bit word."""
     per = 64 // LOW_BITS
-    low = ((mins >> np.uint64(60)) & np.uint64((1 << LOW_BITS) - 1)).reshape(len(mins), MINIMA // per, per)
+    low = (flat.mix(mins) & np.uint64((1 << LOW_BITS) - 1)).reshape(len(mins), MINIMA // per, per)
     return np.bitwise_or.reduce(low << (np.arange(per, dtype=np.uint64) * np.uint64(LOW_BITS)), axis=2)
 
 
