@@ -113,7 +113,7 @@ def peel_order(w: np.ndarray) -> list[tuple[int, float, float]]:
     alive, degree, out = np.ones(len(w), bool), w.sum(axis=1), []
     for n in range(len(w), 0, -1):
         total = degree[alive].sum() / 2
-        x = int(np.where(alive, degree, np.inf).argmin())
+        x = int(np.where(alive, np.round(degree, 9), np.inf).argmin())  # equal up to rounding: the lower index
         out.append((x, float(degree[x]), total / (n * (n - 1) / 2) if n > 1 else 0.0))
         alive[x] = False
         degree = np.where(alive, degree - w[x], 0.0)
