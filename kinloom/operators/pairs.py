@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinloom.functions.scoring import edge_weight
+from kinloom.functions.scoring import blended, means
 from kinloom.schema import COMPLEMENTARITY_WEIGHTS, SIMILARITY_WEIGHTS, Settings
 
 BLOCK = 256
@@ -94,8 +94,8 @@ def cross_scores(profiles: DataFrame) -> DataFrame:
 
 def edges(scored: DataFrame, features: Sequence[str], w_s: dict[str, float] | None = None, w_c: dict[str, float] | None = None, settings: Settings = Settings()) -> DataFrame:
     """(src, dst, weight) from pairs with normalised similarities <feature> and raw complementarities c_<feature>."""
-    weight = edge_weight({f: F.col(f) for f in features}, {f: F.col(f"c_{f}") for f in features}, w_s or SIMILARITY_WEIGHTS, w_c or COMPLEMENTARITY_WEIGHTS, settings)
-    return scored.select(F.col("i").alias("src"), F.col("j").alias("dst"), weight.alias("weight"))
+    a, b = means({f: F.col(f) for f in features}, {f: F.col(f"c_{f}") for f in features}, w_s or SIMILARITY_WEIGHTS, w_c or COMPLEMENTARITY_WEIGHTS, settings)
+    return scored.select("i", "j", a.alias("_a"), b.alias("_b")).select(F.col("i").alias("src"), F.col("j").alias("dst"), blended(F.col("_a"), F.col("_b"), settings).alias("weight"))
 
 
 def jaccard(tags: DataFrame, key: str, column: str) -> DataFrame:
