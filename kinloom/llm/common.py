@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows that a kernel holds a second copy of at once.
+SLICE = 1024
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -53,6 +57,7 @@ def map_batches(df: DataFrame, kernel: Callable[[], Callable[[pa.RecordBatch], I
         for batch in batches:
             if batch.num_rows:
                 yield from each(batch)
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
@@ -63,7 +68,9 @@ def filter_rows(df: DataFrame, column: str, kernel: Callable[[], Callable[[pa.Ar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = kernel()
         for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(keep(batch.column(batch.schema.get_field_index(column))), pa.bool_()))
+            for s in range(0, batch.num_rows, SLICE):
+                part = batch.slice(s, SLICE)
+                yield part.filter(pa.array(keep(part.column(part.schema.get_field_index(column))), pa.bool_()))
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, df.schema)

@@ -35,6 +35,8 @@ MARK = "▁".encode()
 ZIPF_OFFSET = 2.7
 BYTE_PENALTY = 10.0
 NONE = -1e18
+#: Bytes of text encoded at once; the recursion holds about a hundred bytes for each byte of a distinct segment.
+CHUNK = 1 << 19
 
 
 def piece_scores(ranks: np.ndarray) -> np.ndarray:
@@ -292,7 +294,7 @@ def encoded(df: DataFrame, v: Vocabulary, keep: list[str], text: str = "text") -
         is_byte[own.byte_ids] = True
 
         def each(batch):
-            for t in flat.texts(batch.column(len(keep))):
+            for t in flat.texts(batch.column(len(keep)), CHUNK):
                 ids, at = encode(own, t)
                 back, bounds = decode(ids, at)
                 same = np.diff(bounds) == np.diff(t.offs)
