@@ -209,7 +209,44 @@ def viterbi(v: Vocabulary, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray
     return out, np.concatenate(([0], np.cumsum(np.bincount(who, weights=many, minlength=n).astype(np.int64))))
 
 
-def encode(v: Vocabulary, t: flat.Texts) -> tuple[np.ndarray, np.ndarray]:
+#: Encoded segments that a task keeps for later chunks.
+HELD_SEGMENTS = 1 << 17
+
+
+def _gathered(values: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists values[at[r]:at[r+1]] of the given rows, one after another, and their bounds."""
+    counts = at[rows + 1] - at[rows]
+    to = np.concatenate(([0], np.cumsum(counts)))
+    return values[np.repeat(at[rows] - to[:-1], counts) + np.arange(to[-1])], to
+
+
+class Held:
+    """Ids of segments by hash: the first HELD_SEGMENTS distinct ones of a task, so that common words are walked once."""
+
+    def __init__(self):
+        self.keys, self.ids, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def encode(self, hashes: np.ndarray, walk) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and bounds for sorted distinct hashes; walk(rows) encodes those that aren't held."""
+        place = np.searchsorted(self.keys, hashes)
+        known = place < len(self.keys)
+        known[known] = self.keys[place[known]] == hashes[known]
+        new = np.flatnonzero(~known)
+        ids, at = walk(new)
+        row = np.empty(len(hashes), np.int64)
+        row[known] = place[known]
+        row[new] = len(self.keys) + np.arange(len(new))
+        values, bounds = np.concatenate((self.ids, ids)), np.concatenate((self.at, self.at[-1] + at[1:]))
+        out = _gathered(values, bounds, row)
+        if len(new) and len(self.keys) < HELD_SEGMENTS:
+            keys = np.concatenate((self.keys, hashes[new]))
+            order = np.argsort(keys, kind="stable")
+            self.keys = keys[order]
+            self.ids, self.at = _gathered(values, bounds, order)
+        return out
+
+
+def encode(v: Vocabulary, t: flat.Texts, held: Held | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts of a chunk in a row, and their bounds."""
     rows, sizes = len(t), np.diff(t.offs)
     # Text as bytes with markers: one before each non-empty text, three bytes for each space.
@@ -237,11 +274,15 @@ def encode(v: Vocabulary, t: flat.Texts) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(head)
     ends = np.append(starts[1:], len(data))
     hashes = _raw_hash(data, starts, ends)
-    _, one, which = np.unique(hashes, return_index=True, return_inverse=True)
-    size = (ends - starts)[one]
-    seg_at = np.concatenate(([0], np.cumsum(size)))
-    source = np.repeat(starts[one] - seg_at[:-1], size) + np.arange(seg_at[-1])
-    ids, ids_at = viterbi(v, data[source], seg_at)
+    distinct, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+
+    def walk(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        begin = starts[one[rows]]
+        size = ends[one[rows]] - begin
+        seg_at = np.concatenate(([0], np.cumsum(size)))
+        return viterbi(v, data[np.repeat(begin - seg_at[:-1], size) + np.arange(seg_at[-1])], seg_at)
+
+    ids, ids_at = (held or Held()).encode(distinct, walk)
     counts = np.diff(ids_at)[which]
     out_at = np.concatenate(([0], np.cumsum(counts)))
     out = ids[np.repeat(ids_at[:-1][which] - out_at[:-1], counts) + np.arange(out_at[-1])]
@@ -289,13 +330,13 @@ def encoded(df: DataFrame, v: Vocabulary, keep: list[str], text: str = "text") -
 
     def kernel():
         own = shared.value
-        decode = Decoder(own)
+        decode, held = Decoder(own), Held()
         is_byte = np.zeros(max(own.bytes_of, default=0) + 1, bool)
         is_byte[own.byte_ids] = True
 
         def each(batch):
             for t in flat.texts(batch.column(len(keep)), CHUNK):
-                ids, at = encode(own, t)
+                ids, at = encode(own, t, held)
                 back, bounds = decode(ids, at)
                 same = np.diff(bounds) == np.diff(t.offs)
                 differs = np.ones(len(t), bool)

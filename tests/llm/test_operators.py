@@ -460,9 +460,11 @@ def brute_pieces(v, text):
 def test_pieces_are_the_best_paths_and_decode_back():
     v, r = pieces.load(), random.Random(6)
     texts = ["hello world", "  two  spaces \n tab\t x", "", "日本語 und äöü ß 🎉🎉", "a", " lead", "trail ", " ", "x" * 300] + ["".join(r.choice(["the ", "Größe", "naïve", "12345", "; ", "  ", "é", "🎈", "\r\n", "ing"]) for _ in range(r.randrange(30))) for _ in range(40)]
-    decode = pieces.Decoder(v)
+    decode, held = pieces.Decoder(v), pieces.Held()
     for t in flat.texts(pa.array(texts), 200):
-        ids, at = pieces.encode(v, t)
+        ids, at = pieces.encode(v, t, held)
+        alone = pieces.encode(v, t)
+        assert np.array_equal(ids, alone[0]) and np.array_equal(at, alone[1])
         data, bounds = decode(ids, at)
         for k in range(len(t)):
             text = texts[t.first + k]
