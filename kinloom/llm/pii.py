@@ -21,8 +21,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,8 @@ from kinloom.llm.common import map_batches
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: A match can only begin where a run of digits does, and no part gives digits back; saying so keeps long runs linear.
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 Span = tuple[str, int, int]
@@ -87,6 +90,8 @@ HIDDEN = 20
 SYMBOLS = 100  # 0: nothing; 1-95: printable ASCII; 96-99: other letters, digits, spaces, rest
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
 TRIGGER = re.compile(r"[0-9@]")
+#: Windows decoded at once.
+DECODED = 1024
 
 
 def symbols(text: str) -> np.ndarray:
@@ -326,49 +331,74 @@ def plausible(kind: str, value: str) -> bool:
     return 7 <= n <= 15 and re.fullmatch(r"[+(0-9][0-9 ().-]+[0-9]", value) is not None and not value.isdigit()
 
 
-def detect(tagger: Tagger, texts: list[str]) -> list[tuple[list[Span], list[Span]]]:
-    """For each text the spans found by pattern, and those with the tagger's."""
-    base = [patterns(t) if TRIGGER.search(t) else [] for t in texts]
-    windows, rows = [], []
-    for r, t in enumerate(texts):
-        for s, e in stretches(t):
-            starts = range(s, max(s + 1, e - WINDOW + STRIDE), STRIDE)
-            for w in starts:
-                windows.append((r, w, min(w + WINDOW, len(t))))
-                rows.append(np.pad(x := symbols(t[w : windows[-1][2]]), (0, WINDOW - len(x))))
-    tags: dict[int, dict[int, tuple[int, int]]] = {}
-    for s in range(0, len(rows), 1024):
-        for (r, w, stop), found in zip(windows[s : s + 1024], tagger.decode(np.array(rows[s : s + 1024])), strict=True):
-            own = tags.setdefault(r, {})
-            size = stop - w
-            for i in range(size):
-                margin = min(i if w else WINDOW, size - 1 - i if stop < len(texts[r]) else WINDOW)
-                if w + i not in own or margin > own[w + i][0]:
-                    own[w + i] = (margin, int(found[i]))
-    out = []
-    for r, t in enumerate(texts):
-        spans = list(base[r])
-        taken = [(s, e) for _, s, e in spans]
-        for kind, s, e in _spans(tags.get(r, {})):
-            if plausible(kind, t[s:e]) and not any(s < y and x < e for x, y in taken):
-                spans.append((kind, s, e))
-        out.append((base[r], sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))))
-    return out
+def windows(text: str) -> Iterator[tuple[int, int]]:
+    """The overlapping windows (start, end) of a text's stretches."""
+    for s, e in stretches(text):
+        for w in range(s, max(s + 1, e - WINDOW + STRIDE), STRIDE):
+            yield w, min(w + WINDOW, len(text))
+
+
+class Reconciled:
+    """The tags of one text: each character takes its tag from the window whose edges are farthest from it (two bytes a character)."""
+
+    def __init__(self, text: str):
+        self.length = len(text)
+        self.tags, self.margin = np.zeros(len(text), np.int8), np.full(len(text), -1, np.int8)
+
+    def add(self, start: int, stop: int, found: np.ndarray) -> None:
+        size = stop - start
+        left = np.arange(size) if start else np.full(size, WINDOW)
+        right = np.arange(size - 1, -1, -1) if stop < self.length else np.full(size, WINDOW)
+        margin = np.minimum(left, right)
+        farther = np.flatnonzero(margin > self.margin[start:stop])
+        self.margin[start + farther] = margin[farther]
+        self.tags[start + farther] = found[farther]
+
+    def spans(self) -> list[Span]:
+        """B or a changed kind begins a span."""
+        out: list[list] = []
+        for at in np.flatnonzero(self.tags).tolist():
+            tag = int(self.tags[at])
+            kind = KINDS[(tag - 1) // 2]
+            if out and out[-1][2] == at and out[-1][0] == kind and tag % 2 == 0:
+                out[-1][2] = at + 1
+            else:
+                out.append([kind, at, at + 1])
+        return [tuple(x) for x in out]
 
 
-def _spans(tags: dict[int, tuple[int, int]]) -> list[Span]:
-    """Spans of the reconciled tags: B or a changed kind begins one."""
-    out: list[list] = []
-    for at in sorted(tags):
-        tag = tags[at][1]
-        if not tag:
-            continue
-        kind = KINDS[(tag - 1) // 2]
-        if out and out[-1][2] == at and out[-1][0] == kind and tag % 2 == 0:
-            out[-1][2] = at + 1
-        else:
-            out.append([kind, at, at + 1])
-    return [tuple(x) for x in out]
+def detect(tagger: Tagger, texts: list[str]) -> list[tuple[list[Span], list[Span]]]:
+    """For each text the spans found by pattern, and those with the tagger's.
+
+    Windows of neighbouring texts are decoded DECODED at a time; only texts
+    that have windows among those hold tags.
+    """
+    out: list[tuple[list[Span], list[Span]]] = [([], [])] * len(texts)
+    open_texts: dict[int, Reconciled] = {}
+
+    def close(upto: int) -> None:
+        for r in [r for r in open_texts if r < upto]:
+            t, base = texts[r], patterns(texts[r])
+            spans, taken = list(base), np.zeros(len(t), bool)
+            for _, s, e in base:
+                taken[s:e] = True
+            for kind, s, e in open_texts.pop(r).spans():
+                if plausible(kind, t[s:e]) and not taken[s:e].any():
+                    spans.append((kind, s, e))
+            out[r] = base, sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
+
+    every = ((r, w, stop) for r, t in enumerate(texts) for w, stop in windows(t))
+    while some := list(islice(every, DECODED)):
+        rows = np.zeros((len(some), WINDOW), np.int64)
+        for k, (r, w, stop) in enumerate(some):
+            rows[k, : stop - w] = symbols(texts[r][w:stop])
+        for (r, w, stop), found in zip(some, tagger.decode(rows), strict=True):
+            if r not in open_texts:
+                open_texts[r] = Reconciled(texts[r])
+            open_texts[r].add(w, stop, found)
+        close(some[-1][0])
+    close(len(texts))
+    return out
 
 
 def joined(spans: list[Span]) -> str:
