@@ -48,6 +48,10 @@ TILE = 1024
 TILE_BYTES = 8 << 20
 #: Ids are broadcast up to this many (8 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 500_000
+#: In the search for components a node with more rows than this, and than one MAX_HUBS-th of all, is a hub: its rows are dealt over several tasks.
+HUB_ROWS = 1024
+#: So there are at most this many hubs, whatever the input (16 bytes each when broadcast).
+MAX_HUBS = 100_000
 
 _A = flat.seeds(MINIMA, 31) | np.uint64(1)
 _B = flat.seeds(MINIMA, 32)
@@ -134,27 +138,43 @@ def sketches(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("doc", "text"), kernel, "doc long, n_shingles long, k1 long, k2 long, sig binary, bands array<long>")
 
 
+def _with_least(spark: SparkSession, rows: DataFrame, least: DataFrame, n: int) -> DataFrame:
+    """Rows (u, v), at most n, joined with least (w, m; one row for each w) on u = w.
+
+    A hub's rows are dealt by v and its one row of least is copied to each deal.
+    """
+    limit = max(HUB_ROWS, n // MAX_HUBS)
+    hubs = rows.groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") > limit).select(F.col("u").alias("hub"), F.ceil(F.col("n") / limit).cast("long").alias("deals"))
+    hubs = written(spark, hubs, "hubs")
+    if hubs.isEmpty():
+        return rows.join(least, F.col("u") == F.col("w"))
+    dealt = rows.join(F.broadcast(hubs), F.col("u") == F.col("hub"), "left").select("u", "v", F.coalesce(F.pmod(F.xxhash64("v"), F.col("deals")), F.lit(0)).alias("deal"))
+    copies = least.join(F.broadcast(hubs), F.col("w") == F.col("hub"), "left").select("w", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("deals", F.lit(1)) - 1)).alias("copy"))
+    return dealt.join(copies, (F.col("u") == F.col("w")) & (F.col("deal") == F.col("copy"))).select("u", "v", "w", "m")
+
+
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node reachable over undirected edges (a, b).
 
     Alternating large-star and small-star steps (Kiveris et al., 2014) as
-    aggregates and joins; hub nodes are pre-aggregated and their join can be
+    aggregates and joins; hub nodes are pre-aggregated and their joins are
     split, no neighbour list is ever gathered.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
     e = written(spark, e, "edges")
-    state = None
+    state, n = None, e.count()
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least.withColumnRenamed("u", "w"), F.col("u") == F.col("w")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct()
+        large = _with_least(spark, both.where("v > u"), low, n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = written(spark, large, "edges")
+        least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
+        small = _with_least(spark, large, least, n).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct()
         e = written(spark, small, "edges")
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             break
-        state = now
+        state, n = now, now[0]
     label = e.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label")
     return written(spark, label.unionByName(label.select(F.col("label").alias("node"), "label").distinct()), "labels")
 
