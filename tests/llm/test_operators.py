@@ -203,6 +203,19 @@ def test_neardup_groups_in_many_tiles(spark, monkeypatch):
     assert got == at
 
 
+def test_components_with_hubs_dealt(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HUB_ROWS", 8)
+    r = random.Random(3)
+    pairs = [(7, 100 + i) for i in range(60)] + [(900, 300 + i) for i in range(60)] + [(900, 1200 + i) for i in range(30)] + [(1201, 1300), (3, 1300)] + [(r.randrange(2000, 2100), r.randrange(2000, 2100)) for _ in range(70)]
+    label = {x: x for p in pairs for x in p}
+    for _ in label:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    alone = {x for x in label if not any(x in p and p[0] != p[1] for p in pairs)}
+    found = neardup.components(spark, spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert sorted((x["node"], x["label"]) for x in found) == sorted((k, v) for k, v in label.items() if k not in alone)
+
+
 def test_neardup_edges(spark, odd):
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in neardup.classes(spark, odd).collect())
     assert [x[2] for x in got if x[0] in (1, 2, 3)] == [1, 1, 1, 1]
@@ -344,6 +357,24 @@ def test_pii_patterns_on_random_strings():
         assert pii.patterns(text) == plain_pii(text), text
 
 
+def test_pii_long_runs_are_linear():
+    run = "9" * 300_000
+    assert pii.patterns(run) == []
+    assert pii.patterns(f"{run}.1.2.3 10.0.0.1") == [("ip", len(run) + 7, len(run) + 15)]
+    assert [(k, s) for k, s, _ in pii.patterns("1.2.3.4.5.6.7.8")] == [("ip", 0), ("ip", 8)]
+
+
+def test_pii_decoding_does_not_depend_on_blocks(monkeypatch):
+    tagger = pii.Tagger.fresh(3)  # untrained: its tags change at every window
+    texts = ["", "no digits here", "call 555-123-4567 " * 40, "a@b.co", "1" * 500, "x" * 400 + " 1.2.3.4"]
+    monkeypatch.setattr(pii, "plausible", lambda kind, value: True)
+    whole = pii.detect(tagger, texts)
+    monkeypatch.setattr(pii, "DECODED", 3)
+    assert pii.detect(tagger, texts) == whole
+    assert [x[0] for x in whole] == [pii.patterns(t) for t in texts]
+    assert any(len(spans) > len(base) for base, spans in whole)
+
+
 def test_pii_query_and_tagger(spark, sf, odd):
     for r in queries.op7_pii(spark, sf).join(table(spark, sf, "documents"), "doc_id").collect():
         base = plain_pii(r.text)
