@@ -386,7 +386,9 @@ def test_pii_query_and_tagger(spark, sf, odd):
         text = text[: pii.WINDOW]
         want = {s for s in spans if s[2] <= 90}
         tags = tagger.decode(np.array([pii.tagged(text, [])[0]]))[0]
-        got = {s for s in pii._spans({i: (0, int(t)) for i, t in enumerate(tags)}) if s[2] <= 90}
+        read = pii.Reconciled(text)
+        read.add(0, len(text), tags[: len(text)])
+        got = {s for s in read.spans() if s[2] <= 90}
         hit, wrong, all_ = hit + len(got & want), wrong + len(got - want), all_ + len(want)
     assert hit >= 0.9 * all_ and wrong <= 0.1 * all_
     text = "call (555) 123-4567 today " + "x " * 90 + "or write to ann@example.org now"
