@@ -54,20 +54,31 @@ def hybrid_patterns(long: DataFrame, w_s: dict[str, float], w_c: dict[str, float
 
 
 def feature_importance(long: DataFrame, w_s: dict[str, float], w_c: dict[str, float], proxy: bool = True) -> DataFrame:
-    """Contribution of each feature to the edges (i, j, weight, feature, sim, comp): (ws sim + wc comp) / (ws + wc) * weight, summed, as a share, ranked.
+    """Contribution of each feature to the edges (i, j, weight, feature, sim, comp): (ws sim + wc comp) / (ws + wc) * weight, summed, as a share of the edges' weight, ranked.
 
     proxy takes 1 - comp + 0.1 for the similarity, as the reported figures do.
+    The weights alone decide which side dominates a feature; equal ones count for complementarity.
     """
     pick = lambda w: F.create_map(*[x for f, v in w.items() for x in (F.lit(f), F.lit(v))])[F.col("feature")]
     a, b = pick(w_s), pick(w_c)
     sim = (1 - F.col("comp") + 0.1) if proxy else F.col("sim")
-    part_s, part_c = a * sim / (a + b), b * F.col("comp") / (a + b)
-    sums = long.groupBy("feature").agg(F.sum((part_s + part_c) * F.col("weight")).alias("contribution"), F.sum(part_s * F.col("weight")).alias("from_similarity"), F.sum(part_c * F.col("weight")).alias("from_complementarity"))
-    total = sums.agg(F.sum("contribution").alias("total"))
-    out = sums.crossJoin(F.broadcast(total)).withColumn("percentage", F.col("contribution") / F.greatest(F.col("total"), F.lit(0.001)) * 100)
-    dominant = F.when(F.col("from_complementarity") > F.col("from_similarity"), "complementarity").otherwise("similarity")
+    part = (a * sim + b * F.col("comp")) / (a + b)
+    sums = long.groupBy("feature").agg(F.sum(part * F.col("weight")).alias("contribution"), F.sum("weight").alias("total"), F.avg(sim).alias("average_similarity"), F.avg("comp").alias("average_complementarity"), F.count("*").alias("edges"))
+    dominant = F.when(a > b, "similarity").otherwise("complementarity")
+    own = lambda w: w / F.greatest(a + b, F.lit(0.001))
+    ratio = F.greatest(own(a), own(b)) / F.greatest(F.least(own(a), own(b)), F.lit(0.001))
     place = F.row_number().over(Window.orderBy(F.desc("contribution"), "feature"))  # a row for each feature: six
-    return out.select("feature", "contribution", "percentage", dominant.alias("dominant"), place.alias("rank"))
+    percentage = F.col("contribution") / F.greatest(F.col("total"), F.lit(0.001)) * 100
+    return sums.select("feature", "contribution", percentage.alias("percentage"), "average_similarity", "average_complementarity", "edges", dominant.alias("dominant"), ratio.alias("dominance_ratio"), place.alias("rank"))
+
+
+def dominance_split(importance: DataFrame) -> DataFrame:
+    """How many features each side dominates, which mechanism that makes the primary one, and how one-sided it is (0 to 1)."""
+    side = lambda name: F.count_if(F.col("dominant") == name)
+    n = importance.agg(F.min_by("feature", "rank").alias("top_contributor"), side("similarity").alias("n_similarity"), side("complementarity").alias("n_complementarity"))
+    mechanism = F.when(F.col("n_similarity") > F.col("n_complementarity"), "similarity").otherwise("complementarity")
+    apart = F.abs(F.col("n_similarity") - F.col("n_complementarity")) / F.greatest(F.col("n_similarity") + F.col("n_complementarity"), F.lit(1))
+    return n.select("*", mechanism.alias("primary_mechanism"), apart.alias("balance_score"))
 
 
 def keywords(tags: DataFrame, people: int, share: float = 0.5, n: int = 20) -> DataFrame:
@@ -127,6 +138,13 @@ def selections(features: DataFrame) -> DataFrame:
     return features.select("feature", F.when(F.col("w_c") > F.col("w_s"), "complementarity").otherwise("similarity").alias("matrix"), (F.col("w_s") + F.col("w_c")).alias("impact"), dominance.alias("dominance"), place.alias("priority"))
 
 
+def priorities(features: DataFrame) -> DataFrame:
+    """Rows (feature, w_s, w_c) by impact, with the share of each weight (null where both are 0)."""
+    share = lambda w: F.try_divide(F.col(w), F.col("w_s") + F.col("w_c"))
+    shares = features.select("feature", share("w_s").alias("similarity_share"), share("w_c").alias("complementarity_share"))
+    return selections(features).withColumnRenamed("matrix", "dominant").join(shares, "feature")
+
+
 def candidate_rank(champs: DataFrame, features: DataFrame) -> DataFrame:
     """Champions by score * impact, 1.2 times that for complementarity."""
     own = champs.join(F.broadcast(selections(features)), "feature").withColumn("value", F.col("score") * F.col("impact") * F.when(F.col("matrix") == "complementarity", 1.2).otherwise(1.0))

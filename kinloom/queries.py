@@ -8,6 +8,7 @@ customers and versions by orders.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +19,9 @@ from kinloom.functions.scoring import power_mean
 from kinloom.functions.vectors import summed, unit
 from kinloom.operators import catalog, community, graph, insights, layout, pairs, report, search
 from kinloom.schema import COMPLEMENTARITY_WEIGHTS, FEATURES, SIMILARITY_WEIGHTS
-from kinloom.scratch import dense_id, written
+from kinloom.scratch import dense_id, folder, written
 from kinloom.sources import people, store
+from kinloom.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -93,12 +95,15 @@ def _tag_rows(spark: SparkSession, d: str) -> DataFrame:
     return p.select("person_id", "feature", F.explode("tags").alias("tag"))
 
 
-def _job_events(spark: SparkSession, d: str) -> DataFrame:
+def _as_job_events(e: DataFrame) -> DataFrame:
     kinds = F.create_map(*[F.lit(x) for kv in (("click", "queued"), ("view", "running"), ("purchase", "completed"), ("signup", "failed"), ("logout", "cancelled")) for x in kv])
-    e = _t(spark, d, "events")
     return e.select(F.concat(F.col("user_id"), F.lit("-"), F.col("event_id") % 2).alias("job_id"), F.col("user_id").cast("string").alias("user_id"), F.coalesce(kinds[F.col("event_type")], F.lit("pending")).alias("status"), F.col("value").alias("progress"), F.col("ts").alias("at"), F.col("event_id").alias("seq"))
 
 
+def _job_events(spark: SparkSession, d: str) -> DataFrame:
+    return _as_job_events(_t(spark, d, "events"))
+
+
 def _jobs(spark: SparkSession, d: str) -> DataFrame:
     e = _job_events(spark, d)
     return catalog.job_state(e).join(e.groupBy("job_id").agg(F.min("user_id").alias("user_id")), "job_id").withColumn("file_id", F.col("user_id"))
@@ -454,13 +459,23 @@ def hybrid_patterns(spark, d):
     return report.hybrid_patterns(report.unpivoted(_raw(spark, d), FEATURES, "i", "j"), SIMILARITY_WEIGHTS, COMPLEMENTARITY_WEIGHTS).select("feature", *_r("sim_mean", "comp_mean", "hybrid_mean", "balance_ratio", "imbalance"))
 
 
-@query(f"WITH {_EDGES}{_LONG.replace('{}', 'scored')}, k AS (SELECT feature, weight * ws * (1 - comp + 1e-1) / (ws + wc) AS s, weight * wc * comp / (ws + wc) AS c FROM long JOIN edges ON src = i AND dst = j), g AS (SELECT feature, sum(s + c) AS t, sum(s) AS s, sum(c) AS c FROM k GROUP BY feature) SELECT feature, round(t, 6) AS contribution, round(t / greatest(sum(t) OVER (), 1e-3) * 100, 8) AS percentage, CASE WHEN c > s THEN 'complementarity' ELSE 'similarity' END AS dominant, row_number() OVER (ORDER BY t DESC, feature)::INTEGER AS rank FROM g")
-def feature_importance(spark, d):
+_IMPORTANCE = _EDGES + _LONG.replace("{}", "scored") + ", k AS (SELECT feature, ws, wc, comp, weight, weight * (ws * (1 - comp + 1e-1) + wc * comp) / (ws + wc) AS t FROM long JOIN edges ON src = i AND dst = j), g AS (SELECT feature, any_value(ws) AS ws, any_value(wc) AS wc, sum(t) AS t, sum(weight) AS w, avg(1 - comp + 1e-1) AS s, avg(comp) AS c, count(*) AS edges FROM k GROUP BY feature), fi AS (SELECT *, CASE WHEN ws > wc THEN 'similarity' ELSE 'complementarity' END AS dominant, row_number() OVER (ORDER BY t DESC, feature)::INTEGER AS rank FROM g)"
+
+
+def _importance(spark: SparkSession, d: str) -> DataFrame:
     scored = _scored(spark, d)
     e = pairs.edges(scored, FEATURES).withColumnsRenamed({"src": "i", "dst": "j"})
-    long = report.unpivoted(scored, FEATURES, "i", "j").join(e, ["i", "j"])
-    out = report.feature_importance(long, SIMILARITY_WEIGHTS, COMPLEMENTARITY_WEIGHTS)
-    return out.select("feature", F.round("contribution", 6).alias("contribution"), *_r("percentage"), "dominant", "rank")
+    return report.feature_importance(report.unpivoted(scored, FEATURES, "i", "j").join(e, ["i", "j"]), SIMILARITY_WEIGHTS, COMPLEMENTARITY_WEIGHTS)
+
+
+@query(f"WITH {_IMPORTANCE} SELECT feature, round(t, 6) AS contribution, round(t / greatest(w, 1e-3) * 100, 8) AS percentage, round(s, 8) AS average_similarity, round(c, 8) AS average_complementarity, edges, dominant, round(greatest(ws, wc) / least(ws, wc), 8) AS dominance_ratio, rank FROM fi")
+def feature_importance(spark, d):
+    return _importance(spark, d).select("feature", F.round("contribution", 6).alias("contribution"), *_r("percentage", "average_similarity", "average_complementarity"), "edges", "dominant", *_r("dominance_ratio"), "rank")
+
+
+@query(f"WITH {_IMPORTANCE}, n AS (SELECT arg_min(feature, rank) AS top_contributor, count(*) FILTER (dominant = 'similarity')::BIGINT AS n_similarity, count(*) FILTER (dominant = 'complementarity')::BIGINT AS n_complementarity FROM fi) SELECT *, CASE WHEN n_similarity > n_complementarity THEN 'similarity' ELSE 'complementarity' END AS primary_mechanism, abs(n_similarity - n_complementarity) / 6e0 AS balance_score FROM n")
+def dominance_split(spark, d):
+    return report.dominance_split(_importance(spark, d))
 
 
 @query(f"WITH {_TAGS} SELECT tag, count(DISTINCT person_id)::BIGINT AS people FROM tags GROUP BY tag HAVING count(DISTINCT person_id) >= greatest(1, 1e-2 * (SELECT count(*) FROM part)) ORDER BY people DESC, tag LIMIT 20")
@@ -504,6 +519,11 @@ def matrix_selection(spark, d):
     return report.selections(_weights(spark, d)).select("feature", "matrix", *_r("impact", "dominance"), "priority")
 
 
+@query(f"WITH {_SELECT} SELECT feature, matrix AS dominant, round(impact, 8) AS impact, round(dominance, 8) AS dominance, priority, round(w_s / nullif(w_s + w_c, 0), 8) AS similarity_share, round(w_c / nullif(w_s + w_c, 0), 8) AS complementarity_share FROM sel JOIN fw USING (feature)")
+def feature_priorities(spark, d):
+    return report.priorities(_weights(spark, d)).select("feature", "dominant", *_r("impact", "dominance"), "priority", *_r("similarity_share", "complementarity_share"))
+
+
 @query(f"WITH {_VECS}, {_SELECT}, s AS (SELECT a.feature, a.person_id, any_value(a.ws) * avg(list_cosine_similarity(a.vec, b.vec)) AS score FROM vecs a JOIN vecs b ON a.feature = b.feature AND a.person_id <> b.person_id GROUP BY a.feature, a.person_id), c AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY round(score, 12) DESC, person_id) AS rank FROM s), v AS (SELECT feature, person_id, score * impact * CASE WHEN matrix = 'complementarity' THEN 12e-1 ELSE 1e0 END AS value FROM c JOIN sel USING (feature) WHERE rank = 1) SELECT feature, person_id, round(value, 8) AS value, row_number() OVER (ORDER BY round(value, 12) DESC, feature, person_id)::INTEGER AS place FROM v")
 def replication_rank(spark, d):
     return report.candidate_rank(report.champions(_vectors(spark, d), SIMILARITY_WEIGHTS), _weights(spark, d)).select("feature", "person_id", *_r("value"), "place")
@@ -556,6 +576,24 @@ def file_stats(spark, d):
     return catalog.file_stats(_files(spark, d), _versions(spark, d), _jobs(spark, d))
 
 
+@query(f"WITH {_JOBS}, v AS (SELECT o_custkey, sum(floor(o_totalprice)::BIGINT)::BIGINT AS bytes FROM orders GROUP BY 1), f AS (SELECT c_nationkey::VARCHAR AS user_id, count(*)::BIGINT AS total_files, sum(bytes)::BIGINT AS storage_used FROM customer LEFT JOIN v ON o_custkey = c_custkey GROUP BY 1), j AS (SELECT user_id, count(*)::BIGINT AS total_jobs, count(*) FILTER (status = 'completed')::BIGINT AS total_analyses, max(updated_at) AS last_activity FROM job GROUP BY 1) SELECT user_id, coalesce(total_files, 0) AS total_files, coalesce(storage_used, 0) AS storage_used, coalesce(total_jobs, 0) AS total_jobs, coalesce(total_analyses, 0) AS total_analyses, last_activity FROM f FULL JOIN j USING (user_id)")
+def user_stats(spark, d):
+    return catalog.user_stats(_files(spark, d), _versions(spark, d), _jobs(spark, d))
+
+
+@query(f"WITH {_JOBEV}, l AS (SELECT job_id, max({{'tm': tm, 'status': status, 'progress': progress}}) AS x, count(*)::BIGINT AS events FROM ev GROUP BY job_id) SELECT job_id, x.tm AS at, x.status AS status, x.progress AS progress, events FROM l")
+def job_status_stream(spark, d):
+    """The events as a stream: each batch delivers the jobs that changed, the last delivery of a job is its state."""
+    table = _t(spark, d, "events")
+    stream = jobs.event_stream(spark, f"{d}/events.parque[t]", table.schema)  # as a pattern, the table may be one file or a folder
+    root = f"{folder(spark)}/delivered-{uuid.uuid4().hex}"
+    timed = _as_job_events(stream).withColumn("at", F.col("at").cast("timestamp"))  # watermarks take no other type
+    changed = jobs.latest_status(timed).select("job_id", F.col("at").cast(table.schema["ts"].dataType).alias("at"), "status", "progress", "events")
+    jobs.deliver(changed, lambda batch, number: batch.write.mode("overwrite").parquet(f"{root}/state/batch={number}"), f"{root}/checkpoint").awaitTermination()
+    rows = spark.read.schema(changed.schema).parquet(f"{root}/state/batch=*")
+    return rows.groupBy("job_id").agg(F.max_by(F.struct("at", "status", "progress", "events"), "events").alias("last")).select("job_id", "last.*")
+
+
 @query("SELECT count(*) FILTER (o_orderkey % 10 <> 0)::BIGINT AS old_rows, count(*) FILTER (o_orderkey % 9 <> 0)::BIGINT AS new_rows, ['note'] AS added_columns, ['o_orderpriority'] AS removed_columns FROM orders")
 def version_diff(spark, d):
     o = _t(spark, d, "orders")
