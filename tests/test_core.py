@@ -169,6 +169,15 @@ def test_ivf_recall_and_exactness(spark, sf):
     assert len(exact & got) >= 0.6 * len(exact)
 
 
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.1"])
+def test_ivf_recall_of_nine_tenths(spark, size):
+    from kinloom import queries
+
+    exact = {(r.query_id, r.id) for r in queries.knn_top5(spark, f"/root/testdata/{size}").collect()}
+    got = {(r.query_id, r.id) for r in queries.ivf_knn(spark, f"/root/testdata/{size}").collect()}
+    assert len(exact & got) >= 0.9 * len(exact) and len(got) == len(exact)
+
+
 def test_complementarity_direction_and_default(spark):
     wide = spark.createDataFrame([(0, "a", "x"), (1, "b", ""), (2, "c", "x")], "person_id long, f string, g string")
     scores = spark.createDataFrame([("f", "a", "b", 0.9), ("f", "c", "a", 0.2), ("g", "x", "x", 0.0)], "category string, target string, comparison string, score double")
