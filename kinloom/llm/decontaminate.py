@@ -14,6 +14,11 @@ two, so every fingerprint within the radius is found. Candidates are then
 verified exactly: the weighted Jaccard similarity of the bags of five-word
 shingles of the item and of the item-sized window must reach 0.75.
 
+A text that lacks an item's start or end has few windows that fit, or none.
+So a text's first and last stretch are also looked up by exact shingles: a
+window of similarity t shares at least t times the item's shingles, and every
+item that has so many in a stretch of its length is verified there.
+
 Defined results: null or empty texts and items hold nothing; an item or window
 of one to four words is one shingle; an item found at several places reports
 its best window, the first of equal ones; items that repeat are reported each.
@@ -36,6 +41,8 @@ from kinloom.llm import flat
 from kinloom.llm.common import filter_rows, map_batches
 
 RADIUS = 11
+#: Words by which a verified window may stand beside the place that was found.
+SHIFT = 2
 BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 4, 16, 2
 #: Items of one index (a few MB when broadcast); larger benchmarks are scanned in as many passes.
 ITEMS_PER_INDEX = 1024
@@ -125,13 +132,15 @@ class SizeClass:
         return both[0], both[1]
 
 
-def bag(hashes: np.ndarray) -> Counter:
-    """The weighted shingles of a word sequence."""
-    if not len(hashes):
-        return Counter()
+def _grams(hashes: np.ndarray) -> np.ndarray:
     w = flat.Words.__new__(flat.Words)
     w.at = np.array([0, len(hashes)])
-    return Counter(flat.shingles(w, hashes)[0].tolist())
+    return flat.shingles(w, hashes)[0]
+
+
+def bag(hashes: np.ndarray) -> Counter:
+    """The weighted shingles of a word sequence."""
+    return Counter(_grams(hashes).tolist()) if len(hashes) else Counter()
 
 
 def similarity(a: Counter, b: Counter) -> float:
@@ -145,7 +154,7 @@ class Index:
     """Fingerprints of up to ITEMS_PER_INDEX items."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.ids, self.words, self.bags = [], [], []
+        self.ids, self.words, self.bags, sequences = [], [], [], []
         self.classes: dict[tuple[int, int], SizeClass] = {}
         entries: dict[tuple[int, int], list] = {}
         for t in flat.texts(pa.array([x for _, x in items], pa.string())):
@@ -163,9 +172,40 @@ class Index:
                 self.ids.append(items[t.first + r][0])
                 self.words.append(len(own))
                 self.bags.append(bag(own))
+                sequences.append(own)
         for key, own in sorted(entries.items()):
             self.classes[key] = c = SizeClass(*key, np.array([x[0] for x in own], np.uint64), np.array([x[1] for x in own], np.int32), np.array([x[2] for x in own], np.int32))
             c.enter()
+        grams = [(g, i, q) for i, own in enumerate(sequences) if len(own) >= flat.SHINGLE for q, g in enumerate(_grams(own).tolist())]
+        grams.sort()
+        self.grams = np.array([x[0] for x in grams], np.uint64)
+        self.gram_owner, self.gram_place = np.array([x[1] for x in grams], np.int64), np.array([x[2] for x in grams], np.int64)
+        self.n_grams = np.array([max(1, n - flat.SHINGLE + 1) for n in self.words], np.int64)
+
+    def edges(self, words: flat.Words, hashes: np.ndarray, threshold: float) -> Iterator[tuple[int, int, int]]:
+        """(row, item number, first word) of windows at the start or end of a text that may reach the threshold."""
+        if not len(self.grams) or not len(hashes):
+            return
+        values, at = flat.shingles(words, hashes)
+        row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        place = np.arange(len(values)) - at[row]
+        longest = int(self.n_grams.max()) + SHIFT
+        near = np.flatnonzero((place < longest) | (place >= np.diff(at)[row] - longest))
+        low = np.searchsorted(self.grams, values[near])
+        n = np.searchsorted(self.grams, values[near], side="right") - low
+        entry = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at_gram = np.repeat(near, n)
+        row, p, item, q = row[at_gram], place[at_gram], self.gram_owner[entry], self.gram_place[entry]
+        size, k = np.diff(at)[row], self.n_grams[item]
+        for side in (p < k + SHIFT, p >= size - k - SHIFT):
+            pair, count = np.unique(np.unique(np.stack([row[side], item[side], p[side]]), axis=1)[:2], axis=1, return_counts=True)
+            enough = pair[:, count >= threshold * self.n_grams[pair[1]]]
+            if not enough.shape[1]:
+                continue
+            mine = np.flatnonzero(side & np.isin(row * len(self.ids) + item, enough[0] * len(self.ids) + enough[1]))
+            found = np.stack([np.concatenate([row[mine]] * (2 * SHIFT + 1)), np.concatenate([item[mine]] * (2 * SHIFT + 1)), np.concatenate([np.maximum(0, p[mine] - q[mine] + d) for d in range(-SHIFT, SHIFT + 1)])])
+            keep = (found[2] <= SHIFT) | (found[2] + self.n_grams[found[1]] >= np.diff(at)[found[0]] - SHIFT)
+            yield from map(tuple, np.unique(found[:, keep], axis=1).T.tolist())
 
     def matches(self, t: flat.Texts, threshold: float) -> Iterator[tuple[int, int, int, int, float]]:
         """(row, item number, first word, words, similarity) of each item that a text holds."""
@@ -190,13 +230,19 @@ class Index:
             hit, entry = c.near(sums[key].fingerprints(first, n))
             for r, q, e in sorted(set(zip(row[hit].tolist(), first[hit].tolist(), entry.tolist(), strict=True))):
                 item, s, stop = int(c.owner[e]), int(words.at[r]), int(words.at[r + 1])
-                for p in range(q - int(c.offset[e]) - 2, q - int(c.offset[e]) + 3):
+                for p in range(q - int(c.offset[e]) - SHIFT, q - int(c.offset[e]) + SHIFT + 1):
                     p = max(p, s)
                     if (r, item) in best and best[r, item][0] == 1.0:
                         break
                     if (got := similarity(bag(hashes[p : min(p + self.words[item], stop)]), self.bags[item])) >= threshold:
                         was = best.get((r, item), (0.0, 0))
                         best[r, item] = max(was, (got, s - p), key=lambda x: x)
+        for r, item, first in self.edges(words, hashes, threshold):
+            if (r, item) in best and best[r, item][0] == 1.0:
+                continue
+            s, stop = int(words.at[r]), int(words.at[r + 1])
+            if (got := similarity(bag(hashes[s + first : min(s + first + self.words[item], stop)]), self.bags[item])) >= threshold:
+                best[r, item] = max(best.get((r, item), (0.0, 0)), (got, -first))
         for (r, item), (got, back) in sorted(best.items()):
             yield r, item, -back, self.words[item], got
 

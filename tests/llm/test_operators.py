@@ -92,6 +92,32 @@ def test_decontamination_brute_force(spark, sf):
     assert left == {r.doc_id for r in docs.collect()} - {d for d, _ in want}
 
 
+def test_decontamination_of_truncated_copies(spark, sf):
+    bench = table(spark, sf, "benchmark")
+    items, texts = {r.item_id: words(r.text) for r in bench.collect()}, []
+    for k, own in items.items():
+        for cut in (len(own) * 15 // 100, len(own) * 20 // 100, len(own) * 24 // 100):
+            texts += [own[cut:], own[: len(own) - cut], own[cut // 2 : len(own) - cut // 2], words(prose(k, 50)) + own[: len(own) - cut], own[cut:] + words(prose(k, 50))]
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    want = {}
+    for i, w in enumerate(texts):
+        grams = [" ".join(w[j : j + 5]) for j in range(max(1, len(w) - 4))]
+        for k, own in items.items():
+            bag = Counter(" ".join(own[j : j + 5]) for j in range(len(own) - 4))
+            if not set(grams) & set(bag):
+                continue
+            best = 0
+            for s in range(len(grams)):
+                c = Counter(grams[s : s + len(own) - 4])
+                both = sum((c & bag).values())
+                best = max(best, both / (sum(c.values()) + sum(bag.values()) - both))
+            if best >= 0.75:
+                want[i, k] = round(best, 9)
+    got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert len(want) > 200 and got == want
+    assert {r.doc_id for r in decontaminate.without_leaks(docs, bench).collect()} == set(range(len(texts))) - {i for i, _ in want}
+
+
 def test_decontamination_edges(spark, odd):
     bench = spark.createDataFrame([(1, "one two"), (2, None), (3, ""), (4, prose(1, 40)), (4, prose(1, 40)), (5, prose(3, 30))], "item_id long, text string")
     got = decontaminate.contaminated(odd, bench).collect()
