@@ -9,7 +9,8 @@ the original text it came from, so all findings are spans of the original in
 code points.
 
 Defined results: a null text counts as empty; a span found in several layers
-counts once; an escape or run that does not decode to text is no layer.
+counts once; bytes that are not UTF-8 are read with a replacement character
+each, and compressed data is unpacked again while a magic number matches.
 Unpacking stops for a layer whose data would grow over MAX_UNPACKED bytes (a
 decompression bomb), the only limit there is.
 """
@@ -39,6 +40,13 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 MAX_UNPACKED = 1 << 26
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+#: Runs that may hold compressed bytes: escapes with what an encoder leaves plain between them.
+URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~!*'()/+-])+")
+URL_BYTE = re.compile(r"%([0-9A-Fa-f]{2})|[\x20-\x7e]")
+HEX_RUN = re.compile(r"(?:\\(?:x|u00)[0-9A-Fa-f]{2}|\\[nrt'\"\\]|[\x20-\x5b\x5d-\x7e])+")
+HEX_BYTE = re.compile(r"\\(?:x|u00)([0-9A-Fa-f]{2})|\\[nrt'\"\\]|[\x20-\x5b\x5d-\x7e]")
+PLAIN_ESCAPES = {"\\n": b"\n", "\\r": b"\r", "\\t": b"\t"}
+MAGIC = re.compile(rb"\x1f\x8b|\x78[\x01\x5e\x9c\xda]|BZh|\x28\xb5\x2f\xfd")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}")
 
 
@@ -70,16 +78,32 @@ class Layer:
         return int(self.begin[start:stop].min()), int(self.end[start:stop].max())
 
 
-def _text_of(data: bytes) -> tuple[str, np.ndarray] | None:
-    """UTF-8 bytes as mostly printable text, and each character's first byte; None if they aren't that."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    if not text or sum(c.isprintable() or c in "\t\r\n" for c in text) < 0.9 * len(text):
-        return None
-    first = np.cumsum([0, *(len(c.encode()) for c in text[:-1])])
-    return text, first
+def _text_of(data: bytes) -> tuple[str, np.ndarray]:
+    """Bytes as text, one character a byte where they aren't UTF-8, and each character's first byte."""
+    if data.isascii():
+        return data.decode("ascii"), np.arange(len(data))
+    text = data.decode("utf-8", "surrogateescape")
+    size = [1 if "\udc80" <= c <= "\udcff" else len(c.encode()) for c in text]
+    return "".join("\ufffd" if "\udc80" <= c <= "\udcff" else c for c in text), np.cumsum([0, *size[:-1]])
+
+
+def _opened(data: bytes, begin: np.ndarray, end: np.ndarray) -> Iterator[Layer]:
+    """The layer of decoded bytes with their origins, and what is unpacked from them, again while there is a magic number."""
+    text, first = _text_of(data)
+    if text:
+        last = np.append(first[1:], len(data)) - 1
+        yield Layer(text, begin[first], end[last])
+    yield from _inside(data, begin, end)
+
+
+def _inside(data: bytes, begin: np.ndarray, end: np.ndarray) -> Iterator[Layer]:
+    """What is unpacked from compressed data in the bytes, from each magic number on, again while there is one."""
+    for m in MAGIC.finditer(data):
+        more, seen = memoryview(data)[m.start() :], set()
+        while (more := _unpacked(more)) and (h := hashlib.sha256(more).digest()) not in seen:
+            seen.add(h)
+            text, _ = _text_of(more)
+            yield Layer(text, np.full(len(text), begin[m.start()]), np.full(len(text), end[-1]))
 
 
 def _unpacked(data: bytes) -> bytes | None:
@@ -122,14 +146,12 @@ def _url(layer: Layer) -> Iterator[Layer]:
     parts = []
     for m in URL.finditer(layer.text):
         data = bytes.fromhex(m.group().replace("%", ""))
-        if found := _text_of(data) if data.isascii() is False else (data.decode("ascii"), np.arange(len(data))):
-            text, first = found
-            stops = np.append(first[1:], len(data))
-            begin = layer.begin[m.start() + 3 * first]
-            end = layer.end[m.start() + 3 * stops - 1]
-            parts.append((m.start(), m.end(), text, begin, end))
+        text, first = _text_of(data)
+        stops = np.append(first[1:], len(data))
+        parts.append((m.start(), m.end(), text, layer.begin[m.start() + 3 * first], layer.end[m.start() + 3 * stops - 1]))
     if parts:
         yield _replaced(layer, parts)
+        yield from _escaped_bytes(layer, URL_RUN, URL_BYTE)
 
 
 def _escapes(layer: Layer) -> Iterator[Layer]:
@@ -141,6 +163,17 @@ def _escapes(layer: Layer) -> Iterator[Layer]:
             parts.append((m.start(), m.end(), chr(code), layer.begin[m.start() : m.start() + 1], layer.end[m.end() - 1 : m.end()]))
     if parts:
         yield _replaced(layer, parts)
+        yield from _escaped_bytes(layer, HEX_RUN, HEX_BYTE)
+
+
+def _escaped_bytes(layer: Layer, run: re.Pattern, token: re.Pattern) -> Iterator[Layer]:
+    """What compressed data in runs of escaped and plain bytes unpacks to; a run ends with its last escape."""
+    for m in run.finditer(layer.text):
+        parts = [(x.start(), x.end(), bytes.fromhex(x[1]) if x[1] else PLAIN_ESCAPES.get(x[0], x[0][-1:].encode())) for x in token.finditer(layer.text, m.start(), m.end())]
+        while parts and parts[-1][1] - parts[-1][0] == 1:
+            parts.pop()
+        if parts:
+            yield from _inside(b"".join(x[2] for x in parts), layer.begin[[x[0] for x in parts]], layer.end[[x[1] - 1 for x in parts]])
 
 
 def _base64(layer: Layer) -> Iterator[Layer]:
@@ -153,14 +186,8 @@ def _base64(layer: Layer) -> Iterator[Layer]:
             data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
         except (binascii.Error, ValueError):
             continue
-        if (plain := _unpacked(data)) is not None:
-            if found := _text_of(plain):
-                n = len(found[0])
-                yield Layer(found[0], np.full(n, layer.begin[m.start() : m.end()].min()), np.full(n, layer.end[m.start() : m.end()].max()))
-        elif found := _text_of(data):
-            text, first = found
-            stops = np.append(first[1:], len(data))
-            yield Layer(text, layer.begin[m.start() + first * 4 // 3], layer.end[m.start() + np.minimum((stops * 4 + 2) // 3, len(body)) - 1])
+        first = np.arange(len(data))
+        yield from _opened(data, layer.begin[m.start() + first * 4 // 3], layer.end[m.start() + np.minimum(((first + 1) * 4 + 2) // 3, len(body)) - 1])
 
 
 def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:

@@ -297,6 +297,17 @@ def test_secret_layers(wrap):
     assert secrets.redact(text).startswith("é before ") and secrets.MASK in secrets.redact(text) and secrets.scan(secrets.redact(text))[1] == []
 
 
+@pytest.mark.parametrize("wrap", [
+    lambda s: base64.b64encode(gzip.compress(gzip.compress(s))).decode(), lambda s: base64.b64encode(zlib.compress(gzip.compress(zlib.compress(s)))).decode(), lambda s: base64.b64encode(b"\xff\xfe " + s + b" \x80").decode(),
+    lambda s: base64.b64encode(bytes(range(128, 256)) + b" " + s).decode(), lambda s: quote(gzip.compress(s)), lambda s: quote(b"\xff " + s + b" \x80"), lambda s: "".join(f"\\x{c:02x}" for c in zlib.compress(gzip.compress(s))), lambda s: repr(gzip.compress(s))[2:-1],
+])
+def test_secret_layers_of_bytes(wrap):
+    text = "é before " + wrap(b"api_key = hunter2hunter2") + " after"
+    spans = secrets.scan(text)[1]
+    assert any(k == "assign" and s >= 9 and e <= len(text) - 6 for k, s, e in spans)
+    assert secrets.MASK in secrets.redact(text) and secrets.scan(secrets.redact(text))[1] == []
+
+
 def test_secret_edges(spark, odd):
     got = secrets.scanned(odd, ["doc_id"])
     assert got.count() == odd.count() and {r.spans for r in got.collect()} == {""}
