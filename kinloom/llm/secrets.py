@@ -18,7 +18,6 @@ decompression bomb), the only limit there is.
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import zlib
@@ -47,7 +46,8 @@ HEX_RUN = re.compile(r"(?:\\(?:x|u00)[0-9A-Fa-f]{2}|\\[nrt'\"\\]|[\x20-\x5b\x5d-
 HEX_BYTE = re.compile(r"\\(?:x|u00)([0-9A-Fa-f]{2})|\\[nrt'\"\\]|[\x20-\x5b\x5d-\x7e]")
 PLAIN_ESCAPES = {"\\n": b"\n", "\\r": b"\r", "\\t": b"\t"}
 MAGIC = re.compile(rb"\x1f\x8b|\x78[\x01\x5e\x9c\xda]|BZh|\x28\xb5\x2f\xfd")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}")
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{12,}(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)*={0,2}")
+BASE64_CHARS = re.compile(r"[A-Za-z0-9+/_-]")
 
 
 def _plain(run: str) -> bool:
@@ -177,17 +177,18 @@ def _escaped_bytes(layer: Layer, run: re.Pattern, token: re.Pattern) -> Iterator
 
 
 def _base64(layer: Layer) -> Iterator[Layer]:
+    """Runs, joined over line breaks, at all four alignments: a payload may stand behind a path or prefix of the same characters."""
     for m in BASE64.finditer(layer.text):
-        run = m.group()
-        body = run.rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1 or _plain(body):
+        if all(map(_plain, m.group().rstrip("=").split())):
             continue
-        try:
-            data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        first = np.arange(len(data))
-        yield from _opened(data, layer.begin[m.start() + first * 4 // 3], layer.end[m.start() + np.minimum(((first + 1) * 4 + 2) // 3, len(body)) - 1])
+        place = m.start() + np.array([x.start() for x in BASE64_CHARS.finditer(m.group())])
+        body = "".join(m.group().rstrip("=").split()).replace("-", "+").replace("_", "/")
+        for a in range(4):
+            own, chars = place[a:], body[a:]
+            chars = chars[: len(chars) - (len(chars) % 4 == 1)]
+            data = base64.b64decode(chars + "=" * (-len(chars) % 4))
+            first = np.arange(len(data))
+            yield from _opened(data, layer.begin[own[first * 4 // 3]], layer.end[own[np.minimum(((first + 1) * 4 + 2) // 3, len(chars)) - 1]])
 
 
 def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -195,7 +196,7 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
     rank = {k: i for i, k in enumerate(KINDS)}
     order = lambda s: (s[1], rank[s[0]], s[2])
     base = sorted(findings(text), key=order)
-    may = ("%" in text and URL.search(text), "\\" in text or "&#" in text, any(not _plain(m.group()) for m in BASE64.finditer(text)))
+    may = ("%" in text and URL.search(text), "\\" in text or "&#" in text, any(not all(map(_plain, m.group().rstrip("=").split())) for m in BASE64.finditer(text)))
     if not any(may):
         return base, base
     spans, seen = set(base), {hash(text)}

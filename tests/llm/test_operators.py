@@ -308,6 +308,16 @@ def test_secret_layers_of_bytes(wrap):
     assert secrets.MASK in secrets.redact(text) and secrets.scan(secrets.redact(text))[1] == []
 
 
+@pytest.mark.parametrize("put", [
+    lambda s: "/cfg/" + base64.b64encode(s).decode(), lambda s: "id_" + base64.b64encode(s).decode(), lambda s: "x-" + base64.b64encode(s).decode(), lambda s: "ab/" + base64.b64encode(gzip.compress(s)).decode(),
+    lambda s: base64.encodebytes(b"x" * 45 + s + b"y" * 60).decode(), lambda s: base64.encodebytes(gzip.compress(prose(1, 60).encode() + b" " + s + b" " + prose(2, 60).encode())).decode().replace("\n", "\r\n  "),
+])
+def test_secret_layers_in_longer_and_wrapped_runs(put):
+    text = "é before " + put(b"password = hunter2hunter2") + " after"
+    assert any(k == "assign" and s >= 9 and e <= len(text) - 6 for k, s, e in secrets.scan(text)[1])
+    assert secrets.MASK in secrets.redact(text) and secrets.scan(secrets.redact(text))[1] == []
+
+
 def test_secret_edges(spark, odd):
     got = secrets.scanned(odd, ["doc_id"])
     assert got.count() == odd.count() and {r.spans for r in got.collect()} == {""}
