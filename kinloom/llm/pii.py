@@ -6,15 +6,16 @@ spans: any (text, spans) pairs, by default generated sentences in which
 addresses, numbers and look-alikes (versions, prices, dates, order numbers)
 stand in invented prose.
 
-All four kinds hold a digit or an @, so the tagger reads the stretches around
-those characters, cut into overlapping windows. Windows are decoded one by one
-and reconciled over the whole text: each character takes its tag from the
-window whose edges are farthest from it, then spans are read off the joined
-tags. A span that the tagger adds must look like its kind (see plausible) and
-overlap no span found by pattern; those all stay.
+The tagger reads every character of every text, cut into overlapping windows.
+Windows are decoded one by one and reconciled over the whole text: each
+character takes its tag from the window whose edges are farthest from it, then
+spans are read off the joined tags. A span that the tagger adds must look like
+its kind (see plausible) and overlap no span found by pattern; those all stay.
 
 Defined results: a null text counts as empty; positions are code points, ends
-exclusive; rows that repeat are scanned each.
+exclusive; rows that repeat are scanned each; of columns only those asked for
+and the text are read, so others may have any name. A very long text is
+decoded DECODED windows at a time and holds about ten bytes a character.
 """
 
 from __future__ import annotations
@@ -85,21 +86,29 @@ def patterns(text: str) -> list[Span]:
 
 # --- the tagger ---------------------------------------------------------------------------------
 
-WINDOW, STRIDE, CONTEXT = 96, 48, 40
+#: Characters of a window and from one window to the next; a character is at least half the overlap from an edge of its window.
+WINDOW, STRIDE = 512, 448
+#: Characters of a training example.
+EXAMPLE = 96
 HIDDEN = 20
 SYMBOLS = 100  # 0: nothing; 1-95: printable ASCII; 96-99: other letters, digits, spaces, rest
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
-TRIGGER = re.compile(r"[0-9@]")
 #: Windows decoded at once.
-DECODED = 1024
+DECODED = 512
+
+#: Code point -> symbol, 0 where it has not been met yet.
+_symbol_of = np.zeros(0x110000, np.uint8)
+_symbol_of[32:127] = np.arange(1, 96)
 
 
 def symbols(text: str) -> np.ndarray:
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    out = points - 31
-    for i in np.flatnonzero((points < 32) | (points > 126)):
-        c = text[i]
-        out[i] = 96 if c.isalpha() else 97 if c.isdigit() else 98 if c.isspace() else 99
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    out = _symbol_of[points]
+    if not out.all():
+        for p in np.unique(points[out == 0]).tolist():
+            c = chr(p)
+            _symbol_of[p] = 96 if c.isalpha() else 97 if c.isdigit() else 98 if c.isspace() else 99
+        out = _symbol_of[points]
     return out
 
 
@@ -126,6 +135,32 @@ def _lstm(x: np.ndarray, table: np.ndarray, u: np.ndarray):
     return out, kept
 
 
+def _states(x: np.ndarray, live: np.ndarray, table: np.ndarray, u: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(step, states of the live rows) of one direction, without what training keeps; x is (steps, rows), states are (HIDDEN, rows).
+
+    A sigmoid is half a tanh of half its input and a half, so one tanh serves all gates.
+    """
+    half = np.repeat(np.array([0.5, 1], np.float32), [3 * HIDDEN, HIDDEN])
+    table, u = np.ascontiguousarray((table * half).T), np.ascontiguousarray((u * half).T)
+    h, c = np.zeros((HIDDEN, x.shape[1]), np.float32), np.zeros((HIDDEN, x.shape[1]), np.float32)
+    for s in range(len(x)):
+        n = int(live[s])
+        if not n:
+            return
+        h, c = h[:, :n], c[:, :n]
+        z = u @ h
+        z += np.take(table, x[s, :n], axis=1)
+        np.tanh(z, out=z)
+        gates = z[: 3 * HIDDEN]
+        gates *= np.float32(0.5)
+        gates += np.float32(0.5)
+        c = z[HIDDEN : 2 * HIDDEN] * c
+        c += z[:HIDDEN] * z[3 * HIDDEN :]
+        h = np.tanh(c)
+        h *= z[2 * HIDDEN : 3 * HIDDEN]
+        yield s, h
+
+
 def _lstm_back(x: np.ndarray, u: np.ndarray, kept: list, dout: np.ndarray):
     """Gradients of the symbol table and of u."""
     rows, steps = x.shape
@@ -171,21 +206,33 @@ class Tagger:
         states = np.concatenate([a, b[::-1], np.ones((*a.shape[:2], 1), np.float32)], axis=2)
         return states @ self.out, states, ka, kb
 
-    def decode(self, x: np.ndarray) -> np.ndarray:
-        """The best tag sequence of each row of symbols (Viterbi)."""
-        scores, *_ = self.emissions(x)
-        best, back = scores[0], np.empty((len(scores), x.shape[0], TAGS), np.int8)
-        for s in range(1, len(scores)):
-            reach = best[:, :, None] + self.moves
-            back[s] = reach.argmax(axis=1)
-            best = reach.max(axis=1) + scores[s]
-        tags = np.empty(x.shape, np.int8)
-        now = best.argmax(axis=1)
-        for s in range(len(scores) - 1, -1, -1):
-            tags[:, s] = now
-            if s:
-                now = back[s][np.arange(len(now)), now]
-        return tags
+    def decode(self, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The best tag sequence of each row of symbols (Viterbi); rows by falling size, padded behind it."""
+        rows, steps = x.shape
+        live = np.searchsorted(-sizes, -np.arange(steps), "left")  # rows that have a step: the first so many
+        scores = np.empty((steps, TAGS, rows), np.float32)
+        scores[:] = self.out[-1][:, None]
+        turned = np.maximum(sizes[:, None] - 1 - np.arange(steps), 0)
+        for s, h in _states(x.T, live, self.forward, self.forward_u):
+            scores[s, :, : live[s]] += self.out[:HIDDEN].T @ h
+        for s, h in _states(np.take_along_axis(x, turned, 1).T, live, self.backward, self.backward_u):
+            scores[turned[: live[s], s], :, np.arange(live[s])] += (self.out[HIDDEN : 2 * HIDDEN].T @ h).T
+        best, back = scores[0].copy(), np.zeros((steps, TAGS, rows), np.int8)
+        for s in range(1, steps):
+            n = live[s]
+            reach = best[:, None, :n] + self.moves[:, :, None]
+            top, which = reach[0].copy(), back[s][:, :n]
+            for t in range(1, TAGS):
+                np.copyto(which, t, where=reach[t] > top)
+                np.maximum(top, reach[t], out=top)
+            np.add(top, scores[s][:, :n], out=best[:, :n])
+        tags = np.zeros((steps, rows), np.int8)
+        now = best.argmax(axis=0)
+        for s in range(steps - 1, -1, -1):
+            n = live[s]
+            tags[s, :n] = now[:n]
+            now[:n] = back[s][now[:n], np.arange(n)]
+        return tags.T
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
         """Gradients of the mean negative log-likelihood, by forward-backward over the CRF."""
@@ -219,13 +266,13 @@ def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 def tagged(text: str, spans: list[Span]) -> tuple[np.ndarray, np.ndarray]:
-    """One training window: symbols and tags, cut or padded to WINDOW."""
+    """One training example: symbols and tags, cut or padded to EXAMPLE."""
     y = np.zeros(len(text), np.int64)
     for kind, s, e in spans:
         y[s:e] = 2 + 2 * KINDS.index(kind)
         y[s] -= 1
-    x = symbols(text)[:WINDOW]
-    return np.pad(x, (0, WINDOW - len(x))), np.pad(y[:WINDOW], (0, WINDOW - len(x)))
+    x = symbols(text)[:EXAMPLE]
+    return np.pad(x, (0, EXAMPLE - len(x))), np.pad(y[:EXAMPLE], (0, EXAMPLE - len(x)))
 
 
 def train(labelled: list[tuple[str, list[Span]]], epochs: int = 16, batch: int = 64, rate: float = 0.015, seed: int = 5) -> Tagger:
@@ -281,12 +328,12 @@ def examples(n: int = 2000, seed: int = 7) -> list[tuple[str, list[Span]]]:
     out = []
     for _ in range(n):
         text, spans = "", []
-        while len(text) < WINDOW:
+        while len(text) < EXAMPLE:
             roll = r.random()
             if roll < 0.16:
                 kind = pick(*KINDS)
                 value = make[kind]()
-                if len(text) + len(value) < WINDOW:
+                if len(text) + len(value) < EXAMPLE:
                     spans.append((kind, len(text), len(text) + len(value)))
                     text += value
                     if r.random() < 0.2:
@@ -305,18 +352,6 @@ def default_tagger() -> Tagger:
     return train(examples())
 
 
-def stretches(text: str) -> list[tuple[int, int]]:
-    """Parts of a text within CONTEXT characters of a digit or an @, joined where they touch."""
-    out: list[tuple[int, int]] = []
-    for m in TRIGGER.finditer(text):
-        s, e = max(0, m.start() - CONTEXT), min(len(text), m.end() + CONTEXT)
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], e)
-        else:
-            out.append((s, e))
-    return out
-
-
 def plausible(kind: str, value: str) -> bool:
     """What a span added by the tagger must look like."""
     n = sum(c.isdigit() for c in value)
@@ -332,18 +367,17 @@ def plausible(kind: str, value: str) -> bool:
 
 
 def windows(text: str) -> Iterator[tuple[int, int]]:
-    """The overlapping windows (start, end) of a text's stretches."""
-    for s, e in stretches(text):
-        for w in range(s, max(s + 1, e - WINDOW + STRIDE), STRIDE):
-            yield w, min(w + WINDOW, len(text))
+    """The overlapping windows (start, end) that cover a text."""
+    for w in range(0, max(min(len(text), 1), len(text) - WINDOW + STRIDE), STRIDE):
+        yield w, min(w + WINDOW, len(text))
 
 
 class Reconciled:
-    """The tags of one text: each character takes its tag from the window whose edges are farthest from it (two bytes a character)."""
+    """The tags of one text: each character takes its tag from the window whose edges are farthest from it (three bytes a character)."""
 
     def __init__(self, text: str):
         self.length = len(text)
-        self.tags, self.margin = np.zeros(len(text), np.int8), np.full(len(text), -1, np.int8)
+        self.tags, self.margin = np.zeros(len(text), np.int8), np.full(len(text), -1, np.int16)
 
     def add(self, start: int, stop: int, found: np.ndarray) -> None:
         size = stop - start
@@ -379,20 +413,25 @@ def detect(tagger: Tagger, texts: list[str]) -> list[tuple[list[Span], list[Span
     def close(upto: int) -> None:
         for r in [r for r in open_texts if r < upto]:
             t, base = texts[r], patterns(texts[r])
-            spans, taken = list(base), np.zeros(len(t), bool)
-            for _, s, e in base:
-                taken[s:e] = True
-            for kind, s, e in open_texts.pop(r).spans():
-                if plausible(kind, t[s:e]) and not taken[s:e].any():
-                    spans.append((kind, s, e))
+            added = [x for x in open_texts.pop(r).spans() if plausible(x[0], t[x[1] : x[2]])]
+            spans = list(base)
+            if added:
+                taken = np.zeros(len(t), bool)
+                for _, s, e in base:
+                    taken[s:e] = True
+                spans += [x for x in added if not taken[x[1] : x[2]].any()]
             out[r] = base, sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
     every = ((r, w, stop) for r, t in enumerate(texts) for w, stop in windows(t))
     while some := list(islice(every, DECODED)):
-        rows = np.zeros((len(some), WINDOW), np.int64)
-        for k, (r, w, stop) in enumerate(some):
+        sizes = np.array([stop - w for _, w, stop in some])
+        order = np.argsort(-sizes, kind="stable")
+        rows = np.zeros((len(some), int(sizes.max())), np.uint8)
+        for k, n in enumerate(order):
+            r, w, stop = some[n]
             rows[k, : stop - w] = symbols(texts[r][w:stop])
-        for (r, w, stop), found in zip(some, tagger.decode(rows), strict=True):
+        for n, found in zip(order, tagger.decode(rows, sizes[order]), strict=True):
+            r, w, stop = some[n]
             if r not in open_texts:
                 open_texts[r] = Reconciled(texts[r])
             open_texts[r].add(w, stop, found)

@@ -428,22 +428,62 @@ def test_pii_query_and_tagger(spark, sf, odd):
         assert r.base_sha256 == hashlib.sha256(pii.joined(base).encode()).hexdigest()
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in base) for k in pii.KINDS]
         assert set(filter(None, pii.joined(base).split(","))) <= set(r.spans.split(","))
-    tagger, hit, wrong, all_ = pii.default_tagger(), 0, 0, 0
-    for text, spans in pii.examples(200, 99):
-        text = text[: pii.WINDOW]
-        want = {s for s in spans if s[2] <= 90}
-        tags = tagger.decode(np.array([pii.tagged(text, [])[0]]))[0]
-        read = pii.Reconciled(text)
-        read.add(0, len(text), tags[: len(text)])
-        got = {s for s in read.spans() if s[2] <= 90}
-        hit, wrong, all_ = hit + len(got & want), wrong + len(got - want), all_ + len(want)
-    assert hit >= 0.9 * all_ and wrong <= 0.1 * all_
+    tagger = pii.default_tagger()
     text = "call (555) 123-4567 today " + "x " * 90 + "or write to ann@example.org now"
     found = pii.detect(tagger, [text])[0][1]
     assert ("phone", 5, 19) in found and ("email", text.index("ann"), text.index(" now")) in found
     assert pii.scanned(odd, ["doc_id"]).count() == odd.count() and pii.scanned(odd.limit(0), ["doc_id"]).count() == 0
 
 
+def test_pii_windows_cover_whole_texts():
+    for n in (0, 1, 90, pii.WINDOW, pii.WINDOW + 1, 2 * pii.STRIDE + 5, 5000):
+        read = np.zeros(n, int)
+        found = list(pii.windows("x" * n))
+        for s, e in found:
+            read[s:e] += 1
+        assert read.all() and all(e - s <= pii.WINDOW for s, e in found)
+        assert all(b[0] - a[0] == pii.STRIDE for a, b in zip(found, found[1:], strict=False))
+
+
+def test_pii_held_out_spans_in_long_texts():
+    """Labelled spans of sentences that were not trained on, joined to texts of many windows, and no span in plain prose."""
+    r, hit, wrong, all_ = random.Random(5), 0, 0, 0
+    texts, wants = [], []
+    for n in range(20):
+        text, want = "", set()
+        for part, spans in pii.examples(40, 900 + n):
+            want |= {(k, len(text) + s, len(text) + e) for k, s, e in spans if e <= len(part)}
+            text += part + "\n"
+        texts.append(text)
+        wants.append(want)
+    tagger = pii.default_tagger()
+    for text, want in zip(texts, wants, strict=True):
+        read, some = pii.Reconciled(text), list(pii.windows(text))
+        for s, e in some:
+            read.add(s, e, tagger.decode(pii.symbols(text[s:e])[None], np.array([e - s]))[0])
+        got = set(read.spans())
+        hit, wrong, all_ = hit + len(got & want), wrong + len(got - want), all_ + len(want)
+    assert all_ > 1000 and hit >= 0.95 * all_ and wrong <= 0.05 * all_
+    plain = [" ".join(r.choice("the on grado venir strasse élan über niño".split()) for _ in range(400)) for _ in range(5)]
+    assert pii.detect(tagger, plain) == [([], [])] * 5
+
+
+def test_pii_decoding_is_the_best_path():
+    """Ragged rows against Viterbi over the training pass's emissions."""
+    r, t = np.random.default_rng(2), pii.Tagger.fresh(4)
+    sizes = np.array([40, 33, 33, 10, 2, 1])
+    x = r.integers(1, pii.SYMBOLS, (6, 40))
+    got = t.decode(x.astype(np.uint8), sizes)
+    for k, n in enumerate(sizes):
+        scores = t.emissions(x[k : k + 1, :n])[0][:, 0]
+        best, ways = scores[0], [[j] for j in range(pii.TAGS)]
+        for s in scores[1:]:
+            reach = best[:, None] + t.moves
+            ways = [[*ways[int(reach[:, j].argmax())], j] for j in range(pii.TAGS)]
+            best = reach.max(axis=0) + s
+        assert ways[int(best.argmax())] == got[k, :n].tolist()
+
+
 def test_pii_gradients():
     r = np.random.default_rng(1)
     t = pii.Tagger.fresh(3)
