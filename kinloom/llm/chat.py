@@ -1,9 +1,9 @@
 """Chat formatting of reply trees, with DataFrame functions only.
 
 Messages name their parent. Root-to-leaf paths are enumerated by iterative
-self-joins that double their reach: after k rounds each leaf knows its nearest
-2^k ancestors, so a thread of n messages takes about log2(n) rounds on id
-columns alone. Branches are ranked by the sum of their messages' scores, and
+self-joins that double their reach: after k rounds each message knows its
+2^k-th ancestor, and with those each leaf its nearest 2^k ancestors, so a
+thread of n messages takes about log2(n) rounds on id columns alone. Branches are ranked by the sum of their messages' scores, and
 each chosen path becomes one conversation in a ChatML-like template.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` for each turn. Inside roles
@@ -12,10 +12,13 @@ feed also becomes ``<\\/``), so no control string can arise and the escape can
 be undone exactly.
 
 Defined results: null text or role is empty; a null score is 0; a message whose
-parent is null or absent is a root; messages that only reach each other in a
-cycle have no root and belong to no path; equal branch scores go to the
-smaller leaf id; a null tree id is a tree of its own; rows that repeat are
-messages of their own (linear_tree numbers them).
+parent is null or absent is a root; messages in a cycle of parents, or that
+hang off one, have no root and belong to no path, and neither do messages
+without an id; equal branch scores go to the smaller leaf id; a null tree id
+is a tree of its own; rows that repeat a message id in a tree are one message,
+the least by parent, role, text and score (linear_tree numbers rows, so there
+each is a message of its own); columns beside the named ones are not read. A
+very long conversation is one row, so a task holds a few copies of it.
 """
 
 from __future__ import annotations
@@ -51,24 +54,46 @@ def linear_tree(rows: DataFrame, conv: str = "conv_id", turn: str = "turn") -> D
     return rows.select("tree_id", number.alias("msg_id"), F.when(number > 1, number - 1).alias("parent_id"), "role", "text", F.lit(0.0).alias("score"))
 
 
+def ancestors(spark: SparkSession, ids: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Tables k = 0, 1, ... of (t, m, to): message m's 2^k-th ancestor; and those (t, m) whose ancestors never end.
+
+    A tree that has a message of depth d has one of every smaller depth, so
+    once a round ends for no message, those left run into a cycle.
+    """
+    known = ids.select(F.col("tree_id").alias("t"), F.col("msg_id").alias("m"))
+    jump = written(spark, ids.join(known, ids.tree_id.eqNullSafe(known.t) & (ids.parent_id == known.m)).select(F.col("tree_id").alias("t"), F.col("msg_id").alias("m"), F.col("parent_id").alias("to")), "jump")
+    tables, left = [], None
+    while (now := jump.count()) and now != left:
+        tables.append(jump)
+        left = now
+        hop = jump.select(F.col("t").alias("t2"), F.col("m").alias("m2"), F.col("to").alias("far"))
+        jump = written(spark, jump.join(hop, jump.t.eqNullSafe(hop.t2) & (jump["to"] == hop.m2)).select("t", "m", F.col("far").alias("to")), "jump")
+    return tables, jump.select("t", "m")
+
+
 def paths(spark: SparkSession, messages: DataFrame) -> DataFrame:
-    """(tree_id, leaf_id, msg_id, up): every message of every root-to-leaf path, `up` steps above the leaf."""
+    """(tree_id, leaf_id, msg_id, up): every message of every root-to-leaf path, `up` steps above the leaf; one row for each message id of a tree."""
     ids = written(spark, messages.select("tree_id", "msg_id", "parent_id"), "messages")
-    known = ids.select(F.col("tree_id").alias("t"), F.col("msg_id").alias("m")).distinct()
-    jump = ids.join(known, ids.tree_id.eqNullSafe(known.t) & (ids.parent_id == known.m)).select("tree_id", "msg_id", F.col("parent_id").alias("to"))
-    jump = written(spark, jump, "jump")
-    parents = jump.select(F.col("tree_id").alias("t"), F.col("to").alias("m")).distinct()
-    reach = ids.join(parents, ids.tree_id.eqNullSafe(parents.t) & (ids.msg_id == parents.m), "left_anti").select("tree_id", F.col("msg_id").alias("leaf_id"), "msg_id", F.lit(0).cast("long").alias("up"))
-    step, most = 1, ids.count()
-    while step <= most and not jump.isEmpty():
-        hop = jump.select(F.col("tree_id").alias("t"), F.col("msg_id").alias("m"), "to")
-        further = reach.join(hop, reach.tree_id.eqNullSafe(hop.t) & (reach.msg_id == hop.m)).select("tree_id", "leaf_id", F.col("to").alias("msg_id"), (F.col("up") + step).alias("up"))
+    tables, endless = ancestors(spark, ids)
+    same = lambda c: c.tree_id.eqNullSafe(F.col("t")) & (c.msg_id == F.col("m"))
+    parents = tables[0].select("t", F.col("to").alias("m")).distinct() if tables else endless
+    reach = ids.where("msg_id is not null").join(parents, same(ids), "left_anti").join(endless, same(ids), "left_anti")
+    reach = reach.select("tree_id", F.col("msg_id").alias("leaf_id"), "msg_id", F.lit(0).cast("long").alias("up"))
+    for k, jump in enumerate(tables):
+        further = reach.join(jump, same(reach)).select("tree_id", "leaf_id", F.col("to").alias("msg_id"), (F.col("up") + (1 << k)).alias("up"))
         reach = written(spark, reach.unionByName(further), "reach")
-        jump = written(spark, jump.join(hop.withColumnRenamed("to", "far"), jump.tree_id.eqNullSafe(F.col("t")) & (jump["to"] == F.col("m"))).select("tree_id", "msg_id", F.col("far").alias("to")), "jump")
-        step *= 2
     return reach
 
 
+def one_each(messages: DataFrame) -> DataFrame:
+    """One row for each message id of a tree, the least by its other columns; as it is where no id repeats."""
+    key = ["tree_id", "msg_id"]
+    if messages.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return messages
+    rest = F.min(F.struct("parent_id", "role", "text", "score")).alias("least")
+    return messages.groupBy(*key).agg(rest).select(*key, "least.*")
+
+
 def conversations(spark: SparkSession, messages: DataFrame, branches: int = 1) -> DataFrame:
     """The `branches` best paths of each tree, formatted.
 
@@ -77,6 +102,7 @@ def conversations(spark: SparkSession, messages: DataFrame, branches: int = 1) -
     code points of formatted: the escaped text of each assistant turn).
     """
     messages = written(spark, messages.select("tree_id", "msg_id", "parent_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score")), "turns")
+    messages = one_each(messages)
     on_path = paths(spark, messages)
     scores = messages.select(F.col("tree_id").alias("t"), F.col("msg_id").alias("m"), "score")
     branch = on_path.join(scores, on_path.tree_id.eqNullSafe(F.col("t")) & (on_path.msg_id == F.col("m"))).groupBy("tree_id", "leaf_id").agg(F.sum("score").alias("branch_score"))

@@ -545,6 +545,18 @@ def test_chat_trees_and_edges(spark):
     assert {r.conv_id: r.n_turns for r in chat.digests(chat.conversations(spark, chat.linear_tree(same))).collect()} == {1: 3, None: 1}
 
 
+def test_chat_leaves_off_a_cycle_and_repeated_ids(spark):
+    rows = [(1, 1, 3, "user", "c1", 1.0), (1, 2, 1, "user", "c2", 1.0), (1, 3, 2, "user", "c3", 1.0), (1, 4, 3, "user", "off", 9.0), (1, 5, 4, "user", "further off", 9.0), (2, 1, 1, "user", "its own parent", 0.0), (2, 2, 1, "user", "below", 0.0)]
+    rows += [(3, n, n - 1 if n > 1 else None, "user", f"t{n}", 0.0) for n in range(1, 14)] + [(3, 20, 6, "assistant", "branch", 0.5)]
+    rows += [(4, 1, None, "user", "first", 0.0), (4, 1, None, "user", "also first", 0.0), (4, 2, 1, "assistant", "b", 0.0), (4, 2, 1, "assistant", "b", 0.0), (4, None, 1, "user", "no id", 5.0)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "tree_id long, msg_id long, parent_id long, role string, text string, score double, t string, m long")
+    on = chat.paths(spark, df.where("tree_id < 4"))
+    assert on.count() == 13 + 7 and {r.tree_id for r in on.collect()} == {3}
+    out = chat.conversations(spark, df, 5)
+    back = {(r.tree_id, r.branch_rank): [t.text for t in r.turns] for r in out.select("tree_id", "branch_rank", chat.parsed(out.formatted).alias("turns")).collect()}
+    assert back == {(3, 1): [*(f"t{n}" for n in range(1, 7)), "branch"], (3, 2): [f"t{n}" for n in range(1, 14)], (4, 1): ["also first", "b"]}
+
+
 def test_chat_is_native(spark, sf):
     plan = queries.op8_chat_format(spark, sf)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
