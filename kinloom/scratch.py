@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def folder(spark: SparkSession) -> str:
+def folder(spark: SparkSession, name: str = "kinloom-core") -> str:
     """The folder that all executors share (spark.checkpoint.dir); a temporary one where that is unset and Spark is local."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = os.path.join(tempfile.gettempdir(), "kinloom-shared")
-    return f"{found.rstrip('/')}/kinloom-core-{spark.sparkContext.applicationId}"
+    return f"{found.rstrip('/')}/{name}-{spark.sparkContext.applicationId}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
