@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinloom.scratch import folder
 
 #: Rows that a kernel holds a second copy of at once.
 SLICE = 1024
@@ -22,12 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = os.path.join(tempfile.gettempdir(), "kinloom-shared")
-    return f"{found.rstrip('/')}/kinloom-{spark.sparkContext.applicationId}"
+    return folder(spark, "kinloom")
 
 
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -44,6 +38,24 @@ def clear(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def own_names(outputs: list[str], taken: list[str]) -> list[str]:
+    """Names for an operator's own columns beside the `taken` ones: an underscore is put behind a name until it is free (case aside)."""
+    used, out = {x.lower() for x in taken}, []
+    for name in outputs:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def with_text(df: DataFrame, keep: list[str], text: str) -> tuple[DataFrame, str]:
+    """Columns `keep` of df and its text column behind them (cast to string), and the schema of `keep`."""
+    kept = df.select(*keep)
+    name = own_names(["_text"], keep)[0]
+    return df.select(*keep, F.col(text).cast("string").alias(name)), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
+
+
 def bucket_of(doc_id: str, mod: int) -> "F.Column":
     """crc32 of the id as text, mod `mod`; a null id counts as the empty string."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(mod))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinloom.llm import flat
-from kinloom.llm.common import filter_rows, map_batches
+from kinloom.llm.common import filter_rows, map_batches, own_names, with_text
 
 LETTER_BUCKETS = 1 << 12
 GRAM_BUCKETS = 1 << 16
@@ -140,6 +140,8 @@ def predict(df: DataFrame, model: Model, keep: dict[str, str], text: str = "text
     """Columns `keep` (name: type) of df with lang_pred and score."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     names = list(keep)
+    mine = own_names(["lang_pred", "score"], names)
+    rows, _ = with_text(df, names, text)
 
     def kernel():
         own = shared.value
@@ -148,11 +150,11 @@ def predict(df: DataFrame, model: Model, keep: dict[str, str], text: str = "text
         def each(batch):
             found = [own.predict(t) for t in flat.texts(batch.column(len(names)))]
             best = np.concatenate([x[0] for x in found])
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(labels[best], pa.string()), pa.array(np.concatenate([x[1] for x in found]))], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(labels[best], pa.string()), pa.array(np.concatenate([x[1] for x in found]))], [*names, *mine])
 
         return each
 
-    return map_batches(df.select(*names, F.col(text).alias("_text")), kernel, ", ".join([*(f"`{k}` {v}" for k, v in keep.items()), "lang_pred string", "score double"]))
+    return map_batches(rows, kernel, ", ".join([*(f"`{k}` {v}" for k, v in keep.items()), f"`{mine[0]}` string, `{mine[1]}` double"]))
 
 
 def keep_identified(df: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:

@@ -7,12 +7,16 @@ the marker U+2581: a space becomes the marker, and one marker is put before
 the text. No piece holds a marker after another character, so a best path is
 the chain of best paths of the segments that begin with a run of markers;
 segments are cut there, made distinct within a chunk, and all distinct ones
-are walked through the trie and the Viterbi recursion together in numpy.
+are walked through the trie and the Viterbi recursion together in numpy. A
+segment of over LONG_SEGMENT bytes is walked alone, block by block, with the
+same result, so that a very long text without spaces holds only a back pointer
+for each byte.
 
 Defined results: a null text has null ids and decodes to null; an empty text
 has no ids (no marker is put before it). Equal scores: the longer last piece
 wins. A text holding the marker itself decodes to a space there; `exact` says
-whether decoding gave back the text.
+whether decoding gave back the text. Rows that repeat are encoded each;
+columns that are kept may have any name (see encoded).
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinloom.llm import flat
-from kinloom.llm.common import map_batches
+from kinloom.llm.common import map_batches, own_names, with_text
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()
@@ -209,6 +213,67 @@ def viterbi(v: Vocabulary, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray
     return out, np.concatenate(([0], np.cumsum(np.bincount(who, weights=many, minlength=n).astype(np.int64))))
 
 
+#: Bytes from which a segment is walked alone.
+LONG_SEGMENT = 1 << 16
+
+
+def long_viterbi(v: Vocabulary, data: np.ndarray, block: int = LONG_SEGMENT) -> np.ndarray:
+    """Best ids of one byte string, as viterbi gives them, with twelve bytes held for each byte and matches only of a block of starts."""
+    n = len(data)
+    begin = np.flatnonzero((data & 0xC0) != 0x80)
+    char_end = np.append(begin[1:], n)
+    back, piece = np.zeros(n + 1, np.int64), np.full(n + 1, -1, np.int32)
+    reach = {0: 0.0}  # the best score of each position from the block's start on
+    for s in range(0, len(begin), block):
+        own, own_end = begin[s : s + block], char_end[s : s + block]
+        pos, state, found = own, np.zeros(len(own), np.int32), []
+        lone = np.ones(len(own), bool)
+        for depth in range(v.longest):
+            inside = pos + depth < n
+            pos, state = pos[inside], state[inside]
+            state = v.trie.step(state, data[pos + depth])
+            live = state >= 0
+            pos, state = pos[live], state[live]
+            if not len(pos):
+                break
+            number = v.trie.value[state]
+            hit = number >= 0
+            found.append((pos[hit], pos[hit] + depth + 1, number[hit]))
+            which = np.searchsorted(own, pos[hit])
+            lone[which[own_end[which] == pos[hit] + depth + 1]] = False
+        found.append((own[lone], own_end[lone], np.full(int(lone.sum()), -1)))
+        first, last, number = (np.concatenate(x) for x in zip(*found, strict=True))
+        score = np.where(number >= 0, v.scores[number], v.byte_score * (last - first))
+        order = np.lexsort((last, first))
+        for f, e, p, x in zip(first[order].tolist(), last[order].tolist(), number[order].tolist(), score[order].tolist(), strict=True):
+            x += reach[f]
+            if e not in reach or x > reach[e]:
+                reach[e], back[e], piece[e] = x, f, p
+        stop = int(own_end[-1])
+        reach = {e: x for e, x in reach.items() if e >= stop}
+    out, at = [], n
+    while at:
+        f, p = int(back[at]), int(piece[at])
+        out.append([int(v.ids[p])] if p >= 0 else v.byte_ids[data[f:at]].tolist())
+        at = f
+    return np.array([i for ids in reversed(out) for i in ids], np.int32)
+
+
+def walked(v: Vocabulary, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """viterbi, with long segments walked alone."""
+    long = np.flatnonzero(np.diff(at) > LONG_SEGMENT)
+    if not len(long):
+        return viterbi(v, data, at)
+    parts, s = [], 0
+    for k in [*long.tolist(), len(at) - 1]:
+        parts.append(viterbi(v, data[at[s] : at[k]], at[s : k + 1] - at[s]))
+        if k < len(at) - 1:
+            ids = long_viterbi(v, data[at[k] : at[k + 1]])
+            parts.append((ids, np.array([0, len(ids)])))
+        s = k + 1
+    return np.concatenate([x[0] for x in parts]), np.concatenate(([0], np.cumsum(np.concatenate([np.diff(x[1]) for x in parts]))))
+
+
 #: Encoded segments that a task keeps for later chunks.
 HELD_SEGMENTS = 1 << 17
 
@@ -280,7 +345,7 @@ def encode(v: Vocabulary, t: flat.Texts, held: Held | None = None) -> tuple[np.n
         begin = starts[one[rows]]
         size = ends[one[rows]] - begin
         seg_at = np.concatenate(([0], np.cumsum(size)))
-        return viterbi(v, data[np.repeat(begin - seg_at[:-1], size) + np.arange(seg_at[-1])], seg_at)
+        return walked(v, data[np.repeat(begin - seg_at[:-1], size) + np.arange(seg_at[-1])], seg_at)
 
     ids, ids_at = (held or Held()).encode(distinct, walk)
     counts = np.diff(ids_at)[which]
@@ -324,9 +389,13 @@ class Decoder:
 
 
 def encoded(df: DataFrame, v: Vocabulary, keep: list[str], text: str = "text") -> DataFrame:
-    """Columns `keep` of df with ids (array of int), n_pieces, n_bytes (fallback bytes among them) and exact (decoding gives the text back)."""
+    """Columns `keep` of df with ids (array of int), n_pieces, n_bytes (fallback bytes among them) and exact (decoding gives the text back).
+
+    A kept column of one of these names stays as it is; the operator's own then has an underscore behind its name.
+    """
     shared = df.sparkSession.sparkContext.broadcast(v)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields]
+    rows_of, fields = with_text(df, keep, text)
+    names = own_names(["ids", "n_pieces", "n_bytes", "exact"], keep)
 
     def kernel():
         own = shared.value
@@ -350,17 +419,19 @@ def encoded(df: DataFrame, v: Vocabulary, keep: list[str], text: str = "text") -
                 n = np.diff(at)
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids), mask=pa.array(~t.valid)) if not t.valid.all() else pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
                 rows = batch.slice(t.first, len(t)).columns[: len(keep)]
-                yield pa.RecordBatch.from_arrays([*rows, lists, pa.array(n, mask=~t.valid), pa.array(np.diff(fell[at]), mask=~t.valid), pa.array(~differs, mask=~t.valid)], [*keep, "ids", "n_pieces", "n_bytes", "exact"])
+                yield pa.RecordBatch.from_arrays([*rows, lists, pa.array(n, mask=~t.valid), pa.array(np.diff(fell[at]), mask=~t.valid), pa.array(~differs, mask=~t.valid)], [*keep, *names])
 
         return each
 
-    return map_batches(df.select(*keep, F.col(text).alias("_text")), kernel, ", ".join([*fields, "ids array<int>, n_pieces long, n_bytes long, exact boolean"]))
+    own_fields = [f"`{n}` {t}" for n, t in zip(names, ("array<int>", "long", "long", "boolean"), strict=True)]
+    return map_batches(rows_of, kernel, ", ".join([*filter(None, [fields]), *own_fields]))
 
 
 def decoded(df: DataFrame, v: Vocabulary, keep: list[str], ids: str = "ids") -> DataFrame:
     """Columns `keep` of df with text, decoded from an array of ids; bytes that are no UTF-8 become U+FFFD."""
     shared = df.sparkSession.sparkContext.broadcast(v)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields]
+    name, source = own_names(["text", "_ids"], keep)
 
     def kernel():
         decode = Decoder(shared.value)
@@ -371,8 +442,8 @@ def decoded(df: DataFrame, v: Vocabulary, keep: list[str], ids: str = "ids") ->
             at = np.concatenate(([0], np.cumsum([len(x or ()) for x in rows], dtype=np.int64)))
             data, bounds = decode(np.array([i for x in rows for i in x or ()], np.int64), at)
             texts = [None if x is None else data[s:e].tobytes().decode("utf-8", "replace") for x, s, e in zip(rows, bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string())], [*keep, "text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string())], [*keep, name])
 
         return each
 
-    return map_batches(df.select(*keep, F.col(ids).alias("_ids")), kernel, ", ".join([*fields, "text string"]))
+    return map_batches(df.select(*keep, F.col(ids).alias(source)), kernel, ", ".join([*fields, f"`{name}` string"]))

@@ -30,9 +30,8 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from kinloom.llm.common import map_batches
+from kinloom.llm.common import map_batches, own_names, with_text
 
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -440,6 +439,9 @@ def detect(tagger: Tagger, texts: list[str]) -> list[tuple[list[Span], list[Span
     return out
 
 
+NAMES = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
+
+
 def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
@@ -447,15 +449,17 @@ def joined(spans: list[Span]) -> str:
 def scanned(df: DataFrame, keep: list[str], tagger: Tagger | None = None, text: str = "text") -> DataFrame:
     """Columns `keep` with n_email, n_ip, n_card, n_phone and base_sha256 of the pattern spans, and all spans."""
     shared = df.sparkSession.sparkContext.broadcast(tagger or default_tagger())
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields]
+    rows, fields = with_text(df, keep, text)
+    names = own_names(NAMES, keep)
 
     def kernel():
         def each(batch):
             found = detect(shared.value, [x or "" for x in batch.column(len(keep)).to_pylist()])
             counts = [pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in KINDS]
             digest = [hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *counts, pa.array(digest, pa.string()), pa.array([joined(spans) for _, spans in found], pa.string())], [*keep, *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *counts, pa.array(digest, pa.string()), pa.array([joined(spans) for _, spans in found], pa.string())], [*keep, *names])
 
         return each
 
-    return map_batches(df.select(*keep, F.col(text).alias("_text")), kernel, ", ".join([*fields, *(f"n_{k} long" for k in KINDS), "base_sha256 string, spans string"]))
+    types = ["long"] * len(KINDS) + ["string", "string"]
+    return map_batches(rows, kernel, ", ".join([*filter(None, [fields]), *(f"`{n}` {t}" for n, t in zip(names, types, strict=True))]))

@@ -27,9 +27,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from kinloom.llm.common import SLICE, map_batches
+from kinloom.llm.common import SLICE, map_batches, own_names, with_text
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -212,24 +211,29 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
     return base, sorted(spans, key=order)
 
 
+NAMES = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
+
+
 def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
 def scanned(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """Columns `keep` with n_assign, n_access, n_hex and base_sha256 of the base spans, and all spans."""
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields]
+    rows, fields = with_text(df, keep, text)
+    names = own_names(NAMES, keep)
 
     def kernel():
         def each(batch):
             found = [scan(x.as_py() or "") for x in batch.column(len(keep))]
             counts = [pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in KINDS]
             digest = [hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *counts, pa.array(digest, pa.string()), pa.array([joined(spans) for _, spans in found], pa.string())], [*keep, "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *counts, pa.array(digest, pa.string()), pa.array([joined(spans) for _, spans in found], pa.string())], [*keep, *names])
 
         return each
 
-    return map_batches(df.select(*keep, F.col(text).alias("_text")), kernel, ", ".join([*fields, "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"]))
+    types = ["long"] * len(KINDS) + ["string", "string"]
+    return map_batches(rows, kernel, ", ".join([*filter(None, [fields]), *(f"`{n}` {t}" for n, t in zip(names, types, strict=True))]))
 
 
 MASK = "[secret]"

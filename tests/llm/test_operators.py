@@ -13,6 +13,7 @@ from urllib.parse import quote
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from kinloom.llm import brown, chat, decontaminate, flat, language_id, licenses, neardup, pieces, pii, queries, secrets, topk
 from kinloom.llm.common import table
@@ -509,6 +510,20 @@ def test_pii_gradients():
         assert abs((up - down) / 2e-2 - g[at]) < 0.05 * abs(g[at]) + 1e-3
 
 
+def test_operators_beside_columns_of_their_own_names(spark, odd):
+    model = language_id.fit(spark, odd.select("g", "text", "lang").withColumnRenamed("g", "key"))
+    names = ["n_email", "spans", "SPANS_", "ids", "lang_pred", "score", "n_hex", "_text", "doc_id"]
+    df = odd.select("text", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    for got, mine in (
+        (pii.scanned(df, names), ["n_email_", "n_ip", "n_card", "n_phone", "base_sha256", "spans__"]),
+        (secrets.scanned(df, names), ["n_assign", "n_access", "n_hex_", "base_sha256", "spans__"]),
+        (pieces.encoded(df, pieces.load(), names), ["ids_", "n_pieces", "n_bytes", "exact"]),
+        (language_id.predict(df, model, dict.fromkeys(names, "int")), ["lang_pred_", "score_"]),
+    ):
+        assert got.columns == [*names, *mine] and got.count() == odd.count()
+        assert got.select(*names).distinct().collect() == [tuple(range(len(names)))]
+
+
 # --- 8 ---
 
 
@@ -605,6 +620,22 @@ def test_pieces_are_the_best_paths_and_decode_back():
     assert not [k for k in v.bytes_of.values() if pieces.MARK in k.lstrip(pieces.MARK)]
 
 
+def test_pieces_of_long_segments(monkeypatch):
+    """A segment walked alone in blocks has the ids that all segments walked together have."""
+    v, r = pieces.load(), random.Random(3)
+    for _ in range(30):
+        text = "".join(r.choice("abcdefgh the ing tion é 日 🎉 xx 12".replace(" ", "") + "aaaa") for _ in range(r.randrange(1, 300)))
+        data = np.frombuffer(text.encode(), np.uint8)
+        want, _ = pieces.viterbi(v, data, np.array([0, len(data)]))
+        for block in (1, 7, 1 << 16):
+            assert pieces.long_viterbi(v, data, block).tolist() == want.tolist()
+    texts = ["one two", "x" * 50 + "antidisestablishmentarianism" * 9, "", "short " * 4, "tail" * 40]
+    t = next(flat.texts(pa.array(texts)))
+    whole = [x.tolist() for x in pieces.encode(v, t)]
+    monkeypatch.setattr(pieces, "LONG_SEGMENT", 20)
+    assert [x.tolist() for x in pieces.encode(v, t)] == whole
+
+
 def test_pieces_query(spark, sf, odd):
     got = queries.op9_sentencepiece(spark, sf)
     assert got.count() == table(spark, sf, "documents").count() and got.where("not exact").count() == 0
