@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinloom.operators.components import linked
 from kinloom.scratch import written
 
 
@@ -41,17 +42,9 @@ def above_percentile(edges: DataFrame, q: float) -> DataFrame:
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, component): the smallest node reachable. Min-label hooking onto hubs, pre-aggregated, each round written."""
-    e = written(incident(edges.withColumn("weight", F.lit(0.0))).select("node", "other").distinct(), "arcs")
-    label = written(nodes.select(F.col("node"), F.col("node").alias("component")), "labels")
-    while True:
-        near = e.join(label.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("low"))
-        best = label.join(near, "node", "left").select("node", F.least("component", F.coalesce("low", "component")).alias("component"))
-        up = best.select(F.col("node").alias("component"), F.col("component").alias("higher"))
-        new = written(best.join(up, "component", "left").select("node", F.least("component", F.coalesce("higher", "component")).alias("component")), "labels")
-        if new.join(label.withColumnRenamed("component", "old"), "node").where("component <> old").isEmpty():
-            return new
-        label = new
+    """(node, component): the smallest node reachable; a node without edges is its own."""
+    found = linked(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return nodes.select("node").join(found, "node", "left").select("node", F.coalesce("label", "node").alias("component"))
 
 
 def community_metrics(edges: DataFrame, membership: DataFrame) -> DataFrame:

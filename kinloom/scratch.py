@@ -20,11 +20,24 @@ def folder(spark: SparkSession, name: str = "kinloom-core") -> str:
     return f"{found.rstrip('/')}/{name}-{spark.sparkContext.applicationId}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, kind: str = "kinloom-core") -> DataFrame:
     """df as a table in the shared folder, so that it is computed once and lineage ends there."""
-    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder(df.sparkSession, kind)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that written() made and that nothing reads any more."""
+    for df in tables:
+        delete(df.sparkSession, df.written_to)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def dense_id(df: DataFrame, order: list, name: str) -> DataFrame:
