@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.scratch import folder
+from kinloom import scratch
 
 #: Rows that a kernel holds a second copy of at once.
 SLICE = 1024
@@ -21,21 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
-    return folder(spark, "kinloom")
+    return scratch.folder(spark, "kinloom")
 
 
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: lineage ends there, and a lost executor costs only tasks."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return scratch.written(df, name, "kinloom")
 
 
 def clear(spark: SparkSession) -> None:
     """Deletes all that written() left; results that read it must have been saved before."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    scratch.delete(spark, shared_dir(spark))
 
 
 def own_names(outputs: list[str], taken: list[str]) -> list[str]:

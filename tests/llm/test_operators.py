@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from kinloom.llm import brown, chat, decontaminate, flat, language_id, licenses, neardup, pieces, pii, queries, secrets, topk
 from kinloom.llm.common import table
+from kinloom.operators import components
 
 SPACE = re.compile(r"[^\x20\x09-\x0d]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, sig string, label long, g long"
@@ -214,9 +215,22 @@ def test_neardup_brute_force(spark, sf):
     assert got == {i: (len(sets[i]), at[i], at[i] == i) for i in sets}
 
 
-def test_neardup_groups_in_many_tiles(spark, monkeypatch):
+def test_neardup_hot_classes(spark):
+    """Many texts without words, and one text with many copies: each in one class, with or without ids of their own."""
+    many, base = 20_000, prose(9, 40)
+    rows = spark.range(3 * many).select(F.col("id").alias("doc_id"), F.when(F.col("id") < many, F.lit(" ")).when(F.col("id") < 2 * many, F.lit(base)).otherwise(F.concat(F.lit("own words of number "), F.col("id"), F.lit(" here"))).alias("text"))
+    got = neardup.classes(spark, rows).groupBy("kept", (F.col("component_id") == many).alias("hot")).count().collect()
+    assert {(r.kept, r.hot): r["count"] for r in got} == {(True, False): 2 * many, (True, True): 1, (False, True): many - 1}
+    none = rows.withColumn("doc_id", F.when(F.col("doc_id") >= 2 * many, F.col("doc_id")))
+    kept = neardup.deduplicated(spark, none).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in kept} == {None: many + 1} | {i: 1 for i in range(2 * many, 3 * many)}
+
+
+@pytest.mark.parametrize("hub", [4, 1024])
+def test_neardup_groups_in_many_tiles(spark, monkeypatch, hub):
     """A base with copies that meet only through it, and chains, cut into tiles far smaller than the group."""
     monkeypatch.setattr(neardup, "TILE", 7)
+    monkeypatch.setattr(components, "HUB_ROWS", hub)
     r, rows = random.Random(4), []
     base = prose(5, 60).split()
     for i in range(40):
@@ -230,19 +244,6 @@ def test_neardup_groups_in_many_tiles(spark, monkeypatch):
     assert got == at
 
 
-def test_components_with_hubs_dealt(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "HUB_ROWS", 8)
-    r = random.Random(3)
-    pairs = [(7, 100 + i) for i in range(60)] + [(900, 300 + i) for i in range(60)] + [(900, 1200 + i) for i in range(30)] + [(1201, 1300), (3, 1300)] + [(r.randrange(2000, 2100), r.randrange(2000, 2100)) for _ in range(70)]
-    label = {x: x for p in pairs for x in p}
-    for _ in label:
-        for a, b in pairs:
-            label[a] = label[b] = min(label[a], label[b])
-    alone = {x for x in label if not any(x in p and p[0] != p[1] for p in pairs)}
-    found = neardup.components(spark, spark.createDataFrame(pairs, "a long, b long")).collect()
-    assert sorted((x["node"], x["label"]) for x in found) == sorted((k, v) for k, v in label.items() if k not in alone)
-
-
 def test_neardup_edges(spark, odd):
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in neardup.classes(spark, odd).collect())
     assert [x[2] for x in got if x[0] in (1, 2, 3)] == [1, 1, 1, 1]
