@@ -89,11 +89,11 @@ def patterns(text: str) -> list[Span]:
 WINDOW, STRIDE = 512, 448
 #: Characters of a training example.
 EXAMPLE = 96
-HIDDEN = 20
+HIDDEN = 12
 SYMBOLS = 100  # 0: nothing; 1-95: printable ASCII; 96-99: other letters, digits, spaces, rest
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
 #: Windows decoded at once.
-DECODED = 512
+DECODED = 3072
 
 #: Code point -> symbol, 0 where it has not been met yet.
 _symbol_of = np.zeros(0x110000, np.uint8)
@@ -148,7 +148,7 @@ def _states(x: np.ndarray, live: np.ndarray, table: np.ndarray, u: np.ndarray) -
             return
         h, c = h[:, :n], c[:, :n]
         z = u @ h
-        z += np.take(table, x[s, :n], axis=1)
+        z += np.take(table, x[s, :n], axis=1, mode="clip")
         np.tanh(z, out=z)
         gates = z[: 3 * HIDDEN]
         gates *= np.float32(0.5)
@@ -211,26 +211,32 @@ class Tagger:
         live = np.searchsorted(-sizes, -np.arange(steps), "left")  # rows that have a step: the first so many
         scores = np.empty((steps, TAGS, rows), np.float32)
         scores[:] = self.out[-1][:, None]
-        turned = np.maximum(sizes[:, None] - 1 - np.arange(steps), 0)
         for s, h in _states(x.T, live, self.forward, self.forward_u):
             scores[s, :, : live[s]] += self.out[:HIDDEN].T @ h
-        for s, h in _states(np.take_along_axis(x, turned, 1).T, live, self.backward, self.backward_u):
-            scores[turned[: live[s], s], :, np.arange(live[s])] += (self.out[HIDDEN : 2 * HIDDEN].T @ h).T
-        best, back = scores[0].copy(), np.zeros((steps, TAGS, rows), np.int8)
+        turned = np.take_along_axis(x, np.maximum(sizes[:, None] - 1 - np.arange(steps), 0), 1)
+        back_scores = np.empty_like(scores)
+        for s, h in _states(turned.T, live, self.backward, self.backward_u):
+            np.matmul(self.out[HIDDEN : 2 * HIDDEN].T, h, out=back_scores[s, :, : live[s]])
+        cuts = np.flatnonzero(np.diff(sizes, prepend=-1, append=-1))
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            scores[: sizes[lo], :, lo:hi] += back_scores[: sizes[lo], :, lo:hi][::-1]
+        # Best scores of all steps; the way back to them is found again only for the tags of the path.
+        best, moves = scores, self.moves[:, :, None]
         for s in range(1, steps):
             n = live[s]
-            reach = best[:, None, :n] + self.moves[:, :, None]
-            top, which = reach[0].copy(), back[s][:, :n]
+            before = best[s - 1][:, :n]
+            top = before[0] + moves[0]
             for t in range(1, TAGS):
-                np.copyto(which, t, where=reach[t] > top)
-                np.maximum(top, reach[t], out=top)
-            np.add(top, scores[s][:, :n], out=best[:, :n])
+                np.maximum(top, before[t] + moves[t], out=top)
+            best[s][:, :n] += top
         tags = np.zeros((steps, rows), np.int8)
-        now = best.argmax(axis=0)
+        now, into = np.zeros(rows, np.int64), np.ascontiguousarray(self.moves)
         for s in range(steps - 1, -1, -1):
-            n = live[s]
+            n, on = live[s], live[s + 1] if s + 1 < steps else 0
+            if on:
+                now[:on] = (best[s][:, :on] + np.take(into, now[:on], axis=1)).argmax(axis=0)
+            now[on:n] = best[s][:, on:n].argmax(axis=0)
             tags[s, :n] = now[:n]
-            now[:n] = back[s][now[:n], np.arange(n)]
         return tags.T
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
@@ -295,7 +301,7 @@ def train(labelled: list[tuple[str, list[Span]]], epochs: int = 16, batch: int =
     return tagger
 
 
-def examples(n: int = 2000, seed: int = 7) -> list[tuple[str, list[Span]]]:
+def examples(n: int = 3000, seed: int = 7) -> list[tuple[str, list[Span]]]:
     """Generated sentences with labelled spans."""
     r = np.random.default_rng(seed)
     pick = lambda *xs: xs[r.integers(len(xs))]
