@@ -10,14 +10,17 @@ code points.
 
 Defined results: a null text counts as empty; a span found in several layers
 counts once; bytes that are not UTF-8 are read with a replacement character
-each, and compressed data is unpacked again while a magic number matches.
-Unpacking stops for a layer whose data would grow over MAX_UNPACKED bytes (a
-decompression bomb), the only limit there is.
+each, and compressed data is unpacked again while a magic number matches, all
+its members, in blocks, so that a layer of any size is read whole with little
+memory. A pattern is found across blocks; only an encoded run without any
+white space that itself unpacks to over RUN bytes is decoded piece by piece.
+Rows that repeat are scanned each; kept columns may have any name. Memory is
+about 20 bytes a character of a text or of one block of a layer.
 """
 
 from __future__ import annotations
 
-import base64
+import binascii
 import hashlib
 import re
 import zlib
@@ -35,7 +38,12 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
-MAX_UNPACKED = 1 << 26
+#: Unpacked data is read in blocks of so many bytes, and compressed data fed in steps.
+BLOCK, STEP, OVERLAP = 1 << 20, 1 << 14, 1 << 12
+#: A run without white space stays whole up to so many bytes of unpacked data, then it is read in blocks.
+RUN = 1 << 26
+ZLIB = type(zlib.decompressobj())
+SPACES = re.compile(rb"\x20{64,}")
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 #: Runs that may hold compressed bytes: escapes with what an encoder leaves plain between them.
@@ -45,13 +53,14 @@ HEX_RUN = re.compile(r"(?:\\(?:x|u00)[0-9A-Fa-f]{2}|\\[nrt'\"\\]|[\x20-\x5b\x5d-
 HEX_BYTE = re.compile(r"\\(?:x|u00)([0-9A-Fa-f]{2})|\\[nrt'\"\\]|[\x20-\x5b\x5d-\x7e]")
 PLAIN_ESCAPES = {"\\n": b"\n", "\\r": b"\r", "\\t": b"\t"}
 MAGIC = re.compile(rb"\x1f\x8b|\x78[\x01\x5e\x9c\xda]|BZh|\x28\xb5\x2f\xfd")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{12,}(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)*={0,2}")
+#: A shorter run decodes to eleven bytes at most, fewer than any secret has.
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)*={0,2}")
+PLAIN64 = str.maketrans("-_", "+/")
 BASE64_CHARS = re.compile(r"[A-Za-z0-9+/_-]")
 
 
-def _plain(run: str) -> bool:
-    """A word or number rather than encoded data."""
-    return run.isdigit() or run.isalpha() and (run.islower() or run[1:].islower() or run.isupper())
+#: Decoded bytes without any of these hold no secret and no further layer.
+NOTABLE = re.compile(rb"passw|secret|token|api_?key|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[uUx]|&#|[A-Za-z0-9+/_-]{16}|" + MAGIC.pattern, re.I | re.S)
 
 
 def findings(text: str) -> Iterator[tuple[str, int, int]]:
@@ -98,35 +107,83 @@ def _opened(data: bytes, begin: np.ndarray, end: np.ndarray) -> Iterator[Layer]:
 def _inside(data: bytes, begin: np.ndarray, end: np.ndarray) -> Iterator[Layer]:
     """What is unpacked from compressed data in the bytes, from each magic number on, again while there is one."""
     for m in MAGIC.finditer(data):
-        more, seen = memoryview(data)[m.start() :], set()
-        while (more := _unpacked(more)) and (h := hashlib.sha256(more).digest()) not in seen:
+        level, seen = (lambda at=m.start(): _unpacked(iter([data[at:]]))), set()
+        while (first := next(level(), None)) and (h := hashlib.sha256(first).digest()) not in seen:
             seen.add(h)
-            text, _ = _text_of(more)
-            yield Layer(text, np.full(len(text), begin[m.start()]), np.full(len(text), end[-1]))
+            for part in _parts(level()):
+                text, _ = _text_of(part)
+                yield Layer(text, np.broadcast_to(begin[m.start()], len(text)), np.broadcast_to(end[-1], len(text)))
+            level = lambda under=level: _unpacked(under())
 
 
-def _unpacked(data: bytes) -> bytes | None:
-    """Decompressed data by its magic number; None where there is none."""
+def _tool(head: bytes):
+    """A decompressor by its magic number; None where there is none."""
+    if head[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if head[:1] == b"\x78" and head[1:2] in (b"\x01", b"\x5e", b"\x9c", b"\xda"):
+        return zlib.decompressobj()
+    if head[:3] == b"BZh":
+        import bz2
+
+        return bz2.BZ2Decompressor()
+    if head[:4] == b"\x28\xb5\x2f\xfd":
+        import zstandard
+
+        return zstandard.ZstdDecompressor().decompressobj()
+    return None
+
+
+def _unpacked(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """Decompressed data in blocks of about BLOCK bytes, member after member; what a broken stream gave before it broke stays."""
+    tool, head, held = None, b"", []
     try:
-        if data[:2] == b"\x1f\x8b":
-            tool = zlib.decompressobj(31)
-        elif data[:1] == b"\x78" and data[1:2] in (b"\x01", b"\x5e", b"\x9c", b"\xda"):
-            tool = zlib.decompressobj()
-        elif data[:3] == b"BZh":
-            import bz2
-
-            out = bz2.BZ2Decompressor().decompress(data, MAX_UNPACKED + 1)
-            return out if len(out) <= MAX_UNPACKED else None
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            return zstandard.ZstdDecompressor().decompress(data, max_output_size=MAX_UNPACKED)
-        else:
-            return None
-        out = tool.decompress(data, MAX_UNPACKED + 1)
-        return out if len(out) <= MAX_UNPACKED else None
+        for chunk in chunks:
+            for s in range(0, len(chunk), STEP):
+                head += chunk[s : s + STEP]
+                while head:
+                    if tool is None:
+                        if len(head) < 4 and s + STEP < len(chunk) or (tool := _tool(head)) is None:
+                            break
+                    if isinstance(tool, ZLIB):
+                        out = tool.decompress(head, BLOCK)
+                        head = tool.unconsumed_tail
+                    else:
+                        out, head = tool.decompress(head), b""
+                    if tool.eof:
+                        head, tool = tool.unused_data, None
+                    if out:
+                        held.append(out)
+                        if sum(map(len, held)) >= BLOCK:
+                            yield b"".join(held)
+                            held = []
+                if tool is None and head:
+                    break
+            if tool is None and len(head) >= 4:
+                break
     except Exception:  # noqa: BLE001  data that only looks compressed
-        return None
+        pass
+    if held:
+        yield b"".join(held)
+
+
+def _parts(blocks: Iterator[bytes]) -> Iterator[bytes]:
+    """Blocks, cut anew at white space and each begun OVERLAP bytes earlier, so that what a pattern needs stands in one of them.
+
+    A run of spaces is shortened to 64, which changes no match of a pattern. A
+    run of other bytes that is longer than a block is kept whole up to RUN.
+    """
+    rest, first = b"", True
+    for block in blocks:
+        rest = SPACES.sub(b" " * 64, rest + block)
+        cut = max(rest.rfind(b" "), rest.rfind(b"\n"))
+        if cut <= 0 and len(rest) < RUN:
+            continue
+        cut = cut if cut > 0 else len(rest)
+        yield rest[:cut]
+        rest = rest[max(0, cut - OVERLAP) :]
+        first = False
+    if rest and (first or len(rest) > OVERLAP or rest.strip()):
+        yield rest
 
 
 def _replaced(layer: Layer, parts: list[tuple[int, int, str, np.ndarray, np.ndarray]]) -> Layer:
@@ -178,15 +235,16 @@ def _escaped_bytes(layer: Layer, run: re.Pattern, token: re.Pattern) -> Iterator
 def _base64(layer: Layer) -> Iterator[Layer]:
     """Runs, joined over line breaks, at all four alignments: a payload may stand behind a path or prefix of the same characters."""
     for m in BASE64.finditer(layer.text):
-        if all(map(_plain, m.group().rstrip("=").split())):
-            continue
-        place = m.start() + np.array([x.start() for x in BASE64_CHARS.finditer(m.group())])
-        body = "".join(m.group().rstrip("=").split()).replace("-", "+").replace("_", "/")
+        body, place = "".join(m.group().rstrip("=").split()).translate(PLAIN64), None
         for a in range(4):
-            own, chars = place[a:], body[a:]
+            chars = body[a:]
             chars = chars[: len(chars) - (len(chars) % 4 == 1)]
-            data = base64.b64decode(chars + "=" * (-len(chars) % 4))
-            first = np.arange(len(data))
+            data = binascii.a2b_base64(chars + "=" * (-len(chars) % 4))
+            if not NOTABLE.search(data):
+                continue
+            if place is None:
+                place = m.start() + np.array([x.start() for x in BASE64_CHARS.finditer(m.group())])
+            own, first = place[a:], np.arange(len(data))
             yield from _opened(data, layer.begin[own[first * 4 // 3]], layer.end[own[np.minimum(((first + 1) * 4 + 2) // 3, len(chars)) - 1]])
 
 
@@ -195,7 +253,7 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
     rank = {k: i for i, k in enumerate(KINDS)}
     order = lambda s: (s[1], rank[s[0]], s[2])
     base = sorted(findings(text), key=order)
-    may = ("%" in text and URL.search(text), "\\" in text or "&#" in text, any(not all(map(_plain, m.group().rstrip("=").split())) for m in BASE64.finditer(text)))
+    may = ("%" in text and URL.search(text), "\\" in text or "&#" in text, BASE64.search(text))
     if not any(may):
         return base, base
     spans, seen = set(base), {hash(text)}

@@ -320,6 +320,40 @@ def test_secret_layers_in_longer_and_wrapped_runs(put):
     assert secrets.MASK in secrets.redact(text) and secrets.scan(secrets.redact(text))[1] == []
 
 
+def test_secret_large_layers_and_members(monkeypatch):
+    """No member and no layer is dropped, whatever it unpacks to."""
+    import bz2
+
+    import zstandard
+
+    key, filler = b"password = hunter2222", b"nothing here "
+    box = lambda raw: "see " + base64.b64encode(raw).decode() + " end"
+    found = lambda text: [s for s in secrets.scan(text)[1] if s[0] == "assign"]
+    for pack in (gzip.compress, bz2.compress, zlib.compress, zstandard.compress):
+        many = pack(filler * 9) + pack(filler * 5) + pack(key)
+        assert found(box(many)), pack
+        assert found(box(pack(pack(filler) + pack(filler + key)))), pack
+    assert found(box(gzip.compress(key + b"\0" * (70 << 20)))) and found(box(gzip.compress(b"x " * (35 << 20) + key)))
+    assert found(box(gzip.compress(gzip.compress(filler * 100 + key)[:-9])))  # cut short
+    monkeypatch.setattr(secrets, "BLOCK", 256)
+    monkeypatch.setattr(secrets, "STEP", 16)
+    monkeypatch.setattr(secrets, "OVERLAP", 64)
+    for n in range(40):
+        text = filler * 30 + b"y" * n + b" secret" + b" " * (3 * n) + b"= abcdef" + filler * 30
+        assert found(box(zlib.compress(text))), n
+        inner = base64.b64encode(filler + key) + b" "
+        assert found(box(zlib.compress(filler * 20 + b"z" * n + b" " + inner + filler * 40))), n
+    assert not found(box(zlib.compress(filler * 500)))
+
+
+def test_secret_words_are_decoded_too():
+    """Base64 that looks like one word or number."""
+    text = "token=aaaaaa"
+    assert base64.b64encode(text.encode()).decode() == "dG9rZW49YWFhYWFh"
+    for word in ("dG9rZW49YWFhYWFh", "/path/dG9rZW49YWFhYWFh"):
+        assert any(k == "assign" for k, *_ in secrets.scan(f"a {word} b")[1])
+
+
 def test_secret_edges(spark, odd):
     got = secrets.scanned(odd, ["doc_id"])
     assert got.count() == odd.count() and {r.spans for r in got.collect()} == {""}
