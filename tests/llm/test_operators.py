@@ -168,14 +168,60 @@ def test_brown_probabilities_sum_to_at_most_one(spark, sf):
     model, vocabulary = brown.fit(spark, docs)
     v = vocabulary.toPandas()
     hashes = v["hash"].to_numpy().view(np.uint64)
-    place = model.head(hashes)
-    of = model.class_of[np.where(place >= 0, place, brown.HEAD + v["tail"].to_numpy())]
+    place = model.frequent(hashes)
+    of = model.class_of[np.where(place >= 0, place, model.frequent.n + v["tail"].to_numpy())].astype(int)
     emit = (v["c"].to_numpy() + brown.DELTA) / 10 ** model.log_size[of]
     for before in range(brown.CLASSES):
-        total = (10 ** model.log_move[before, of] * emit).sum() + 10 ** (model.log_move[before, model.class_of[brown.END_UNIT]] + model.end_log - model.log_size[model.class_of[brown.END_UNIT]])
+        total = (10 ** model.log_move[before, of] * emit).sum() + 10 ** (model.log_move[before, model.class_of[-1]] + model.end_log - model.log_size[model.class_of[-1]])
         assert 0.9 < total <= 1 + 1e-9
 
 
+def test_brown_score_is_the_class_models(spark, sf, monkeypatch):
+    """score against a plain walk over each text's words, with words beyond the broadcast ones in their groups' classes."""
+    monkeypatch.setattr(brown, "BROADCAST_WORDS", 900)
+    docs = table(spark, sf, "documents").select("doc_id", F.lit(False).alias("held_out"), "text")
+    model, vocabulary = brown.fit(spark, docs.select("text"))
+    v = {r["hash"]: (r["c"], r["tail"]) for r in vocabulary.collect()}
+    got = {r.doc_id: r.score for r in brown.scored(spark, docs, model, vocabulary).collect()}
+    end = int(model.class_of[-1])
+    texts = {r.doc_id: r.text for r in docs.limit(60).collect()}
+    for i, text in texts.items():
+        hashes, tail, _ = brown.tokens(next(flat.texts(pa.array([text]))))
+        before, want = end, 0.0
+        for h, g in zip(hashes, tail.tolist(), strict=True):
+            place = int(model.frequent(np.array([h]))[0])
+            of = int(model.class_of[place if place >= 0 else model.frequent.n + g])
+            want += model.log_move[before, of] + math.log10(v[int(np.int64(h.view(np.int64)))][0] + brown.DELTA) - model.log_size[of]
+            before = of
+        want += model.log_move[before, end] + model.end_log - model.log_size[end]
+        assert math.isclose(got[i], want, rel_tol=1e-9)
+
+
+def test_brown_frequent_words_at_a_tie(spark):
+    r = random.Random(8)
+    rows = spark.createDataFrame([(r.randrange(-(1 << 63), 1 << 63), 0, 9 if k < 5 else 2) for k in range(300)], "hash long, tail int, c long")
+    for most in (3, 5, 100, 200, 300, 400):
+        top = brown.frequent(rows, most)
+        assert min(most, 300) * (0.9 if most > 5 else 0) <= len(top) <= most and list(top["c"]) == sorted(top["c"], reverse=True)
+        assert len(top) < 5 or list(top["c"])[:5] == [9] * 5
+
+
+def test_brown_words_go_where_their_neighbours_are_likely(spark, monkeypatch):
+    """Rare words of two kinds, told apart only by what stands beside them."""
+    monkeypatch.setattr(brown, "HEAD", 8)
+    monkeypatch.setattr(brown, "UNITS", 8 + brown.TAILS + 1)
+    monkeypatch.setattr(brown, "END_UNIT", 8 + brown.TAILS)
+    monkeypatch.setattr(brown, "CLASSES", 4)
+    r, rows = random.Random(6), []
+    for _ in range(400):
+        n = r.randrange(40)
+        rows.append((f"the red noun{n}xyz sat on verb{n}xyz quickly" if r.random() < 0.5 else f"the old noun{n}xyz sat on verb{n}xyz quickly",))
+    model, _ = brown.fit(spark, spark.createDataFrame(rows, "text string"))
+    of = lambda w: int(model.class_of[int(model.frequent(brown.tokens(next(flat.texts(pa.array([w]))))[0])[0])])
+    nouns, verbs = {of(f"noun{n}xyz") for n in range(40)}, {of(f"verb{n}xyz") for n in range(40)}
+    assert len(nouns) == 1 and len(verbs) == 1 and nouns != verbs
+
+
 def test_brown_exchange_raises_likelihood():
     r = np.random.default_rng(2)
     counts = np.zeros((21, 21))
