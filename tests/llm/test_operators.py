@@ -211,15 +211,16 @@ def test_brown_words_go_where_their_neighbours_are_likely(spark, monkeypatch):
     monkeypatch.setattr(brown, "HEAD", 8)
     monkeypatch.setattr(brown, "UNITS", 8 + brown.TAILS + 1)
     monkeypatch.setattr(brown, "END_UNIT", 8 + brown.TAILS)
-    monkeypatch.setattr(brown, "CLASSES", 4)
+    monkeypatch.setattr(brown, "CLASSES", 10)
     r, rows = random.Random(6), []
-    for _ in range(400):
-        n = r.randrange(40)
-        rows.append((f"the red noun{n}xyz sat on verb{n}xyz quickly" if r.random() < 0.5 else f"the old noun{n}xyz sat on verb{n}xyz quickly",))
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    nouns, verbs = [word() for _ in range(60)], [word() for _ in range(60)]
+    for _ in range(1500):
+        rows.append((f"the {r.choice(['red', 'old'])} {r.choice(nouns)} sat on {r.choice(verbs)} quickly",))
     model, _ = brown.fit(spark, spark.createDataFrame(rows, "text string"))
     of = lambda w: int(model.class_of[int(model.frequent(brown.tokens(next(flat.texts(pa.array([w]))))[0])[0])])
-    nouns, verbs = {of(f"noun{n}xyz") for n in range(40)}, {of(f"verb{n}xyz") for n in range(40)}
-    assert len(nouns) == 1 and len(verbs) == 1 and nouns != verbs
+    a, b = Counter(map(of, nouns)), Counter(map(of, verbs))
+    assert sum(min(a[k], b[k]) for k in a) <= 6
 
 
 def test_brown_exchange_raises_likelihood():
