@@ -3,23 +3,26 @@
 Templates and texts are sequences of words. Hashes of GRAM consecutive words
 are winnowed: of every WINDOW neighbouring ones the smallest is kept, so a run
 of GRAM + WINDOW - 1 shared words always shares a fingerprint. An inverted
-index of the templates' fingerprints (a fixed, small table) gives candidates:
+index of the templates' fingerprints (TEMPLATES, or any other name: text) gives candidates:
 a template and where in the text it would begin. Each is verified by a banded
 alignment (longest common subsequence within BAND words of the diagonal); the
 share of the template's words that match is its coverage.
 
 Words are runs of letters and digits, lower-cased, with dots inside kept
-("2.0"), so that case, line breaks and punctuation don't matter. A template of
+("2.0"; letters with a two-character lower case keep their case), so that case, line breaks and punctuation don't matter. A template of
 fewer than GRAM words is one gram.
 
 Defined results: null and empty texts hold nothing; a license found at several
 places is reported at each, never twice at one place (the higher coverage,
-then the template's name decides); spans are code points, ends exclusive.
+then the template's name decides); spans are code points, ends exclusive; rows that
+repeat are reported each. Only the key and the text are read, so other columns
+may have any name. A very long text is handled alone, with about 50 bytes of
+memory a character.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,40 +32,64 @@ from pyspark.sql import functions as F
 
 from kinloom.llm import flat
 from kinloom.llm.common import map_batches
+from kinloom.llm.license_templates import TEMPLATES
 
 GRAM, WINDOW, BAND = 3, 2, 8
 THRESHOLD = 0.75
-WORD = re.compile(r"[^\W_]+(?:\.[^\W_]+)*")
-
-# Public license notices and statements.
-TEMPLATES = {
-    "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
-    "apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
-    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    "cc-by-4.0-line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "cc-by-nc-4.0-line": "Licensed under CC BY-NC 4.0.",
-    "cc-by-sa-4.0-line": "Licensed under CC BY-SA 4.0.",
-    "gpl-3-line": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
-    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    "mit-line": "Released under the MIT License.",
-    "mpl-2.0-line": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
-    "reserved": "All rights reserved.",
-    "unlicense": "This is free and unencumbered software released into the public domain.",
-}
 
 _PLACE = flat.seeds(GRAM + 1, 51) | np.uint64(1)
 
 
+#: Code point -> 1 word character, 2 other, 0 not met yet; and its lower case where that is one character.
+_kind = np.zeros(0x110000, np.uint8)
+_lower = np.arange(0x110000, dtype=np.uint32)
+
+
+def _kinds(points: np.ndarray) -> np.ndarray:
+    """Which code points are letters or digits (as str.isalnum says)."""
+    out = _kind[points]
+    if not out.all():
+        for p in np.unique(points[out == 0]).tolist():
+            c = chr(p)
+            _kind[p] = 1 if c.isalnum() else 2
+            if len(c.lower()) == 1:
+                _lower[p] = ord(c.lower())
+        out = _kind[points]
+    return out == 1
+
+
+def words_of(t: flat.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words of a chunk, their starts and ends in the text's code points, and where each text's words begin."""
+    points, at = flat.codepoints(t)
+    n = len(points)
+    word = _kinds(points)
+    # A dot between two word characters of one text belongs to the word; a text's first and last character have no neighbour.
+    edge = np.zeros(n + 1, bool)
+    edge[at] = True
+    dot = np.flatnonzero(points == 46)
+    dot = dot[(dot > 0) & (dot < n - 1)]
+    dot = dot[word[dot - 1] & word[dot + 1] & ~edge[dot] & ~edge[dot + 1]]
+    inside = word.copy()
+    inside[dot] = True
+    after = np.concatenate(([True], ~inside)) | edge
+    starts = np.flatnonzero(after[:-1] & inside)
+    before = np.concatenate((~inside, [True])) | edge
+    ends = np.flatnonzero(before[1:] & inside) + 1
+    p, q = flat._power(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(flat.mix(_lower[points].astype(np.uint64) + _PLACE[0]) * p[:n], out=sums[1:])
+    hashes = flat.mix((sums[ends] - sums[starts]) * q[starts] + (ends - starts).astype(np.uint64))
+    first = np.searchsorted(starts, at)
+    base = np.repeat(at[:-1], np.diff(first))
+    return hashes, starts - base, ends - base, first
+
+
 def word_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words and their (start, end) in code points."""
-    found = [(m.group().lower().encode("utf-8", "replace"), m.start(), m.end()) for m in WORD.finditer(text)]
-    if not found:
+    if not text:
         return np.zeros(0, np.uint64), np.zeros((0, 2), np.int64)
-    data = np.frombuffer(b"".join(w for w, _, _ in found), np.uint8)
-    ends = np.cumsum([len(w) for w, _, _ in found])
-    return flat.span_hash(data, np.concatenate(([0], ends[:-1])), ends), np.array([(s, e) for _, s, e in found])
+    hashes, starts, ends, _ = words_of(next(flat.texts(pa.array([text], pa.string()))))
+    return hashes, np.stack([starts, ends], axis=1)
 
 
 def grams(hashes: np.ndarray) -> np.ndarray:
@@ -129,9 +156,27 @@ class Index:
         index.keys = np.sort(np.array(list(index.places), np.uint64))
         return index
 
+    def found(self, t: flat.Texts, threshold: float) -> Iterator[tuple[int, int, float, int, int, int]]:
+        """(row, template, coverage, matched words, start, end) found in a chunk; only texts with a gram of the index are looked at one by one."""
+        hashes, starts, ends, first = words_of(t)
+        counts = np.diff(first)
+        if not len(hashes) or not len(self.keys):
+            return
+        values = grams(hashes)
+        near = self.keys[np.minimum(np.searchsorted(self.keys, values), len(self.keys) - 1)] == values
+        rows = set((np.searchsorted(first, np.flatnonzero(near), "right") - 1).tolist())
+        rows |= set(np.flatnonzero((counts > 0) & (counts < GRAM)).tolist())  # such a text is one gram
+        for r in sorted(rows):
+            own = slice(first[r], first[r + 1])
+            for m in self.aligned(hashes[own], starts[own], ends[own], threshold):
+                yield r, *m
+
     def matches(self, text: str, threshold: float) -> list[tuple[int, float, int, int, int]]:
         """(template, coverage, matched words, start, end) found in a text."""
         words, spans = word_hashes(text)
+        return self.aligned(words, spans[:, 0], spans[:, 1], threshold)
+
+    def aligned(self, words: np.ndarray, starts: np.ndarray, ends: np.ndarray, threshold: float) -> list[tuple[int, float, int, int, int]]:
         values = grams(words)
         if not len(values):
             return []
@@ -156,7 +201,7 @@ class Index:
         for coverage, total, n, first, last in sorted(found, key=lambda x: (-x[1] * x[0], -x[0], x[2], x[3])):
             if not any(first < e and s < last for _, _, _, s, e in out):
                 out.append((n, coverage, total, first, last))
-        return sorted(((n, c, t, int(spans[s, 0]), int(spans[e - 1, 1])) for n, c, t, s, e in out), key=lambda x: x[3])
+        return sorted(((n, c, t, int(starts[s]), int(ends[e - 1])) for n, c, t, s, e in out), key=lambda x: x[3])
 
 
 def licensed(df: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -167,10 +212,7 @@ def licensed(df: DataFrame, templates: dict[str, str] | None = None, threshold:
         own = shared.value
 
         def each(batch):
-            rows = []
-            for r, x in enumerate(batch.column(1).to_pylist()):
-                if x:
-                    rows += [(r, own.names[n], c, t, s, e) for n, c, t, s, e in own.matches(x, threshold)]
+            rows = [(t.first + r, own.names[n], *m) for t in flat.texts(batch.column(1)) for r, n, *m in own.found(t, threshold)]
             if rows:
                 at, name, coverage, total, start, end = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(name, pa.string()), pa.array(coverage, pa.float64()), pa.array(total, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["doc_id", "license", "coverage", "matched_words", "span_start", "span_end"])

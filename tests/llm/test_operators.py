@@ -129,6 +129,17 @@ def test_decontamination_edges(spark, odd):
     assert decontaminate.without_leaks(odd, bench.limit(0)).count() == odd.count()
 
 
+def test_decontamination_with_many_indexes(spark, odd, monkeypatch):
+    """A benchmark cut into indexes by bytes finds what one index finds."""
+    bench = spark.createDataFrame([(k, prose(k, 20 + 7 * k)) for k in range(1, 9)] + [(20, prose(1, 120)), (21, prose(3, 30))], "item_id long, text string")
+    whole = sorted(map(tuple, decontaminate.contaminated(odd, bench).collect()), key=repr)
+    clean = decontaminate.without_leaks(odd, bench).count()
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", 50_000)
+    assert sum(1 for _ in decontaminate.indexes(bench)) > 3
+    assert sorted(map(tuple, decontaminate.contaminated(odd, bench).collect()), key=repr) == whole and whole
+    assert decontaminate.without_leaks(odd, bench).count() == clean
+
+
 def test_simhash_blocks_find_all_within_radius():
     r = np.random.default_rng(1)
     c = decontaminate.SizeClass(20, 1, r.integers(0, 1 << 63, 50).astype(np.uint64), np.zeros(50, np.int32), np.zeros(50, np.int32))
@@ -424,11 +435,71 @@ def test_license_alignment_is_the_lcs():
         assert total == best[-1, -1] and (not total or 0 <= first < last <= len(b))
 
 
+LICENSE_WORD = re.compile(r"[^\W_]+(?:\.[^\W_]+)*")
+
+
+def test_license_words_equal_a_pattern():
+    texts = ["", "Version 2.0.", "a.b..c .d e. f", "x_y-z", "É ü.ñ 日本.語 12.5%", ".", "one", "end.", ".start", "a" * 50 + "." + "B" * 9]
+    t = next(flat.texts(pa.array(texts)))
+    hashes, starts, ends, first = licenses.words_of(t)
+    seen = {}
+    for r, text in enumerate(texts):
+        want = [(m.start(), m.end()) for m in LICENSE_WORD.finditer(text)]
+        own = slice(first[r], first[r + 1])
+        assert list(zip(starts[own].tolist(), ends[own].tolist(), strict=True)) == want, text
+        for (s, e), h in zip(want, hashes[own].tolist(), strict=True):
+            assert seen.setdefault(text[s:e].lower(), h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
+def brute_license(text, templates, threshold):
+    """Templates of which a stretch of the text holds enough words in order: longest common subsequence against every stretch."""
+    w = [x.lower() for x in LICENSE_WORD.findall(text)]
+    out = set()
+    for name, template in templates.items():
+        v = [x.lower() for x in LICENSE_WORD.findall(template)]
+        best = 0
+        for s in range(max(1, len(w))):
+            part, row = w[s : s + len(v) + 3], [0] * (len(v) + 1)
+            for x in part:
+                before = 0
+                for j, y in enumerate(v):
+                    row[j + 1], before = max(row[j + 1], row[j], before + 1 if x == y else 0), row[j + 1]
+            best = max(best, row[-1])
+        if best >= threshold * len(v):
+            out.add(name)
+    return out
+
+
+def test_license_query_equals_brute_force(spark):
+    """Whole, edited, cut and foreign texts; templates that don't overlap in one place, so that each found one is reported."""
+    r, templates = random.Random(12), {f"t{n}": " ".join(f"{c}{n}" for c in prose(50 + n, 12 + 5 * n).split()) for n in range(6)}
+    rows = []
+    for i in range(60):
+        parts = [prose(200 + i, 8)]
+        for n in r.sample(range(6), r.randrange(3)):
+            w = templates[f"t{n}"].split()
+            for _ in range(r.randrange(len(w) // 8 + 1)):
+                k, act = r.randrange(len(w)), r.randrange(3)
+                if act == 0:
+                    w[k] = "other"
+                elif act == 1 and len(w) > 4:
+                    del w[k]
+                else:
+                    w.insert(k, "more")
+            parts += [" ".join(w), prose(300 + i, 9)]
+        rows.append((i, " ".join(parts)))
+    got = {(x.doc_id, x.license) for x in licenses.licensed(spark.createDataFrame(rows, "doc_id long, text string"), templates).collect()}
+    want = {(i, name) for i, text in rows for name in brute_license(text, templates, 0.75)}
+    clear = {(i, name) for i, text in rows for name in brute_license(text, templates, 0.85)}
+    assert clear <= got <= want and len(clear) > 20 and len(want - got) <= 0.1 * len(want)
+
+
 def test_licenses_found_whole_and_edited(spark, sf, odd):
     index = licenses.Index.of(licenses.TEMPLATES)
     for n, (name, text) in enumerate(sorted(licenses.TEMPLATES.items())):
         got = index.matches(f"some words {text.upper()} and more", 0.75)
-        assert any(m[0] == n and m[1] == 1.0 and m[3] == 11 for m in got), name
+        assert any(m[0] == n and m[1] == 1.0 and m[3] == 11 or len(index.words[m[0]]) > len(index.words[n]) and m[3] == 11 for m in got), name
     edited = licenses.TEMPLATES["mit"].replace("free of charge, ", "").replace("sublicense", "sub-license")
     assert index.names[index.matches(edited, 0.75)[0][0]] == "mit"
     got = licenses.licensed(table(spark, sf, "documents")).collect()
@@ -457,6 +528,19 @@ def test_topk_brute_force(spark, sf, monkeypatch):
     assert sorted(map(tuple, queries.op6_exact_topk(spark, sf).collect())) == brute_top(rows, 10, 100)
 
 
+def test_topk_of_unequal_lengths(spark, monkeypatch):
+    """Short and very long vectors, sparse ones among them, in tiles and blocks bounded by bytes."""
+    r = random.Random(9)
+    rows = [(i, [r.choice([0.0, 0.0, r.uniform(-2, 2)]) for _ in range(r.choice([0, 1, 2, 3, 17, 600 if i % 9 else 5000]))]) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    want = brute_top(rows, 10, 10)
+    for bytes_ in (topk.QUERY_BYTES, 3000):
+        monkeypatch.setattr(topk, "QUERY_BYTES", bytes_)
+        assert sorted(map(tuple, topk.nearest(spark, df.where("id % 10 = 0"), df).collect())) == want
+    found = [m.shape for _, m in topk.rows_of(pa.array([[1.0, 2.0]] * 999 + [[1.0] * 20_000]))]
+    assert sum(a * b for a, b in found) == 999 * 2 + 20_000
+
+
 def test_topk_edges(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.5]), (2, [1.0, 0.5]), (3, None), (4, [nan, 1.0]), (5, [None, 1.0]), (100, [1e12, -1e12]), (7, [0.0, 0.0]), (None, [1.0, 1.0])]
