@@ -21,7 +21,9 @@ item that has so many in a stretch of its length is verified there.
 
 Defined results: null or empty texts and items hold nothing; an item or window
 of one to four words is one shingle; an item found at several places reports
-its best window, the first of equal ones; items that repeat are reported each.
+its best window, the first of equal ones; items and documents that repeat are
+reported each. Other columns are not read, so they may have any name. A very
+long text is scanned alone, with about 100 bytes of memory a byte.
 """
 
 from __future__ import annotations
@@ -38,14 +40,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinloom.llm import flat
-from kinloom.llm.common import filter_rows, map_batches
+from kinloom.llm.common import filter_rows, map_batches, written
 
 RADIUS = 11
 #: Words by which a verified window may stand beside the place that was found.
 SHIFT = 2
 BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 4, 16, 2
-#: Items of one index (a few MB when broadcast); larger benchmarks are scanned in as many passes.
-ITEMS_PER_INDEX = 1024
+#: Bytes of one index, on the driver and when broadcast; larger benchmarks are scanned in as many passes, one index at a time.
+INDEX_BYTES = 64 << 20
 _NEAR = np.array([0, *(sum(1 << b for b in c) for r in range(1, BLOCK_RADIUS + 1) for c in combinations(range(BLOCK_BITS), r))], np.uint64)
 _PAIR = flat.seeds(2, 21) | np.uint64(1)
 
@@ -150,8 +152,13 @@ def similarity(a: Counter, b: Counter) -> float:
     return both / total if total else 0.0
 
 
+def index_bytes(words: int) -> int:
+    """About what an item of so many words takes in an index: its fingerprints in all blocks, its grams and its shingle bag."""
+    return size_class(words)[1] * (BLOCKS * len(_NEAR) * 4 + 64) + 250 * words
+
+
 class Index:
-    """Fingerprints of up to ITEMS_PER_INDEX items."""
+    """Fingerprints of the items."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids, self.words, self.bags, sequences = [], [], [], []
@@ -247,24 +254,36 @@ class Index:
             yield r, item, -back, self.words[item], got
 
 
-def indexes(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> list[Index]:
-    """The benchmark's items as bounded indexes, read in order of id without holding more than one block on the way."""
-    out, block = [], []
+def indexes(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> Iterator[Index]:
+    """The benchmark's items as indexes of about INDEX_BYTES, in order of id; only the one being built is held."""
+    block, held = [], 0
     for r in benchmark.select(F.col(item).cast("long").alias("i"), F.col(text).alias("x")).where("x is not null").orderBy("i", "x").toLocalIterator():
+        size = index_bytes(r["x"].count(" ") + 1) + len(r["x"])
+        if block and held + size > INDEX_BYTES:
+            yield Index(block)
+            block, held = [], 0
         block.append((r["i"], r["x"]))
-        if len(block) == ITEMS_PER_INDEX:
-            out.append(Index(block))
-            block = []
-    return [*out, Index(block)] if block else out
+        held += size
+    if block:
+        yield Index(block)
+
+
+def _each_index(benchmark: DataFrame) -> Iterator[tuple[Index, bool]]:
+    """Each index, and whether it is the last."""
+    before = None
+    for index in indexes(benchmark):
+        if before is not None:
+            yield before, False
+        before = index
+    if before is not None:
+        yield before, True
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, item_id, first_word, n_words, similarity) of every benchmark item found in a text."""
-    schema = "doc_id long, item_id long, first_word long, n_words long, similarity double"
-
-    def scan(index: Index) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    spark, schema = docs.sparkSession, "doc_id long, item_id long, first_word long, n_words long, similarity double"
 
+    def scan(shared) -> DataFrame:
         def kernel():
             own = shared.value
 
@@ -278,14 +297,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75,
 
         return map_batches(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("_text")), kernel, schema)
 
-    found = [scan(x) for x in indexes(benchmark)]
-    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema)
+    found = []
+    for index, last in _each_index(benchmark):
+        shared = spark.sparkContext.broadcast(index)
+        found.append(scan(shared))
+        if not last:
+            found[-1] = written(spark, found[-1], "leaks")
+            shared.destroy()
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, text: str = "text") -> DataFrame:
     """The rows of docs that hold no benchmark item; columns as they are."""
-    for index in indexes(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    spark = docs.sparkSession
+    for index, last in _each_index(benchmark):
+        shared = spark.sparkContext.broadcast(index)
 
         def kernel(shared=shared):
             own = shared.value
@@ -299,4 +325,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75
             return keep
 
         docs = filter_rows(docs, text, kernel)
+        if not last:
+            docs = written(spark, docs, "clean")
+            shared.destroy()
     return docs

@@ -6,18 +6,23 @@ hold it scatter query weight times posting weight into a dense score array
 (queries x tile). Partition selection keeps the k best of a tile, tiles are
 merged within a task and tasks by a ranked window.
 
-Queries go out in blocks of QUERY_BLOCK rows (a fixed size), one pass over the
-candidates for each block.
+Queries go out in blocks of at most QUERY_BLOCK rows and QUERY_BYTES, one pass
+over the candidates for each block; the driver holds one block at a time.
+Vectors are tiled by length, so a long one doesn't widen the others' tiles, and
+a tile holds at most TILE_BYTES.
 
 Defined results: null vectors, vectors with null or non-finite components and
 rows without an id take no part; a shorter vector's missing terms weigh 0; a
 candidate is never returned for its own id; an id that repeats asks once (its
 smallest vector), and as a candidate counts for each row; equal scores go to
-the smaller id; scores beyond a long are cut to its range.
+the smaller id; scores beyond a long are cut to its range; other columns are
+not read, so they may have any name. Of a vector of any length one row at a
+time is held beside its tile.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -28,7 +33,8 @@ from pyspark.sql import functions as F
 from kinloom.llm.common import written
 
 SCALE = 1024
-QUERY_BLOCK = 4096
+QUERY_BLOCK, QUERY_BYTES = 4096, 32 << 20
+TILE_BYTES = 32 << 20
 TILE_ROWS, TILE_QUERIES = 2048, 128
 _LONG = (1 << 63) - 1
 
@@ -41,34 +47,46 @@ def weights(values: np.ndarray) -> np.ndarray:
     return scaled
 
 
-def rows_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The rows that take part, and their components as a matrix (padded with 0)."""
+def rows_of(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The rows that take part, and their components as a matrix (padded with 0): tiles of rows of like length."""
     lists = column.cast(pa.list_(pa.float64()))
-    size = np.asarray(lists.value_lengths().fill_null(0))
+    size = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
     flat_values = np.asarray(lists.flatten().to_numpy(zero_copy_only=False), np.float64)
     at = np.concatenate(([0], np.cumsum(size)))
     bad = np.concatenate(([0], np.cumsum(~np.isfinite(flat_values))))
     good = np.flatnonzero(np.asarray(lists.is_valid()) & (np.diff(bad[at]) == 0))
-    out = np.zeros((len(good), int(size[good].max(initial=0))))
-    n = size[good]
-    row = np.repeat(np.arange(len(good)), n)
-    out[row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)] = flat_values[np.repeat(at[:-1][good] - (np.cumsum(n) - n), n) + np.arange(len(row))]
-    return good, out
-
-
-def accumulate(queries: np.ndarray, tile: np.ndarray) -> np.ndarray:
-    """Scores (queries x rows of the tile), term by term."""
-    exact = queries.dtype != object and tile.dtype != object
-    scores = np.zeros((len(queries), len(tile)), np.float64 if exact else object)
-    for t in range(min(queries.shape[1], tile.shape[1])):
-        ask, post = queries[:, t], tile[:, t]
-        has, holds = np.flatnonzero(ask), np.flatnonzero(post)
-        if not len(has) or not len(holds):
-            continue
-        if len(has) == len(ask) and len(holds) == len(post):
+    grade = np.ceil(np.log2(np.maximum(size[good], 1))).astype(np.int64)
+    for g in np.unique(grade).tolist():
+        alike = good[grade == g]
+        step = max(1, min(TILE_ROWS, TILE_BYTES // (8 << g)))
+        for s in range(0, len(alike), step):
+            rows = alike[s : s + step]
+            n = size[rows]
+            out = np.zeros((len(rows), int(n.max())))
+            row = np.repeat(np.arange(len(rows)), n)
+            before = np.cumsum(n) - n
+            out[row, np.arange(len(row)) - np.repeat(before, n)] = flat_values[np.repeat(at[:-1][rows] - before, n) + np.arange(len(row))]
+            yield rows, out
+
+
+class Postings:
+    """Weights by term: for each term the rows that hold it and their weights; None for rows where all hold it."""
+
+    def __init__(self, matrix: np.ndarray):
+        self.n, self.exact, self.terms = len(matrix), matrix.dtype != object, []
+        for column in np.ascontiguousarray(matrix.T):
+            rows = np.flatnonzero(column)
+            self.terms.append((None, column) if len(rows) == self.n else (rows, column[rows]))
+
+
+def accumulate(queries: Postings, tile: Postings) -> np.ndarray:
+    """Scores (queries x rows of the tile), term by term: each posting adds to the scores of the queries that hold its term."""
+    scores = np.zeros((queries.n, tile.n), np.float64 if queries.exact and tile.exact else object)
+    for (has, ask), (holds, post) in zip(queries.terms, tile.terms, strict=False):
+        if has is None and holds is None:
             scores += np.multiply.outer(ask, post)
-        else:
-            scores[np.ix_(has, holds)] += np.multiply.outer(ask[has], post[holds])
+        elif len(ask) and len(post):
+            scores[np.ix_(np.arange(queries.n) if has is None else has, np.arange(tile.n) if holds is None else holds)] += np.multiply.outer(ask, post)
     return scores
 
 
@@ -100,33 +118,32 @@ def nearest(spark: SparkSession, queries: DataFrame, candidates: DataFrame, k: i
     rows = candidates.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).where("id is not null and vector is not null")
 
     def against(block: list) -> DataFrame:
-        good, matrix = rows_of(pa.array([r["vector"] for r in block], pa.list_(pa.float64())))
-        shared = spark.sparkContext.broadcast((np.array([block[i]["id"] for i in good], np.int64), weights(matrix)))
+        blocks = [(np.array([block[i]["id"] for i in good], np.int64), weights(matrix)) for good, matrix in rows_of(pa.array([r["vector"] for r in block], pa.list_(pa.float64())))]
+        shared = spark.sparkContext.broadcast(blocks)
 
         def run(batches):
-            ids, asked = shared.value
-            best = Best(ids, k)
+            tiles = [(ids[s : s + TILE_QUERIES], Postings(held[s : s + TILE_QUERIES])) for ids, held in shared.value for s in range(0, len(ids), TILE_QUERIES)]
+            best = [Best(ids, k) for ids, _ in tiles]
             for batch in batches:
-                good, matrix = rows_of(batch.column(1))
-                vec_ids = batch.column(0).to_numpy()[good]
-                held = weights(matrix)
-                for s in range(0, len(good), TILE_ROWS):
-                    tile = held[s : s + TILE_ROWS]
-                    for q in range(0, len(ids), TILE_QUERIES):
-                        best.add(q, accumulate(asked[q : q + TILE_QUERIES], tile), vec_ids[s : s + TILE_ROWS])
-            out = [(q, i, int(-s)) for q, own in zip(ids.tolist(), best.found, strict=True) for s, i in own]
+                all_ids = batch.column(0).to_numpy()
+                for good, matrix in rows_of(batch.column(1)):
+                    tile, vec_ids = Postings(weights(matrix)), all_ids[good]
+                    for own, (_, asked) in zip(best, tiles, strict=True):
+                        own.add(0, accumulate(asked, tile), vec_ids)
+            out = [(q, i, int(-s)) for x in best for q, own in zip(x.ids.tolist(), x.found, strict=True) for s, i in own]
             if out:
                 q, i, s = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array([min(max(x, -_LONG - 1), _LONG) for x in s], pa.int64())], ["query_id", "vec_id", "score"])
 
         return rows.mapInArrow(run, "query_id long, vec_id long, score long")
 
-    parts, block = [], []
+    parts, block, held = [], [], 0
     for r in ask.toLocalIterator():
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
+        if block and (len(block) == QUERY_BLOCK or held + 8 * len(r["vector"]) > QUERY_BYTES):
             parts.append(written(spark, against(block), "block"))
-            block = []
+            block, held = [], 0
+        block.append(r)
+        held += 8 * len(r["vector"])
     if block or not parts:
         parts.append(against(block))
     place = F.row_number().over(_by_query())
