@@ -9,21 +9,25 @@ columns, so no row-wise nested loop or whole-table broadcast takes place.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinloom.functions.scoring import blended, means
 from kinloom.schema import COMPLEMENTARITY_WEIGHTS, SIMILARITY_WEIGHTS, Settings
 
 BLOCK = 256
+#: Scores that a pair kernel looks up itself.
+LOOKUP_SCORES = 1_000_000
 
 
-def blocks(people: DataFrame, key: str, vectors: Sequence[str]) -> DataFrame:
-    """(block, rows): BLOCK consecutive dense ids each."""
-    row = F.struct(F.col(key).alias("id"), *[F.col(v).cast("array<double>").alias(v) for v in vectors])
+def blocks(people: DataFrame, key: str, vectors: Sequence[str], codes: Sequence[str] = ()) -> DataFrame:
+    """(block, rows): BLOCK consecutive dense ids each, with vectors and (long) codes."""
+    row = F.struct(F.col(key).cast("long").alias("id"), *[F.col(v).cast("array<double>").alias(v) for v in vectors], *[F.col(c).cast("long").alias(c) for c in codes])
     return people.groupBy(F.floor(F.col(key) / BLOCK).alias("block")).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("at"), row.alias("row")))).alias("rows")).select("block", F.col("rows.row").alias("rows"))
 
 
@@ -32,19 +36,70 @@ def _matrices(rows: pa.Array, vectors: Sequence[str]) -> tuple[np.ndarray, list[
     ids = own.field("id").to_numpy()
     out = []
     for v in vectors:
-        m = np.array(own.field(v).to_pylist(), np.float64).reshape(len(ids), -1)
+        m = own.field(v).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
         n = np.sqrt((m * m).sum(axis=1, keepdims=True))
         out.append(np.divide(m, n, out=np.zeros_like(m), where=n > 0))
     return ids, out
 
 
-def similarities(people: DataFrame, vectors: Sequence[str], key: str = "person_id") -> DataFrame:
-    """(i, j, one cosine column for each vector column) of all i < j; 0 where a norm is 0."""
-    own = blocks(people, key, vectors)
+def _block_pairs(own: DataFrame) -> DataFrame:
+    """(a, b, x, y): the rows of all block pairs a <= b, dealt over the tasks."""
     left = own.select(F.col("block").alias("a"), F.col("rows").alias("x"))
     right = own.select(F.col("block").alias("b"), F.col("rows").alias("y"))
-    joined = left.join(right, F.col("a") <= F.col("b")).repartition("a", "b")
-    names = list(vectors)
+    return left.join(right, F.col("a") <= F.col("b")).repartition("a", "b").select("a", "b", "x", "y")
+
+
+def similarities(people: DataFrame, vectors: Sequence[str], key: str = "person_id") -> DataFrame:
+    """(i, j, one cosine column for each vector column) of all i < j; 0 where a norm is 0."""
+    return _pairs(people, vectors, {}, None, 0.0, key)
+
+
+@dataclass
+class ScoreTable:
+    """Complementarity scores for lookup in a pair kernel: by category the sorted profile codes, and sorted keys (target, comparison) with their scores."""
+
+    codes: dict[str, np.ndarray]
+    keys: dict[str, np.ndarray]
+    values: dict[str, np.ndarray]
+
+    @staticmethod
+    def of(rows: pd.DataFrame) -> ScoreTable:
+        """From (category, t, c, score) with profile codes; a missing direction takes the score of the other."""
+        out = ScoreTable({}, {}, {})
+        for f, own in rows.groupby("category"):
+            t, c, s = own["t"].to_numpy(), own["c"].to_numpy(), own["score"].to_numpy(float)
+            codes = np.unique(np.concatenate((t, c)))
+            t, c = np.searchsorted(codes, t), np.searchsorted(codes, c)
+            keys = np.concatenate((t * len(codes) + c, c * len(codes) + t))
+            keys, first = np.unique(keys, return_index=True)  # of a score and one turned round the first, its own
+            out.codes[f], out.keys[f], out.values[f] = codes, keys, np.concatenate((s, s))[first]
+        return out
+
+    def places(self, f: str, codes: np.ndarray) -> np.ndarray:
+        """The number of each profile code, -1 where no score has it."""
+        known = self.codes.get(f, np.zeros(0, np.int64))
+        if not len(known):
+            return np.full(len(codes), -1)
+        at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+        return np.where(known[at] == codes, at, -1)
+
+    def scores(self, f: str, left: np.ndarray, right: np.ndarray, default: float) -> np.ndarray:
+        """(left x right) scores of profile numbers; each distinct pair is looked up once."""
+        a, of_a = np.unique(left, return_inverse=True)
+        b, of_b = np.unique(right, return_inverse=True)
+        out = np.full((len(a), len(b)), default)
+        keys = self.keys.get(f, np.zeros(0, np.int64))
+        if len(keys):
+            want = a[:, None] * len(self.codes[f]) + b[None, :]
+            at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+            hit = (keys[at] == want) & (a >= 0)[:, None] & (b >= 0)[None, :]
+            out[hit] = self.values[f][at[hit]]
+        return out[of_a][:, of_b]
+
+
+def _pairs(people: DataFrame, vectors: Sequence[str], codes: dict[str, str], table: ScoreTable | None, default: float, key: str) -> DataFrame:
+    names, marks = list(vectors), dict(codes)
+    shared = people.sparkSession.sparkContext.broadcast(table) if marks else None
 
     def run(batches):
         for batch in batches:
@@ -52,10 +107,54 @@ def similarities(people: DataFrame, vectors: Sequence[str], key: str = "person_i
                 ids, xs = _matrices(batch.column(2)[r], names)
                 others, ys = _matrices(batch.column(3)[r], names)
                 i, j = np.nonzero(ids[:, None] < others[None, :])
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(others[j]), *[pa.array((x @ y.T)[i, j]) for x, y in zip(xs, ys, strict=True)]], ["i", "j", *names])
+                if not len(i):
+                    continue
+                columns = [(x @ y.T)[i, j] for x, y in zip(xs, ys, strict=True)]
+                for f, c in marks.items():
+                    left, right = (shared.value.places(f, side.values.field(c).fill_null(0).to_numpy()) for side in (batch.column(2)[r], batch.column(3)[r]))
+                    columns.append(shared.value.scores(f, left, right, default)[i, j])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(others[j]), *map(pa.array, columns)], ["i", "j", *names, *(f"c_{f}" for f in marks)])
+
+    fields = [f"`{n}` double" for n in (*names, *(f"c_{f}" for f in marks))]
+    return _block_pairs(blocks(people, key, names, list(marks.values()))).mapInArrow(run, ", ".join(["i long, j long", *fields]))
+
+
+def _code(category, profile) -> Column:
+    """The number of a profile in the kernel: a 64-bit hash, 0 for an empty one, which has no score."""
+    return F.when(F.coalesce(profile, F.lit("")) == "", F.lit(0).cast("long")).otherwise(F.xxhash64(category, profile))
+
+
+def scored_pairs(people: DataFrame, profiles: dict[str, str], scores: DataFrame, key: str = "person_id", default: float = 0.5) -> DataFrame:
+    """(i, j, a cosine <feature> and a complementarity c_<feature> for each feature) of all i < j, made by one kernel.
+
+    people has a vector column for each feature and the profile columns named
+    by `profiles`. Up to LOOKUP_SCORES scores (a counted table, 24 bytes each)
+    go to the kernel; a larger table is joined instead.
+    """
+    features = list(profiles)
+    usable = scores.where("coalesce(target, '') <> '' and coalesce(comparison, '') <> ''")
+    if usable.count() > LOOKUP_SCORES:
+        wide = people.select(key, *[F.col(c).alias(f) for f, c in profiles.items()])
+        return complementarities(similarities(people, features, key), wide, scores, features, key, default)
+    rows = usable.select("category", _code(F.col("category"), F.col("target")).alias("t"), _code(F.col("category"), F.col("comparison")).alias("c"), F.col("score").cast("double").alias("score"))
+    table = ScoreTable.of(rows.groupBy("category", "t", "c").agg(F.max("score").alias("score")).toPandas())
+    coded = people.select(key, *features, *[_code(F.lit(f), F.col(c)).alias(f"_code_{f}") for f, c in profiles.items()])
+    return _pairs(coded, features, {f: f"_code_{f}" for f in features}, table, default, key)
+
+
+def threshold_sums(people: DataFrame, vector: str, above: float = 0.0, key: str = "person_id") -> DataFrame:
+    """(pairs, n, total): how many of all pairs have a cosine above a limit, all pairs and their sum, summed in the kernel so that no pair becomes a row."""
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                ids, (x,) = _matrices(batch.column(2)[r], [vector])
+                others, (y,) = _matrices(batch.column(3)[r], [vector])
+                own = (x @ y.T)[ids[:, None] < others[None, :]]
+                yield pa.RecordBatch.from_arrays([pa.array([int((own > above).sum())]), pa.array([len(own)]), pa.array([float(own.sum())])], ["pairs", "n", "total"])
 
-    return joined.select("a", "b", "x", "y").mapInArrow(run, ", ".join(["i long, j long", *(f"`{v}` double" for v in names)]))
+    sums = _block_pairs(blocks(people, key, [vector])).mapInArrow(run, "pairs long, n long, total double")
+    return sums.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("total"), F.lit(0.0)).alias("total"))
 
 
 def minmax(pairs: DataFrame, columns: Sequence[str]) -> DataFrame:

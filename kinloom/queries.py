@@ -61,9 +61,7 @@ def _scores(spark: SparkSession) -> DataFrame:
 
 def _raw(spark: SparkSession, d: str) -> DataFrame:
     """All pairs with raw cosines and complementarities."""
-    who = _people(spark, d)
-    wide = who.select("person_id", *[F.col(f"p_{f}").alias(f) for f in FEATURES])
-    return pairs.complementarities(pairs.similarities(who, FEATURES), wide, _scores(spark), FEATURES)
+    return pairs.scored_pairs(_people(spark, d), {f: f"p_{f}" for f in FEATURES}, _scores(spark))
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
@@ -252,7 +250,7 @@ def pair_cosine(spark, d):
 
 @query(f"WITH {_SCORED} SELECT i, j, " + ", ".join(f"round({f}, 8) AS {f}" for f in FEATURES) + " FROM scored")
 def minmax_normalised(spark, d):
-    return pairs.minmax(pairs.similarities(_people(spark, d), FEATURES), FEATURES).select("i", "j", *_r(*FEATURES))
+    return pairs.minmax(written(pairs.similarities(_people(spark, d), FEATURES), "cosines"), FEATURES).select("i", "j", *_r(*FEATURES))
 
 
 @query(f"WITH {_RAW} SELECT i, j, " + ", ".join(f"round(c_{f}, 8) AS c_{f}" for f in FEATURES) + " FROM raw")
@@ -322,8 +320,8 @@ def tfidf_weights(spark, d):
 def tfidf_similarity(spark, d):
     docs = _t(spark, d, "documents").select("doc_id", "text")
     rows = insights.dense_rows(written(insights.tfidf(docs, "doc_id", "text"), "tfidf"), docs, "doc_id")
-    sims = pairs.similarities(dense_id(rows, ["doc_id"], "person_id"), ["vector"])
-    return sims.agg(F.count_if(F.col("vector") > 0).alias("pairs"), F.round(F.avg("vector"), 8).alias("similarity_mean"))
+    sums = pairs.threshold_sums(dense_id(rows, ["doc_id"], "person_id"), "vector")
+    return sums.select("pairs", F.round(F.col("total") / F.col("n"), 8).alias("similarity_mean"))
 
 
 # --- graph ----------------------------------------------------------------------------------------
