@@ -94,3 +94,52 @@ def keyed_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     a, b = old.select(key, digest.alias("_a"), F.lit(1).alias("_o")), new.select(key, digest.alias("_b"), F.lit(1).alias("_n"))
     change = F.when(F.col("_o").isNull(), "added").when(F.col("_n").isNull(), "removed").when(F.col("_a") != F.col("_b"), "modified")
     return a.join(b, key, "full").select(key, change.alias("change")).where("change is not null")
+
+
+# --- writes: every function returns the table's next state; events are only appended ---
+
+
+def versions_of(versions: DataFrame, file_id: str) -> DataFrame:
+    """A file's versions, the first one first."""
+    return versions.where(F.col("file_id") == file_id).orderBy("version_number", "version_id")
+
+
+def with_version(versions: DataFrame, added: DataFrame) -> DataFrame:
+    """The versions and those added: (version_id, file_id, ...) numbered on from each file's last."""
+    last = versions.groupBy("file_id").agg(F.max("version_number").alias("_last"))
+    place = F.row_number().over(Window.partitionBy("file_id").orderBy("version_id"))
+    new = added.join(last, "file_id", "left").withColumn("version_number", (F.coalesce("_last", F.lit(0)) + place).cast(versions.schema["version_number"].dataType)).drop("_last")
+    return versions.unionByName(new, allowMissingColumns=True)
+
+
+def with_file_added(files: DataFrame, versions: DataFrame, added: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Files and versions with new files (file_id, current_version_id, ...), each with its first version."""
+    first = added.select("file_id", F.col("current_version_id").alias("version_id"))
+    return files.unionByName(added, allowMissingColumns=True), with_version(versions, first)
+
+
+def without_files(files: DataFrame, versions: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Files and versions without the given files (file_id)."""
+    ids = gone.select("file_id").distinct()
+    return files.join(ids, "file_id", "left_anti"), versions.join(ids, "file_id", "left_anti")
+
+
+def job_event(jobs: DataFrame, status: str, at: Column, allowed: tuple[str, ...] | None = None) -> DataFrame:
+    """(job_id, status, at) to append for jobs whose present status is among `allowed` (any, if None)."""
+    own = jobs.where(F.col("status").isin(*allowed)) if allowed else jobs
+    return own.select("job_id", F.lit(status).alias("status"), at.alias("at"))
+
+
+def cancelled(jobs: DataFrame, at: Column) -> DataFrame:
+    """Events that cancel what is still active."""
+    return job_event(jobs, "cancelled", at, ACTIVE)
+
+
+def restarted(jobs: DataFrame, at: Column) -> DataFrame:
+    """Events that queue failed jobs again; no others may be restarted."""
+    return job_event(jobs, "queued", at, ("failed",))
+
+
+def without_old(events: DataFrame, jobs: DataFrame, now: Column, days: int) -> DataFrame:
+    """The events without those of jobs finished that were created over `days` days ago."""
+    return events.join(old_finished(jobs, now, days).select("job_id"), "job_id", "left_anti")

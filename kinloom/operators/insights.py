@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinloom.operators.pairs import cross_scores
+
 # Lower bounds of the labels.
 DIVERSITY = ((0.8, "very_low"), (0.6, "low"), (0.4, "moderate"), (0.2, "high"))
 POTENTIAL = ((0.7, "excellent"), (0.5, "good"), (0.3, "moderate"))
@@ -72,3 +74,18 @@ def dense_rows(weights: DataFrame, every: DataFrame, key: str, terms: int = 100)
     rows = weights.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("m"))
     own = every.select(key).join(rows, key, "left").crossJoin(names)
     return own.select(key, F.transform("names", lambda t: F.coalesce(F.try_element_at(F.col("m"), t), F.lit(0.0))).alias("vector"))
+
+
+def live_scores(scores: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Scores (category, target, comparison, score) whose two profiles (feature, profile) still exist."""
+    live = profiles.select(F.col("feature").alias("category"), F.col("profile").alias("target")).distinct()
+    return scores.join(live, ["category", "target"], "left_semi").join(live.withColumnRenamed("target", "comparison"), ["category", "comparison"], "left_semi")
+
+
+def filled_scores(scores: DataFrame, profiles: DataFrame, absent: float = 0.0) -> DataFrame:
+    """All ordered profile pairs of a category (a dense matrix as rows) with their scores, `absent` where there is none, and min-max scaled over each category (0.5 where all are equal)."""
+    every = cross_scores(profiles.distinct())
+    full = every.join(scores, ["category", "target", "comparison"], "left").withColumn("score", F.coalesce("score", F.lit(absent)))
+    span = full.groupBy("category").agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
+    scaled = F.when(F.col("_hi") > F.col("_lo"), (F.col("score") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(F.lit(0.5))
+    return full.join(F.broadcast(span), "category").select("category", "target", "comparison", "score", scaled.alias("scaled"))

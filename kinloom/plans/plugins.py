@@ -8,9 +8,10 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinloom.functions import replies
 from kinloom.functions.vectors import summed, unit
 from kinloom.operators.insights import tfidf
 from kinloom.operators.pairs import cross_scores
@@ -27,6 +28,18 @@ class Tuner(Protocol):
     def tune(self, prompt: str, context: str) -> tuple[dict[str, float], dict[str, float]]: ...
 
 
+class Scorer(Protocol):
+    """Replies to a prompt for one category: how well each of the comparisons complements each of the targets."""
+
+    def reply(self, category: str, targets: Sequence[str], comparisons: Sequence[str]) -> str: ...
+
+
+class Selector(Protocol):
+    """Picks the name that stands for a cluster of tags; anything else than one of them counts as no answer."""
+
+    def select(self, tags: Sequence[str]) -> str: ...
+
+
 class HashedWords:
     """A signed hashed bag of words of unit length."""
 
@@ -93,6 +106,53 @@ def estimated_scores(profiles: DataFrame) -> DataFrame:
     return pairs.join(near, ["a", "b"], "left").select("category", "target", "comparison", score.alias("score"))
 
 
+def scored_by(scorer: Scorer, profiles: DataFrame, batch: int = 8, default: float = 0.5) -> DataFrame:
+    """(category, target, comparison, score) of all ordered pairs of distinct profiles of a feature, 0 for a profile with itself.
+
+    Targets are packed `batch` to a prompt, each with all comparisons of their
+    category; a failing scorer or an unreadable reply gives the default.
+    """
+    rows = profiles.select(F.col("feature").alias("category"), "profile").where("coalesce(profile, '') <> ''").distinct()
+    place = F.row_number().over(Window.partitionBy("category").orderBy("profile")) - 1
+    groups = rows.withColumn("g", F.floor(place / batch)).groupBy("category", "g").agg(F.array_sort(F.collect_list("profile")).alias("targets"))
+    names = rows.groupBy("category").agg(F.array_sort(F.collect_list("profile")).alias("comparisons"))
+
+    def run(frames):
+        for pdf in frames:
+            for r in pdf.itertuples():
+                targets, comparisons = list(r.targets), list(r.comparisons)
+                try:
+                    reply = scorer.reply(r.category, targets, comparisons) or ""
+                except Exception:  # noqa: BLE001  a plugged-in model may fail in any way
+                    reply = ""
+                found = {targets[0]: replies.single(reply, comparisons, default)} if len(targets) == 1 and not any(t in reply for t in targets) else replies.batch(reply, targets, comparisons, default)
+                for t in targets:
+                    yield pd.DataFrame({"category": r.category, "target": t, "comparison": comparisons, "score": [0.0 if c == t else found[t][c] for c in comparisons]})
+
+    return groups.join(names, "category").select("category", "targets", "comparisons").mapInPandas(run, "category string, target string, comparison string, score double")
+
+
+def selected(selector: Selector, clusters: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, umbrella): the selector's choice among each cluster's tags (at most 50 of the most frequent are shown to it), else the most frequent, shortest, first one."""
+    counted = clusters.groupBy(*keys, "tag").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), F.length("tag"), "tag"))
+    shown = counted.withColumn("place", place).where("place <= 50").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", "tag"))).alias("all")).select(*keys, F.col("all.tag").alias("tags"))
+
+    @F.pandas_udf("string")
+    def choose(tags: pd.Series) -> pd.Series:
+        out = []
+        for own in tags:
+            names = list(own)
+            try:
+                answer = selector.select(names) if len(names) > 1 else names[0]
+            except Exception:  # noqa: BLE001
+                answer = None
+            out.append(answer if answer in names else names[0])
+        return pd.Series(out)
+
+    return shown.select(*keys, choose("tags").alias("umbrella"))
+
+
 class KeywordTuner:
     """Default weights, moved by words for three intents: alike, apart, or seniority."""
 

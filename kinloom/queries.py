@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from kinloom.functions import text as ft
 from kinloom.functions.scoring import power_mean
 from kinloom.functions.vectors import summed, unit
-from kinloom.operators import catalog, community, graph, insights, layout, pairs, report, search
+from kinloom.operators import catalog, community, graph, insights, layout, pairs, report, search, subgraph, vector_store
 from kinloom.schema import COMPLEMENTARITY_WEIGHTS, FEATURES, SIMILARITY_WEIGHTS
 from kinloom.scratch import dense_id, folder, written
 from kinloom.sources import people, store
@@ -364,14 +364,28 @@ def connected_components(spark, d):
     return graph.components(strong, _membership(spark, d).select("node"))
 
 
-@query()
+# Greedy peeling: each step holds the degrees of the nodes that are left; the least one goes, its edges come off the others.
+_PEEL = (
+    _EDGES
+    + ", arcs AS (SELECT src AS a, dst AS b, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges)"
+    + ", left_(step, node, degree) AS (SELECT 0, a, sum(weight) FROM arcs GROUP BY a UNION ALL SELECT s.step + 1, s.node, s.degree - arcs.weight FROM (SELECT step, node, degree, first_value(node) OVER (ORDER BY round(degree, 9), node) AS x FROM left_) s JOIN arcs ON arcs.a = s.x AND arcs.b = s.node)"
+    + ", peel AS (SELECT step, arg_min(node, (round(degree, 9), node)) AS node, min(degree) AS degree, CASE WHEN count(*) > 1 THEN sum(degree) / (count(*) * (count(*) - 1)) ELSE 0 END AS density, count(*) AS size FROM left_ GROUP BY step)"
+)
+
+
+@query(f"WITH RECURSIVE {_PEEL} SELECT step::BIGINT AS step, node, round(degree, 6) AS degree, round(density, 6) AS density FROM peel")
 def peel_order(spark, d):
-    return graph.peeling(_edges(spark, d))
+    return graph.peeling(_edges(spark, d)).select("step", "node", F.round("degree", 6).alias("degree"), F.round("density", 6).alias("density"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_PEEL} SELECT step::BIGINT AS prefix, size::BIGINT AS size, round(density, 6) AS density FROM peel WHERE size >= 3 AND density >= 40e-2")
+def dense_prefixes(spark, d):
+    return subgraph.prefixes(graph.peeling(_edges(spark, d)), 0.4).select("prefix", "size", F.round("density", 6).alias("density"))
+
+
+@query(f"WITH RECURSIVE {_PEEL}, f AS (SELECT min(step) AS step FROM peel WHERE size >= 3 AND density >= 40e-2) SELECT node, round((SELECT density FROM peel JOIN f USING (step)), 6) AS density FROM left_ JOIN f USING (step)")
 def dense_subgraph(spark, d):
-    return graph.dense_subgraph(_edges(spark, d), 0.1)
+    return graph.dense_subgraph(_edges(spark, d), 0.4).select("node", F.round("density", 6).alias("density"))
 
 
 @query()
@@ -426,6 +440,142 @@ def stress_layout(spark, d):
     return layout.stress_layout(_label_graph(spark, d))
 
 
+def _community(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of one label's people (a hundredth of all pairs): a graph of people for the dense kernels."""
+    nodes = _membership(spark, d).where("community = 3").select("node")
+    return nodes, written(graph.induced(_edges(spark, d), nodes), "inner")
+
+
+@query()
+def people_communities(spark, d):
+    nodes, inner = _community(spark, d)
+    found, scores = subgraph.communities(inner, nodes)
+    return found.join(scores, "method", "left").select("method", "node", "community", F.round("score", 6).alias("score"), F.coalesce("chosen", F.lit(False)).alias("chosen"))
+
+
+@query(f"WITH RECURSIVE {_EDGES}, m AS (SELECT person_id AS node FROM p WHERE label = 3), lg AS (SELECT e.* FROM edges e SEMI JOIN m ON e.src = m.node SEMI JOIN m m2 ON e.dst = m2.node), lim AS (SELECT min(weight) AS lo, max(weight) AS hi FROM lg), dd AS (SELECT src, dst, 2 - 19e-1 * (weight - lo) / (hi - lo) AS d FROM lg, lim), a AS (SELECT src AS x, dst AS y, d FROM dd UNION ALL SELECT dst, src, d FROM dd), r(x, y, d, n) AS (SELECT x, y, d, 1 FROM a UNION ALL SELECT x, y, min(d), n + 1 FROM (SELECT r.x, a.y, r.d + a.d AS d, r.n FROM r JOIN a ON a.x = r.y WHERE r.n < 5 AND r.x <> a.y UNION ALL SELECT x, y, d, n FROM r WHERE n < 5) GROUP BY x, y, n) SELECT x AS src, y AS dst, round(min(d), 6) AS distance FROM r WHERE x < y GROUP BY ALL")
+def people_paths(spark, d):
+    return layout.shortest_paths(_community(spark, d)[1]).select("src", "dst", F.round("distance", 6).alias("distance"))
+
+
+@query()
+def people_layout(spark, d):
+    return layout.stress_layout(_community(spark, d)[1])
+
+
+@query()
+def people_subgroups(spark, d):
+    nodes, inner = _community(spark, d)
+    return subgraph.subgroup_strength(inner, written(subgraph.subgroups(inner, nodes), "groups"))
+
+
+_BY_LABEL = f"{_EDGES}, pl AS (SELECT person_id AS node, label AS community FROM p)"
+
+
+@query(f"WITH {_BY_LABEL}, i AS (SELECT a.community, sum(weight) AS t, avg(weight) AS strength FROM edges JOIN pl a ON a.node = src JOIN pl b ON b.node = dst AND a.community = b.community GROUP BY 1), n AS (SELECT community, count(*) AS size FROM pl GROUP BY 1 HAVING count(*) >= 3) SELECT community::BIGINT AS community, size, round(coalesce(t, 0) / (size * (size - 1) / 2), 8) AS density, round(coalesce(strength, 0), 8) AS strength, row_number() OVER (ORDER BY round(coalesce(strength, 0), 12) DESC, community)::INTEGER AS place FROM n LEFT JOIN i USING (community)")
+def subgroup_strength(spark, d):
+    return subgraph.subgroup_strength(_edges(spark, d), _membership(spark, d)).select("community", "size", *_r("density", "strength"), "place")
+
+
+@query("SELECT c_custkey AS node, c_name, c_mktsegment FROM customer WHERE c_custkey % 7 = 0")
+def member_list(spark, d):
+    who = _t(spark, d, "customer")
+    members = spark.range(0, 10_000_000, 7).select(F.col("id").alias("node"))
+    return subgraph.member_list(subgraph.present(members, who, "c_custkey"), who, ["c_name", "c_mktsegment"], "c_custkey")
+
+
+@query("SELECT DISTINCT o_custkey AS node FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 20)")
+def absent_nodes(spark, d):
+    nodes = _t(spark, d, "orders").select(F.col("o_custkey").alias("node")).distinct()
+    return subgraph.absent(nodes, _t(spark, d, "customer").where("c_nationkey < 20"), "c_custkey")
+
+
+@query(f"WITH {_EDGES} SELECT 'N' || src AS source, 'N' || dst AS target, round(weight, 8) AS weight FROM edges WHERE src % 3 <> 0 AND dst % 3 <> 0")
+def named_edges(spark, d):
+    who = _people(spark, d).where("person_id % 3 <> 0").select("person_id", F.concat(F.lit("N"), "person_id").alias("name"))
+    return subgraph.named_edges(_edges(spark, d), who, "name").select("source", "target", *_r("weight"))
+
+
+@query("WITH o AS (SELECT o_custkey % 5 AS m, o_orderpriority AS c, count(*) AS n, avg(o_totalprice) / 1e6 AS r FROM orders GROUP BY ALL) SELECT 'm' || m AS method, 'm' || m || ': ' || count(*) || ' communities (sizes: [' || string_agg(n::VARCHAR, ', ' ORDER BY n DESC) || ']), modularity: ' || printf('%.3f', m / 8e0) || ', avg cohesion: ' || printf('%.3f', avg(r)) AS summary FROM o GROUP BY m")
+def community_summary(spark, d):
+    o = _t(spark, d, "orders").groupBy((F.col("o_custkey") % 5).alias("m"), F.col("o_orderpriority").alias("community")).agg(F.count("*").alias("size"), (F.avg("o_totalprice") / 1e6).alias("cohesion_ratio"))
+    return subgraph.community_summary(o.select(F.concat(F.lit("m"), "m").alias("method"), "community", "size", "cohesion_ratio", (F.col("m") / 8.0).alias("modularity")))
+
+
+@query(
+    f"WITH RECURSIVE {_PEEL}, f AS (SELECT min(step) AS step FROM peel WHERE size >= 3 AND density >= 40e-2), nd AS (SELECT node FROM left_ JOIN f USING (step)), s AS (SELECT s.*, e.weight FROM scored s JOIN edges e ON e.src = s.i AND e.dst = s.j SEMI JOIN nd ON nd.node = s.i SEMI JOIN nd n2 ON n2.node = s.j), l AS ("
+    + " UNION ALL ".join(f"SELECT '{f}' AS feature, c_{f} AS c, weight, ({SIMILARITY_WEIGHTS[f]!r}::DOUBLE * (1 - c_{f} + 1e-1) + {COMPLEMENTARITY_WEIGHTS[f]!r}::DOUBLE * c_{f}) / {SIMILARITY_WEIGHTS[f] + COMPLEMENTARITY_WEIGHTS[f]!r}::DOUBLE AS part, {SIMILARITY_WEIGHTS[f]!r} > {COMPLEMENTARITY_WEIGHTS[f]!r} AS sim FROM s" for f in FEATURES)
+    + ") SELECT feature, CASE WHEN any_value(sim) THEN 'similarity' ELSE 'complementarity' END AS dominant, count(*)::BIGINT AS edges, round(sum(part * weight) / greatest(sum(weight), 1e-3) * 100, 6) AS percentage, round(avg(c), 6) AS average, round(max(c), 6) AS highest, round(min(c), 6) AS lowest FROM l GROUP BY feature"
+)
+def subgraph_report_scalars(spark, d):
+    """The whole subgraph's figures by feature, on the peeled subgraph."""
+    scored = written(_scored(spark, d), "scored")
+    edges = written(pairs.edges(scored, FEATURES), "edges")
+    nodes = written(graph.dense_subgraph(edges, 0.4).select("node"), "nodes")
+    ids = nodes.select(F.col("node").alias("i"))
+    inside = scored.join(ids, "i", "left_semi").join(ids.withColumnRenamed("i", "j"), "j", "left_semi")
+    long = written(report.unpivoted(inside, FEATURES, "i", "j"), "long")
+    weighted = long.join(edges.select(F.col("src").alias("i"), F.col("dst").alias("j"), "weight"), ["i", "j"])
+    own = report.feature_importance(weighted, SIMILARITY_WEIGHTS, COMPLEMENTARITY_WEIGHTS).select("feature", "percentage", "dominant", "edges")
+    patterns = report.complementarity_patterns(long, COMPLEMENTARITY_WEIGHTS).select("feature", "average", "highest", "lowest")
+    return own.join(patterns, "feature").select("feature", "dominant", "edges", F.round("percentage", 6).alias("percentage"), F.round("average", 6).alias("average"), F.round("highest", 6).alias("highest"), F.round("lowest", 6).alias("lowest"))
+
+
+@query("WITH v AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS id, vec_id FROM embeddings WHERE vec_id % 2 = 0), n AS (SELECT count(*) AS n FROM v) SELECT id, vec_id FROM v UNION ALL SELECT row_number() OVER (ORDER BY vec_id) - 1 + n, vec_id FROM embeddings, n WHERE vec_id % 2 = 1")
+def vector_append(spark, d):
+    e = _t(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    first = dense_id(e.where("vec_id % 2 = 0"), ["vec_id"], "id")
+    path = f"{folder(spark)}/vectors-{uuid.uuid4().hex}"
+    vector_store.save(vector_store.appended(first, e.where("vec_id % 2 = 1"), ["vec_id"]), path)
+    return vector_store.load(spark, path).select("id", "vec_id")
+
+
+@query("WITH v AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0) SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_inner_product(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(b.embedding, lambda x: x::DOUBLE)), 6) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id")
+def inner_products(spark, d):
+    rows = _t(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    return vector_store.inner_products(rows).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+@query()
+def text_search(spark, d):
+    from kinloom.plans.plugins import HashedWords, embedded
+
+    parts = dense_id(_t(spark, d, "part").select("p_name").distinct(), ["p_name"], "id")
+    rows = parts.join(embedded(parts.select(F.col("p_name").alias("tag")), HashedWords(64)).withColumnRenamed("tag", "p_name"), "p_name").select("id", "p_name", F.col("vec").alias("vector"))
+    return vector_store.text_search(rows, parts.where("id % 20 = 0").select(F.col("p_name").alias("query")), HashedWords(64), 3)
+
+
+@query("WITH f AS (SELECT DISTINCT p_brand AS category, 's' || (p_size % 10) AS profile FROM part), s AS (SELECT DISTINCT p_brand AS category, 's' || (p_size % 10) AS target, 's' || (p_size % 7) AS comparison, (p_size % 7) / 7e0 AS score FROM part) SELECT s.category, target, comparison, score FROM s SEMI JOIN f a ON a.category = s.category AND a.profile = s.target SEMI JOIN f b ON b.category = s.category AND b.profile = s.comparison")
+def live_scores(spark, d):
+    p = _t(spark, d, "part")
+    own = p.select(F.col("p_brand").alias("feature"), F.concat(F.lit("s"), F.col("p_size") % 10).alias("profile"))
+    scores = p.select(F.col("p_brand").alias("category"), F.concat(F.lit("s"), F.col("p_size") % 10).alias("target"), F.concat(F.lit("s"), F.col("p_size") % 7).alias("comparison"), (F.col("p_size") % 7 / 7.0).alias("score")).distinct()
+    return insights.live_scores(scores, own).select("category", "target", "comparison", "score")
+
+
+@query("WITH f AS (SELECT DISTINCT p_brand AS category, 's' || (p_size % 10) AS profile FROM part), s AS (SELECT DISTINCT p_brand AS category, 's' || (p_size % 10) AS target, 's' || (p_size % 7) AS comparison, (p_size % 7) / 7e0 AS score FROM part), m AS (SELECT a.category, a.profile AS target, b.profile AS comparison FROM f a JOIN f b USING (category)), x AS (SELECT m.*, coalesce(score, 0) AS score FROM m LEFT JOIN s USING (category, target, comparison)), r AS (SELECT category, min(score) AS lo, max(score) AS hi FROM x GROUP BY 1) SELECT category, target, comparison, round(score, 8) AS score, round(CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 5e-1 END, 8) AS scaled FROM x JOIN r USING (category)")
+def filled_scores(spark, d):
+    p = _t(spark, d, "part")
+    own = p.select(F.col("p_brand").alias("feature"), F.concat(F.lit("s"), F.col("p_size") % 10).alias("profile"))
+    scores = p.select(F.col("p_brand").alias("category"), F.concat(F.lit("s"), F.col("p_size") % 10).alias("target"), F.concat(F.lit("s"), F.col("p_size") % 7).alias("comparison"), (F.col("p_size") % 7 / 7.0).alias("score")).distinct()
+    return insights.filled_scores(scores, own).select("category", "target", "comparison", *_r("score", "scaled"))
+
+
+@query("WITH v AS (SELECT o_custkey::VARCHAR AS file_id, o_orderkey::VARCHAR AS version_id, o_orderkey AS version_number FROM orders), n AS (SELECT c_custkey::VARCHAR AS file_id, 'new' || c_custkey AS version_id FROM customer WHERE c_custkey % 3 = 0), m AS (SELECT file_id, max(version_number) AS l FROM v GROUP BY 1), u AS (SELECT * FROM v UNION ALL SELECT n.file_id, n.version_id, coalesce(l, 0) + 1 FROM n LEFT JOIN m USING (file_id)) SELECT * FROM u WHERE file_id::BIGINT % 5 <> 0")
+def file_writes(spark, d):
+    versions = _versions(spark, d).select("file_id", "version_id", "version_number")
+    files = _files(spark, d)
+    new = files.where("file_id % 3 = 0").select("file_id", F.concat(F.lit("new"), "file_id").alias("version_id"))
+    _, left = catalog.without_files(files, catalog.with_version(versions, new), versions.unionByName(new, allowMissingColumns=True).where("file_id % 5 = 0"))
+    return left
+
+
+@query("SELECT o_custkey::VARCHAR AS file_id, o_orderkey::VARCHAR AS version_id, o_orderkey AS version_number FROM orders WHERE o_custkey::VARCHAR = (SELECT min(o_custkey::VARCHAR) FROM orders)")
+def versions_ascending(spark, d):
+    v = _versions(spark, d)
+    return catalog.versions_of(v, v.agg(F.min("file_id").alias("f")).first()["f"]).select("file_id", "version_id", "version_number")
+
+
 # --- reports --------------------------------------------------------------------------------------
 
 _CENTROID = _VECS + ", e AS (SELECT feature, unnest(vec) AS x, unnest(range(10)) AS k FROM vecs), c AS (SELECT feature, list(x ORDER BY k) AS c FROM (SELECT feature, k, avg(x) AS x FROM e GROUP BY ALL) GROUP BY feature)"
@@ -691,3 +841,10 @@ def llm_reply_parse(spark, d):
     said = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('Here: ```json\n{"b": '), "s", F.lit("}\n```"))).otherwise(F.concat(F.lit("- b: "), "s"))
     found = e.select("event_id", parsed_scores(said, F.array(F.lit("a"), F.lit("b"))).alias("m"))
     return found.select("event_id", F.col("m")["a"].alias("a"), F.col("m")["b"].alias("b"))
+
+
+@query(f"WITH {_JOBS} SELECT job_id, CASE WHEN status = 'failed' THEN 'queued' ELSE 'cancelled' END AS status FROM job WHERE status IN ('pending', 'queued', 'running', 'failed')")
+def job_writes(spark, d):
+    at = F.lit("2030-01-01").cast("timestamp")
+    state = written(_jobs(spark, d), "jobs")
+    return catalog.cancelled(state, at).unionByName(catalog.restarted(state, at)).select("job_id", "status")

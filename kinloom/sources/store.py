@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -85,3 +86,14 @@ def links_json(edges: DataFrame) -> DataFrame:
 def links_from_json(lines: DataFrame) -> DataFrame:
     x = F.from_json("link", "source long, target long, weight double")
     return lines.select(x["source"].alias("src"), x["target"].alias("dst"), x["weight"].alias("weight"))
+
+
+def load_version_or_path(spark: SparkSession, root: str, version_id: str, path: str | None, schema: str) -> DataFrame:
+    """A stored version; where it can't be read, the file at `path`, else an empty table of the schema."""
+    for read in (lambda: load_version(spark, root, version_id), lambda: spark.read.parquet(path) if path else None):
+        try:
+            if (found := read()) is not None:
+                return found
+        except AnalysisException:
+            continue
+    return spark.createDataFrame([], schema)
