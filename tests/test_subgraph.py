@@ -133,12 +133,12 @@ def test_whole_report(spark, tmp_path):
     names = [c for c in ESSENTIAL if c not in OPTIONAL]
     people = pd.DataFrame([{c: f"P{i}" if c == "Person Name" else cell() for c in names} | {"LinkedIn URL": f"u{i}"} for i in range(14)])
     people.to_csv(tmp_path / "p.csv", index=False)
-    for s in (Settings(), Settings(dense_nodes=5, batch_peeling=0.1)):
+    for s in (Settings(), Settings(dense_nodes=2, batch_peeling=0.1)):
         out = PeopleGraph(spark, HashedWords(32), settings=s).run(str(tmp_path / "p.csv"), ["Person Name"])
         counts = {k: v.count() for k, v in out.items()}
         n = counts["members"]
         assert n >= 3 and counts["member_list"] == n and counts["absent"] == 0 and counts["named_edges"] == n * (n - 1) / 2
         assert counts["importance"] == counts["importance_report"] == counts["complementarity"] == counts["hybrid"] == 6 and counts["dominance"] == 1
         assert counts["replication"] and counts["centroid_report"] and counts["communities"] in (0, n)  # 0: no method divides the graph
-        assert ("layout" in out) == (s.dense_nodes > 5)
+        assert ("layout" in out) == (n <= s.dense_nodes)
     assert all(r.line.startswith(f"{r.rank}. ") for r in out["importance_report"].collect())
