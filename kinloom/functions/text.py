@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 # Delimiters of rich tags in order, and words they drop.
 DELIMITERS = ("|", ",", ";", "\n", " and ", " & ")
-STOP_WORDS = ("the", "and", "or", "of", "in", "at", "to", "for")
+STOP_WORDS = ("the", "and", "or", "in", "at", "of", "to", "for")
 
 
 def strip(text: Column) -> Column:

@@ -101,10 +101,13 @@ def smacof(d: np.ndarray, seed: int = 42, rounds: int = 300, tolerance: float =
 
 
 def stress_layout(edges: DataFrame) -> DataFrame:
-    """(node, x, y, stress): coordinates scaled to [0, 1] on each axis."""
+    """(node, x, y, stress): coordinates scaled to [0, 1] on each axis; on a circle, without a stress, where scaling gives no numbers."""
 
     def kernel(ids, w):
         x, stress = smacof(floyd_warshall(distances(w)))
+        if not np.isfinite(x).all():
+            at = np.array(circle(len(ids))).reshape(-1, 2)
+            return pd.DataFrame({"node": ids, "x": at[:, 0], "y": at[:, 1], "stress": np.nan})
         low, span = x.min(axis=0), np.ptp(x, axis=0)
         x = (x - low) / np.where(span > 0, span, 1)
         return pd.DataFrame({"node": ids, "x": x[:, 0], "y": x[:, 1], "stress": stress})

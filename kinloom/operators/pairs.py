@@ -205,3 +205,32 @@ def jaccard(tags: DataFrame, key: str, column: str) -> DataFrame:
     b = each.select(F.col(key).alias("j"), F.col("n").alias("_m"), "tag")
     shared = a.join(b, "tag").where("i < j").groupBy("i", "j", "_n", "_m").agg(F.count("*").alias("_k"))
     return shared.select("i", "j", (F.col("_k") / (F.col("_n") + F.col("_m") - F.col("_k"))).alias("jaccard"))
+
+
+def jaccard_sum(sets: DataFrame, column: str, count: str) -> DataFrame:
+    """(total): the sum over all pairs of different rows of the Jaccard similarity of their tag sets, times both rows' counts.
+
+    Blocks of rows are compared by a kernel that hands on one sum, so a tag
+    that everyone has costs no more than any other.
+    """
+    n = sets.count()
+    own = sets.select(F.transform(F.array_distinct(column), lambda t: F.xxhash64(t)).alias("tags"), F.col(count).cast("double").alias("k"))
+    own = own.withColumn("block", F.pmod(F.xxhash64("tags", "k"), F.lit(n // BLOCK + 1))).groupBy("block").agg(F.collect_list(F.struct("tags", "k")).alias("rows"))
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                sides = [batch.column(c)[r].values for c in (2, 3)]
+                tags = [side.field("tags") for side in sides]
+                sizes = [np.asarray(t.value_lengths()).astype(np.int64) for t in tags]
+                names, place = np.unique(np.concatenate([t.flatten().to_numpy(zero_copy_only=False) for t in tags]), return_inverse=True)
+                x, y = (np.zeros((len(side), len(names)), np.float32) for side in sides)
+                x[np.repeat(np.arange(len(x)), sizes[0]), place[: sizes[0].sum()]] = 1
+                y[np.repeat(np.arange(len(y)), sizes[1]), place[sizes[0].sum() :]] = 1
+                both = (x @ y.T).astype(np.float64)
+                either = sizes[0][:, None] + sizes[1][None, :] - both
+                near = np.divide(both, either, out=np.zeros_like(both), where=either > 0) * np.outer(*(side.field("k").to_numpy() for side in sides))
+                same = batch.column(0)[r].as_py() == batch.column(1)[r].as_py()
+                yield pa.RecordBatch.from_arrays([pa.array([float(np.triu(near, 1).sum() if same else near.sum())])], ["total"])
+
+    return _block_pairs(own).mapInArrow(run, "total double").agg(F.coalesce(F.sum("total"), F.lit(0.0)).alias("total"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kinloom.functions.text import rich_tags, strip
 from kinloom.functions.vectors import cosine, dot, summed, unit
-from kinloom.operators.pairs import jaccard
+from kinloom.operators.pairs import jaccard_sum
 
 
 def _top(df: DataFrame, by: str, order: list, n: int, name: str = "rank") -> DataFrame:
@@ -97,12 +97,11 @@ def shared_values(tags: DataFrame, n: int = 5) -> DataFrame:
 
 def diversity(tags: DataFrame, column: str = "tags") -> DataFrame:
     """Unique share of the tags, mean Jaccard distance over all i < j, and their product, of one table of tag lists."""
-    sets = tags.select(F.array_sort(F.array_distinct(column)).alias("s")).groupBy("s").agg(F.count("*").alias("k")).withColumn("id", F.array_join("s", "\x1f"))
+    sets = tags.select(F.array_sort(F.array_distinct(column)).alias("s")).groupBy("s").agg(F.count("*").alias("k"))
     n = tags.agg(F.count("*").alias("n"))
     flat = sets.select("k", F.explode("s").alias("t")).agg(F.sum("k").alias("total"), F.countDistinct("t").alias("unique"))
     # Equal sets are one row with a count; they are at distance 0 from each other (empty ones at 1).
-    count = lambda name, end: sets.select(F.col("id").alias(end), F.col("k").alias(name))
-    near = jaccard(sets, "id", "s").join(count("_a", "i"), "i").join(count("_b", "j"), "j").agg(F.coalesce(F.sum(F.col("jaccard") * F.col("_a") * F.col("_b")), F.lit(0.0)).alias("apart"))
+    near = jaccard_sum(sets, "s", "k").withColumnRenamed("total", "apart")
     same = sets.where(F.size("s") > 0).agg(F.coalesce(F.sum(F.col("k") * (F.col("k") - 1) / 2), F.lit(0.0)).alias("same"))
     both = n.crossJoin(F.broadcast(flat)).crossJoin(F.broadcast(near)).crossJoin(F.broadcast(same)).withColumn("s", F.col("apart") + F.col("same"))
     ratio = F.coalesce(F.try_divide(F.col("unique"), F.col("total")), F.lit(0.0))

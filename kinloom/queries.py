@@ -201,7 +201,7 @@ for _d in ("'|'", "','", "';'", "chr(10)", "' and '", "' & '"):
     _RICH = _cut(_RICH, _d)
 
 
-@query(f"SELECT doc_id, list_filter(list_transform({_RICH}, lambda x: lower(x)), lambda x: length(x) > 2 AND x NOT IN ('the', 'and', 'or', 'of', 'in', 'at', 'to', 'for'))[1:10] AS tags FROM documents")
+@query(f"SELECT doc_id, list_filter(list_transform({_RICH}, lambda x: lower(x)), lambda x: length(x) > 2 AND x NOT IN ('the', 'and', 'or', 'in', 'at', 'of', 'to', 'for'))[1:10] AS tags FROM documents")
 def rich_tags_first10(spark, d):
     return _t(spark, d, "documents").select("doc_id", ft.rich_tags(F.col("text")).alias("tags"))
 

@@ -14,7 +14,11 @@ def event_stream(spark: SparkSession, path: str, schema, per_trigger: int = 16)
 
 
 def latest_status(events: DataFrame, late: str = "1 day") -> DataFrame:
-    """One row for each job, its last event by time: a mergeable aggregate, so state is one row a job."""
+    """One row for each job, its last event by time: a mergeable aggregate, so state is one row a job.
+
+    The watermark drops events later than `late`; since time is no grouping
+    key, it doesn't expire a job, and state holds a small row for every job.
+    """
     last = F.max(F.struct("at", "status", "progress"))
     return events.withWatermark("at", late).groupBy("job_id").agg(last.alias("last"), F.count("*").alias("events")).select("job_id", "last.*", "events")
 
