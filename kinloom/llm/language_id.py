@@ -10,7 +10,8 @@ Defined results: a null text or one without a letter gives ('und', 0.0). Equal
 posteriors go to the alphabetically first language. The score is the posterior
 of the predicted language times the share of letters seen in training, so a
 foreign script scores near 0. Repeated rows and ids are scored each; only the
-text column is read.
+text column is read, and kept columns may have any name. A very long text is
+scored alone, with about 40 bytes of memory a character.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ BUCKETS = LETTER_BUCKETS + GRAM_BUCKETS
 #: Expected number of training texts for each language (a documented bound of the fit; all labelled texts where there are fewer).
 SAMPLE_PER_LANGUAGE = 2000
 ALPHA = 0.1
+#: N-grams whose log probabilities are gathered at once.
+GATHERED = 1 << 21
 
 _fold: list[np.ndarray] = []
 
@@ -93,7 +96,9 @@ class Model:
             return np.full(len(t), -1), np.zeros(len(t))
         total = np.repeat(self.log_prior[:, None], len(t), axis=1)
         for idx, at in found:
-            total += _row_sums(np.take(self.log_prob, idx, axis=1), at)
+            for s in range(0, len(idx), GATHERED):  # more than one step for a very long text only
+                part = idx[s : s + GATHERED]
+                total += _row_sums(np.take(self.log_prob, part, axis=1), np.clip(at - s, 0, len(part)))
         best = total.argmax(axis=0)
         top = total.max(axis=0)
         score = 1 / np.exp(total - top).sum(axis=0)

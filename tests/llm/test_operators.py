@@ -836,3 +836,29 @@ def test_language_scores_equal_direct_bayes(spark, sf, odd):
     none = language_id.fit(spark, docs.limit(0))
     assert {r.lang_pred for r in language_id.predict(odd, none, {"doc_id": "long"}).collect()} == {"und"}
     assert language_id.predict(odd.limit(0), m, {"doc_id": "long"}).count() == 0
+
+
+def test_texts_of_megabytes(spark, monkeypatch):
+    """One text of over two million characters, and one such run without a space, through every operator that reads texts."""
+    monkeypatch.setattr(language_id, "GATHERED", 1 << 18)
+    words_ = prose(4, 300_000)
+    key = "password = hunter2hunter2 ann@example.org " + licenses.TEMPLATES["mit-line"]
+    rows = [(1, f"{words_} {key}", "en"), (2, f"{words_} {key} more", "en"), (3, "xy" * 1_000_000, "de"), (4, "short text", "en"), (6, "kurz und gut", "de")]
+    docs = spark.createDataFrame([r for r in rows], "doc_id long, text string, lang string").repartition(5, "doc_id")
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.classes(spark, docs).collect()}
+    assert found[1] == (len(shingle_set(rows[0][1])), 1) and found[2][1] == 1 and found[3] == (1, 3)
+    own = {r.doc_id: r for r in secrets.scanned(docs, ["doc_id"]).collect()}
+    assert own[1].n_assign == 1 and own[1].spans == f"assign:{len(words_) + 1}:{len(words_) + 26}" and own[3].spans == ""
+    got = {r.doc_id: r for r in pii.scanned(docs, ["doc_id"]).collect()}
+    assert [got[i].n_email for i in (1, 2, 3)] == [1, 1, 0]
+    assert {(r.doc_id, r.license) for r in licenses.licensed(docs).collect()} == {(1, "mit-line"), (2, "mit-line")}
+    back = {r.doc_id: r for r in pieces.encoded(docs, pieces.load(), ["doc_id"]).collect()}
+    assert all(r.exact for r in back.values()) and len(back) == 5
+    bench = spark.createDataFrame([(7, " ".join(words_.split()[150_000:150_040]))], "item_id long, text string")
+    assert {(r.doc_id, r.first_word) for r in decontaminate.contaminated(docs, bench).collect()} == {(1, 150_000), (2, 150_000)}
+    model = language_id.fit(spark, docs.select(F.col("doc_id").alias("key"), "text", "lang"))
+    said = {r.doc_id: r.lang_pred for r in language_id.predict(docs, model, {"doc_id": "long"}).collect()}
+    assert said[1] == said[2] == "en" and said[3] == "de"
+    model, vocabulary = brown.fit(spark, docs.select("text"))
+    scored = {r.doc_id: r.n_tokens for r in brown.scored(spark, docs.select("doc_id", F.lit(False).alias("held_out"), "text"), model, vocabulary).collect()}
+    assert scored[3] == 2 and scored[1] == len(words(rows[0][1])) + 1
