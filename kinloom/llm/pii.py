@@ -163,7 +163,7 @@ def _states(x: np.ndarray, live: np.ndarray, table: np.ndarray, u: np.ndarray) -
 def _lstm_back(x: np.ndarray, u: np.ndarray, kept: list, dout: np.ndarray):
     """Gradients of the symbol table and of u."""
     rows, steps = x.shape
-    dtable, du = np.zeros((SYMBOLS, 4 * HIDDEN), np.float32), np.zeros_like(u)
+    du, parts = np.zeros_like(u), np.empty((steps, rows, 4 * HIDDEN), np.float32)
     dh, dc = np.zeros((rows, HIDDEN), np.float32), np.zeros((rows, HIDDEN), np.float32)
     for s in range(steps - 1, -1, -1):
         gates, g, old, t, before = kept[s]
@@ -171,11 +171,12 @@ def _lstm_back(x: np.ndarray, u: np.ndarray, kept: list, dout: np.ndarray):
         dh = dh + dout[s]
         dc = dc + dh * o * (1 - t * t)
         dz = np.concatenate([dc * g * i * (1 - i), dc * old * f * (1 - f), dh * t * o * (1 - o), dc * i * (1 - g * g)], axis=1)
-        np.add.at(dtable, x[:, s], dz)
+        parts[s] = dz
         du += before.T @ dz
         dh = dz @ u.T
         dc = dc * f
-    return dtable, du
+    which = (x.T.reshape(-1, 1) == np.arange(SYMBOLS)).astype(np.float32)
+    return which.T @ parts.reshape(-1, 4 * HIDDEN), du
 
 
 @dataclass
@@ -251,9 +252,7 @@ class Tagger:
             beta[s] = _logsumexp(self.moves + (scores[s + 1] + beta[s + 1])[:, None, :], 2)
         whole = _logsumexp(alpha[-1], 1)
         ds = np.exp(alpha + beta - whole[None, :, None])
-        dm = np.zeros_like(self.moves)
-        for s in range(1, steps):
-            dm += np.exp(alpha[s - 1][:, :, None] + self.moves + (scores[s] + beta[s])[:, None, :] - whole[:, None, None]).sum(axis=0)
+        dm = np.exp(alpha[:-1, :, :, None] + self.moves + (scores[1:] + beta[1:])[:, :, None, :] - whole[None, :, None, None]).sum(axis=(0, 1))
         s, r = np.meshgrid(np.arange(steps), np.arange(rows), indexing="ij")
         ds[s, r, y.T] -= 1
         np.subtract.at(dm, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
