@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinloom.operators.pairs import cross_scores
+from kinloom.scratch import written
 
 # Lower bounds of the labels.
 DIVERSITY = ((0.8, "very_low"), (0.6, "low"), (0.4, "moderate"), (0.2, "high"))
@@ -58,7 +59,7 @@ def context(stats: DataFrame) -> DataFrame:
 def tfidf(docs: DataFrame, key: str, text: str, terms: int = 100, stop_words: Sequence[str] = ()) -> DataFrame:
     """(key, term, weight): the `terms` most frequent terms of two or more word characters, idf = ln((1 + n) / (1 + df)) + 1, rows of length 1."""
     words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1)), lambda x: ~x.isin(*stop_words) if stop_words else F.lit(True))
-    tf = docs.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    tf = written(docs.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")), "terms")
     top = tf.groupBy("term").agg(F.sum("tf").alias("n"), F.count("*").alias("df")).orderBy(F.desc("n"), "term").limit(terms)
     n = docs.agg(F.count("*").alias("docs"))
     idf = top.crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
