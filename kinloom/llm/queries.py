@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.llm import brown, chat, decontaminate, language_id, licenses, neardup, pieces, pii, secrets, topk
+from kinloom.llm import audit, brown, chat, decontaminate, language_id, licenses, neardup, pieces, pii, resample, secrets, topk, warc
 from kinloom.llm.common import bucket_of, table
 
 
@@ -58,7 +58,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model, {"doc_id": "long", "held_out": "boolean"})
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_brown_lm, op3_minhash_neardup, op4_secret_scan, op5_license_scan, op6_exact_topk, op7_pii, op8_chat_format, op9_sentencepiece, op10_language_id)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), {"quality": "good_lost", "toxic": "toxic_lost"})
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.drawn(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archived(spark, warc.captures(table(spark, sf_dir, "pages"), "page_id", "url", "html"))
+    return records.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_key").alias("refers_to"))
+
+
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_brown_lm, op3_minhash_neardup, op4_secret_scan, op5_license_scan, op6_exact_topk, op7_pii, op8_chat_format, op9_sentencepiece, op10_language_id, op11_filter_audit, op12_importance_resampling, op13_warc_revisits)}
 
 _WORDS = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"""
 _GRAMS = "CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')) END"
@@ -94,4 +107,43 @@ ORACLE_SQL = {
             sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
             sum(length(body) + length(head) + length('<|im_start|>') + 1 + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
         FROM u GROUP BY conv_id""",
+    "op11_filter_audit": r"""
+        WITH w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents)),
+        f AS (SELECT doc_id, part, (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t))::INT
+            + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS mask FROM w),
+        l AS (SELECT doc_id, max(coalesce(quality = 1, false)::INT) AS good, max(coalesce(toxic = 1, false)::INT) AS toxic FROM labels GROUP BY doc_id),
+        c AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS g, sum(coalesce(toxic, 0)) AS x FROM f LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+        p(o) AS (SELECT a.x || b.x || c.x || d.x || e.x FROM (SELECT unnest(['A','B','C','D','E']) AS x) a, (SELECT unnest(['A','B','C','D','E']) AS x) b, (SELECT unnest(['A','B','C','D','E']) AS x) c, (SELECT unnest(['A','B','C','D','E']) AS x) d, (SELECT unnest(['A','B','C','D','E']) AS x) e
+            WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        s AS (SELECT o, k::INTEGER AS step, (1 << (ord(o[k]) - 65))::INT AS bit, list_sum(list_transform(range(1, k), lambda j: 1 << (ord(o[j]) - 65)))::INT AS seen FROM p, range(1, 6) r(k)),
+        r AS (SELECT part, o AS filter_order, step, bit, sum(CASE WHEN mask & (coalesce(seen, 0) | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+            sum(CASE WHEN mask & bit > 0 AND mask & coalesce(seen, 0) = 0 THEN n ELSE 0 END)::BIGINT AS removed, sum(CASE WHEN mask & bit > 0 AND mask & coalesce(seen, 0) > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+            sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails, sum(CASE WHEN mask & bit > 0 AND mask & coalesce(seen, 0) = 0 THEN g ELSE 0 END)::BIGINT AS good_lost,
+            sum(CASE WHEN mask & bit > 0 AND mask & coalesce(seen, 0) = 0 THEN x ELSE 0 END)::BIGINT AS toxic_lost FROM c, s GROUP BY part, o, step, bit)
+        SELECT * EXCLUDE (bit), (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r""",
+    "op12_importance_resampling": r"""
+        WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+        src AS MATERIALIZED (SELECT side, text, n, row_number() OVER () AS id FROM (SELECT 0 AS side, coalesce(text, '') AS text, count(*) AS n FROM documents GROUP BY ALL UNION ALL SELECT 1, coalesce(text, ''), count(*) FROM benchmark GROUP BY ALL)),
+        w AS MATERIALIZED (SELECT side, id, n, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM src),
+        o AS (SELECT side, id, n, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM w),
+        l AS (SELECT side, id, n, w, lead(w) OVER r AS w2, lead(w, 2) OVER r AS w3 FROM o WINDOW r AS (PARTITION BY side, id ORDER BY i)),
+        f AS (SELECT side, id, n, w AS f FROM l UNION ALL SELECT side, id, n, w || ' ' || w2 FROM l WHERE w2 IS NOT NULL UNION ALL SELECT side, id, n, w || ' ' || w2 || ' ' || w3 FROM l WHERE w3 IS NOT NULL),
+        u AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM f)),
+        v AS (SELECT f, h, unnest(range(len(h) // 2)) AS i FROM u),
+        z(k, b, v) AS (SELECT 0, i, CASE WHEN i < 256 THEN t[i + 1] ELSE 4294967295 END FROM tab, range(257) r(i) UNION ALL SELECT k + 1, b, xor(t[v % 256 + 1], v // 256) FROM z, tab WHERE k < (SELECT max(len(h)) // 2 FROM u)),
+        y AS (SELECT k, CASE WHEN b < 16 THEN '0' ELSE '' END || upper(printf('%x', b)) AS d, v FROM z WHERE b < 256),
+        x1 AS (SELECT f, any_value(len(h) // 2) AS n, bit_xor(y.v) AS v FROM v JOIN y ON y.k = len(h) // 2 - 1 - i AND y.d = h[2 * i + 1:2 * i + 2] GROUP BY f),
+        b AS (SELECT f, xor(xor(x1.v, z.v), 4294967295) % 10000 AS bucket FROM x1 JOIN z ON z.k = n AND z.b = 256),
+        c AS (SELECT bucket, sum(CASE WHEN side = 0 THEN n ELSE 0 END) AS s, sum(CASE WHEN side = 1 THEN n ELSE 0 END) AS t FROM f JOIN b USING (f) GROUP BY bucket),
+        g AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM c),
+        x AS (SELECT text, n_features, weight FROM (SELECT id, count(*)::BIGINT AS n_features, sum(gain)::BIGINT AS weight FROM f JOIN b USING (f) JOIN g USING (bucket) WHERE side = 0 GROUP BY id) JOIN src USING (id)),
+        d AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, n_features >= 57 AS enough,
+            coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296e0)))::BIGINT AS score FROM documents LEFT JOIN x ON x.text = coalesce(documents.text, '')),
+        r AS (SELECT *, row_number() OVER (PARTITION BY coalesce(enough, false) ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY coalesce(enough, false)) AS many FROM d)
+        SELECT doc_id, n_features, weight, score, CASE WHEN enough AND place <= many * 5 // 100 THEN place::BIGINT END AS rank FROM r""",
+    "op13_warc_revisits": r"""
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS o FROM pages),
+        b AS (SELECT *, list_transform(range(8), lambda g: ('0x' || h[5 * g + 1:5 * g + 5])::INT) AS gs FROM p)
+        SELECT page_id, payload_bytes, array_to_string(list_transform(gs, lambda x: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x >> 15) % 32 + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x >> 10) % 32 + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x >> 5) % 32 + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', x % 32 + 1, 1)), '') AS payload_digest,
+            CASE WHEN page_id IS NOT DISTINCT FROM o THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM o THEN o END AS refers_to FROM b""",
 }
