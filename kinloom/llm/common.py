@@ -12,8 +12,6 @@ from kinloom import scratch
 
 #: Rows that a kernel holds a second copy of at once.
 SLICE = 1024
-#: A key is hot if it holds one row in so many; there can't be more hot keys than that.
-HOT = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,18 +56,6 @@ def bucket_of(doc_id: str, mod: int) -> "F.Column":
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(mod))
 
 
-def joined_to_unique(left: DataFrame, right: DataFrame, key: str, copies: str, total: int) -> DataFrame:
-    """left joined with `right`, which has one row for each key and in `copies` how many of left's `total` rows hold it.
-
-    Keys that hold at least 1 / HOT of the rows (at most HOT of them, so their
-    rows are broadcast) never meet in one task; the others are shuffled. left
-    is read twice: a written table, or cheap.
-    """
-    hot = F.broadcast(right.where(F.col(copies) * HOT >= total).drop(copies))
-    rest = right.where(F.col(copies) * HOT < total).drop(copies)
-    return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(rest, key))
-
-
 def map_batches(df: DataFrame, kernel: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
     """mapInArrow where kernel() is called once a task."""
 

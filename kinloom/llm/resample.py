@@ -31,7 +31,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinloom.llm import flat
-from kinloom.llm.common import joined_to_unique, map_batches, written
+from kinloom.llm.common import map_batches, written
+from kinloom.operators.components import with_keyed
 from kinloom.scratch import dense_id
 
 BUCKETS, LONGEST_RUN, SHARE, LEAST_WORDS, SEED = 10_000, 3, 5, 20, 42
@@ -199,7 +200,7 @@ def scored(spark: SparkSession, docs: DataFrame, target: DataFrame, key: str = "
     gain = gains(bucket_counts(texts, buckets), bucket_counts(distinct_texts(target), buckets))
     weights = written(spark, weighed(texts, gain), "weights")
     rows = written(spark, docs.select(key, F.unhex(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)).alias("digest")), "digests")
-    joined = joined_to_unique(rows, weights, "digest", "copies", rows.count())
+    joined = with_keyed(rows, weights, ["digest"], "copies", rows.count())
     return joined.select(key, "n_words", "n_features", "weight", (F.col("weight") + noise(F.col(key))).alias("score"))
 
 

@@ -35,7 +35,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.llm.common import joined_to_unique, shared_dir, written
+from kinloom.llm.common import shared_dir, written
+from kinloom.operators.components import with_keyed
 
 CRLF = "\r\n"
 VERSION = "WARC/1.1"
@@ -78,8 +79,8 @@ def resolved(spark: SparkSession, heads: DataFrame, least_bytes: int = 0) -> Dat
     heads = written(spark, heads.withColumn("record_id", record_id(F.col("key"), F.col("uri"), F.col("digest"))), "headers")
     large = F.col("bytes") >= least_bytes
     last = F.max(F.struct("key", "uri", "date", "record_id"))
-    original = written(spark, heads.where(large).groupBy("digest").agg(last.alias("o"), F.count("*").alias("copies")), "originals").select("digest", "o", "copies")
-    shared = joined_to_unique(heads.where(large), original, "digest", "copies", heads.count())
+    original = written(spark, heads.where(large).groupBy("digest").agg(last.alias("o"), F.count("*").alias("copies")), "originals")
+    shared = with_keyed(heads.where(large), original, ["digest"], "copies", heads.count())
     first = F.col("key").eqNullSafe(F.col("o.key"))
     refers = [F.when(~first, F.col(f"o.{c}")).alias(f"refers_{c}") for c in ("key", "uri", "date", "record_id")]
     kinds = {c.split("_", 1)[1]: c for c in ("refers_key", "refers_uri", "refers_date", "refers_record_id")}
@@ -260,7 +261,7 @@ def linked(spark: SparkSession, records: DataFrame) -> DataFrame:
     copies = again.groupBy(F.col("refers_record_id").alias("record_id")).agg(F.count("*").alias("copies"))
     full = records.where("record_type = 'response'").select("record_id", "payload_bytes", "payload_digest", F.col("key").alias("refers_key")).dropDuplicates(["record_id"])
     asked = written(spark, full.join(copies, "record_id").withColumnRenamed("record_id", "refers_record_id"), "asked")
-    back = joined_to_unique(again, asked, "refers_record_id", "copies", again.count())
+    back = with_keyed(again, asked, ["refers_record_id"], "copies", again.count())
     columns = [*records.columns, "refers_key"]
     return records.where("record_type <> 'revisit'").withColumn("refers_key", F.lit(None).cast("long")).select(columns).unionByName(back.select(columns))
 
