@@ -104,6 +104,11 @@ def versions_of(versions: DataFrame, file_id: str) -> DataFrame:
     return versions.where(F.col("file_id") == file_id).orderBy("version_number", "version_id")
 
 
+def versions_in_order(versions: DataFrame) -> DataFrame:
+    """All files' versions with their place in the file's history (1 for the first)."""
+    return versions.withColumn("place", F.row_number().over(Window.partitionBy("file_id").orderBy("version_number", "version_id")))
+
+
 def with_version(versions: DataFrame, added: DataFrame) -> DataFrame:
     """The versions and those added: (version_id, file_id, ...) numbered on from each file's last."""
     last = versions.groupBy("file_id").agg(F.max("version_number").alias("_last"))

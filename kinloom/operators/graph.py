@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinloom.operators.components import linked
-from kinloom.scratch import written
+from kinloom.operators.selection import quantile
+from kinloom.scratch import dropped, written
 
 
 def incident(edges: DataFrame) -> DataFrame:
@@ -36,9 +37,9 @@ def weighted_degree(edges: DataFrame) -> DataFrame:
 
 
 def above_percentile(edges: DataFrame, q: float) -> DataFrame:
-    """Edges of at least the q-th percentile of the weights (linear interpolation)."""
-    cut = edges.agg(F.percentile("weight", q / 100).alias("_cut"))
-    return edges.crossJoin(F.broadcast(cut)).where(F.col("weight") >= F.col("_cut")).drop("_cut")
+    """Edges of at least the q-th percentile of the weights (linear interpolation), which is selected by histograms; edges is a written table."""
+    cut = quantile(edges, "weight", q / 100)
+    return edges.where(F.col("weight") >= cut) if cut is not None else edges.limit(0)
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -147,6 +148,8 @@ def batch_peeling(edges: DataFrame, min_density: float, epsilon: float = 0.1) ->
         nodes = written(weighted_degree(e), "degrees")
         n, total = nodes.agg(F.count("*"), F.sum("degree")).first()
         if not n or n < 3 or total / 2 / (n * (n - 1) / 2) >= min_density:
+            dropped(e)
             return nodes.select("node") if n and n >= 3 else nodes.select("node").limit(0)
         left = nodes.where(F.col("degree") > (1 + epsilon) * total / n)
-        e = written(induced(e, left), "peel")
+        old, e = e, written(induced(e, left), "peel")
+        dropped(old, nodes)

@@ -32,7 +32,8 @@ def held_karp(w: np.ndarray) -> tuple[list[int], float]:
     while x >= 0:
         path.append(int(x))
         s, x = s & ~(1 << x), int(back[s, x])
-    return path[::-1], total
+    path = path[::-1]
+    return (path if path[1] < path[-1] else [path[0], *path[:0:-1]]), total  # of the two directions the one that goes to the lower neighbour
 
 
 def greedy_cycle(w: np.ndarray) -> tuple[list[int], float]:

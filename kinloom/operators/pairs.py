@@ -1,9 +1,9 @@
 """All i < j pairs of people, their similarities, complementarities and edges.
 
 The pair count is quadratic by definition; what must not be is anything else.
-People are packed into blocks of BLOCK rows, block pairs are joined (n^2 /
-BLOCK^2 rows) and a numpy kernel emits the pairs of a block pair as Arrow
-columns, so no row-wise nested loop or whole-table broadcast takes place.
+People are dealt over a triangular grid of tasks (operators/grid.py), where a
+numpy kernel emits the pairs of two tiles as Arrow columns: a person's vectors
+are copied once for each strip of the grid, whatever the number of pairs.
 """
 
 from __future__ import annotations
@@ -18,35 +18,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinloom.functions.scoring import blended, means
+from kinloom.operators import grid
 from kinloom.schema import COMPLEMENTARITY_WEIGHTS, SIMILARITY_WEIGHTS, Settings
 
-BLOCK = 256
 #: Scores that a pair kernel looks up itself.
 LOOKUP_SCORES = 1_000_000
 
 
-def blocks(people: DataFrame, key: str, vectors: Sequence[str], codes: Sequence[str] = ()) -> DataFrame:
-    """(block, rows): BLOCK consecutive dense ids each, with vectors and (long) codes."""
-    row = F.struct(F.col(key).cast("long").alias("id"), *[F.col(v).cast("array<double>").alias(v) for v in vectors], *[F.col(c).cast("long").alias(c) for c in codes])
-    return people.groupBy(F.floor(F.col(key) / BLOCK).alias("block")).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("at"), row.alias("row")))).alias("rows")).select("block", F.col("rows.row").alias("rows"))
+def unit_matrix(vectors: pa.Array) -> np.ndarray:
+    """Vectors as the rows of a matrix, each of length 1 (zero vectors stay 0)."""
+    m = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+    n = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
-def _matrices(rows: pa.Array, vectors: Sequence[str]) -> tuple[np.ndarray, list[np.ndarray]]:
-    own = rows.values if isinstance(rows, pa.ListScalar) else rows
-    ids = own.field("id").to_numpy()
-    out = []
-    for v in vectors:
-        m = own.field(v).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
-        n = np.sqrt((m * m).sum(axis=1, keepdims=True))
-        out.append(np.divide(m, n, out=np.zeros_like(m), where=n > 0))
-    return ids, out
-
-
-def _block_pairs(own: DataFrame) -> DataFrame:
-    """(a, b, x, y): the rows of all block pairs a <= b, dealt over the tasks."""
-    left = own.select(F.col("block").alias("a"), F.col("rows").alias("x"))
-    right = own.select(F.col("block").alias("b"), F.col("rows").alias("y"))
-    return left.join(right, F.col("a") <= F.col("b")).repartition("a", "b").select("a", "b", "x", "y")
+def _strip(people: DataFrame, key: str, vectors: Sequence[str]) -> tuple[Column, int]:
+    """The strip of each row, consecutive ids together, and the number of strips, by the counted rows and their size."""
+    size = sum((F.max(F.size(v)) for v in vectors), F.lit(0))
+    n, low, high, width = people.agg(F.count(key), F.min(key), F.max(key), size).first()
+    sides = grid.strips(n, 8 * (width or 1), grid.tasks_of(people)) if n else 1
+    return F.floor((F.col(key) - F.lit(low or 0)) * sides / F.lit((high or 0) - (low or 0) + 1)), sides
 
 
 def similarities(people: DataFrame, vectors: Sequence[str], key: str = "person_id") -> DataFrame:
@@ -101,22 +92,20 @@ def _pairs(people: DataFrame, vectors: Sequence[str], codes: dict[str, str], tab
     names, marks = list(vectors), dict(codes)
     shared = people.sparkSession.sparkContext.broadcast(table) if marks else None
 
-    def run(batches):
-        for batch in batches:
-            for r in range(batch.num_rows):
-                ids, xs = _matrices(batch.column(2)[r], names)
-                others, ys = _matrices(batch.column(3)[r], names)
-                i, j = np.nonzero(ids[:, None] < others[None, :])
-                if not len(i):
-                    continue
-                columns = [(x @ y.T)[i, j] for x, y in zip(xs, ys, strict=True)]
-                for f, c in marks.items():
-                    left, right = (shared.value.places(f, side.values.field(c).fill_null(0).to_numpy()) for side in (batch.column(2)[r], batch.column(3)[r]))
-                    columns.append(shared.value.scores(f, left, right, default)[i, j])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(others[j]), *map(pa.array, columns)], ["i", "j", *names, *(f"c_{f}" for f in marks)])
+    def prepare(rows: pa.RecordBatch):
+        places = {f: shared.value.places(f, rows.column(c).fill_null(0).to_numpy()) for f, c in marks.items()}
+        return rows.column("id").to_numpy(), [unit_matrix(rows.column(v)) for v in names], places
+
+    def pair(left, right, keep):
+        i, j = np.nonzero(keep)
+        columns = [(x @ y.T)[i, j] for x, y in zip(left[1], right[1], strict=True)]
+        columns += [shared.value.scores(f, left[2][f], right[2][f], default)[i, j] for f in marks]
+        return pa.RecordBatch.from_arrays([pa.array(left[0][i]), pa.array(right[0][j]), *map(pa.array, columns)], ["i", "j", *names, *(f"c_{f}" for f in marks)])
 
+    strip, sides = _strip(people, key, names)
+    rows = people.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), *[F.col(v).cast("array<double>").alias(v) for v in names], *[F.col(c).cast("long").alias(c) for c in marks.values()], strip.alias("_at"))
     fields = [f"`{n}` double" for n in (*names, *(f"c_{f}" for f in marks))]
-    return _block_pairs(blocks(people, key, names, list(marks.values()))).mapInArrow(run, ", ".join(["i long, j long", *fields]))
+    return grid.triangle(rows, F.col("_at"), sides, ["id"], prepare, pair, ", ".join(["i long, j long", *fields]))
 
 
 def _code(category, profile) -> Column:
@@ -145,15 +134,13 @@ def scored_pairs(people: DataFrame, profiles: dict[str, str], scores: DataFrame,
 def threshold_sums(people: DataFrame, vector: str, above: float = 0.0, key: str = "person_id") -> DataFrame:
     """(pairs, n, total): how many of all pairs have a cosine above a limit, all pairs and their sum, summed in the kernel so that no pair becomes a row."""
 
-    def run(batches):
-        for batch in batches:
-            for r in range(batch.num_rows):
-                ids, (x,) = _matrices(batch.column(2)[r], [vector])
-                others, (y,) = _matrices(batch.column(3)[r], [vector])
-                own = (x @ y.T)[ids[:, None] < others[None, :]]
-                yield pa.RecordBatch.from_arrays([pa.array([int((own > above).sum())]), pa.array([len(own)]), pa.array([float(own.sum())])], ["pairs", "n", "total"])
+    def pair(x, y, keep):
+        own = (x @ y.T)[keep]
+        return pa.RecordBatch.from_arrays([pa.array([int((own > above).sum())]), pa.array([len(own)]), pa.array([float(own.sum())])], ["pairs", "n", "total"])
 
-    sums = _block_pairs(blocks(people, key, [vector])).mapInArrow(run, "pairs long, n long, total double")
+    strip, sides = _strip(people, key, [vector])
+    rows = people.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), strip.alias("_at"))
+    sums = grid.triangle(rows, F.col("_at"), sides, ["id"], lambda rows: unit_matrix(rows.column("v")), pair, "pairs long, n long, total double")
     return sums.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("total"), F.lit(0.0)).alias("total"))
 
 
@@ -210,27 +197,27 @@ def jaccard(tags: DataFrame, key: str, column: str) -> DataFrame:
 def jaccard_sum(sets: DataFrame, column: str, count: str) -> DataFrame:
     """(total): the sum over all pairs of different rows of the Jaccard similarity of their tag sets, times both rows' counts.
 
-    Blocks of rows are compared by a kernel that hands on one sum, so a tag
+    Tiles of rows are compared by a kernel that hands on one sum, so a tag
     that everyone has costs no more than any other.
     """
-    n = sets.count()
+    n, widest = sets.agg(F.count("*"), F.max(F.size(column))).first()
+    sides = grid.strips(n, 8 * max(1, widest or 1), grid.tasks_of(sets)) if n else 1
     own = sets.select(F.transform(F.array_distinct(column), lambda t: F.xxhash64(t)).alias("tags"), F.col(count).cast("double").alias("k"))
-    own = own.withColumn("block", F.pmod(F.xxhash64("tags", "k"), F.lit(n // BLOCK + 1))).groupBy("block").agg(F.collect_list(F.struct("tags", "k")).alias("rows"))
-
-    def run(batches):
-        for batch in batches:
-            for r in range(batch.num_rows):
-                sides = [batch.column(c)[r].values for c in (2, 3)]
-                tags = [side.field("tags") for side in sides]
-                sizes = [np.asarray(t.value_lengths()).astype(np.int64) for t in tags]
-                names, place = np.unique(np.concatenate([t.flatten().to_numpy(zero_copy_only=False) for t in tags]), return_inverse=True)
-                x, y = (np.zeros((len(side), len(names)), np.float32) for side in sides)
-                x[np.repeat(np.arange(len(x)), sizes[0]), place[: sizes[0].sum()]] = 1
-                y[np.repeat(np.arange(len(y)), sizes[1]), place[sizes[0].sum() :]] = 1
-                both = (x @ y.T).astype(np.float64)
-                either = sizes[0][:, None] + sizes[1][None, :] - both
-                near = np.divide(both, either, out=np.zeros_like(both), where=either > 0) * np.outer(*(side.field("k").to_numpy() for side in sides))
-                same = batch.column(0)[r].as_py() == batch.column(1)[r].as_py()
-                yield pa.RecordBatch.from_arrays([pa.array([float(np.triu(near, 1).sum() if same else near.sum())])], ["total"])
-
-    return _block_pairs(own).mapInArrow(run, "total double").agg(F.coalesce(F.sum("total"), F.lit(0.0)).alias("total"))
+    own = own.withColumn("at", F.xxhash64("tags", "k"))
+
+    def prepare(rows):
+        tags = rows.column("tags")
+        return tags, np.asarray(tags.value_lengths()).astype(np.int64), rows.column("k").to_numpy()
+
+    def pair(left, right, keep):
+        names, place = np.unique(np.concatenate([t[0].flatten().to_numpy(zero_copy_only=False) for t in (left, right)]), return_inverse=True)
+        x, y = (np.zeros((len(side[0]), len(names)), np.float32) for side in (left, right))
+        x[np.repeat(np.arange(len(x)), left[1]), place[: left[1].sum()]] = 1
+        y[np.repeat(np.arange(len(y)), right[1]), place[left[1].sum() :]] = 1
+        both = (x @ y.T).astype(np.float64)
+        either = left[1][:, None] + right[1][None, :] - both
+        near = np.divide(both, either, out=np.zeros_like(both), where=either > 0) * np.outer(left[2], right[2])
+        return pa.RecordBatch.from_arrays([pa.array([float(near[keep].sum())])], ["total"])
+
+    sums = grid.triangle(own, F.pmod("at", F.lit(sides)), sides, ["at", "tags", "k"], prepare, pair, "total double")
+    return sums.agg(F.coalesce(F.sum("total"), F.lit(0.0)).alias("total"))

@@ -388,9 +388,17 @@ def dense_subgraph(spark, d):
     return graph.dense_subgraph(_edges(spark, d), 0.4).select("node", F.round("density", 6).alias("density"))
 
 
-@query()
+_ARCS = _EDGES + ", arcs AS (SELECT src AS a, dst AS b, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges)"
+_ROUNDS = (
+    _ARCS
+    + ", r(step, node) AS (SELECT 0, person_id FROM p UNION ALL SELECT step + 1, node FROM (SELECT x.step, x.node, sum(weight) AS degree, sum(sum(weight)) OVER () AS total, count(*) OVER () AS n"
+    + " FROM r x JOIN arcs ON arcs.a = x.node JOIN r y ON y.node = arcs.b GROUP BY x.step, x.node) WHERE n >= 3 AND total / (n * (n - 1)) < 38e-2 AND degree > total / n)"
+)
+
+
+@query(f"WITH RECURSIVE {_ROUNDS}, l AS (SELECT node FROM r WHERE step = (SELECT max(step) FROM r)) SELECT node FROM l, (SELECT count(*) AS n FROM l) WHERE n >= 3 AND (SELECT sum(weight) FROM arcs JOIN l x ON x.node = a JOIN l y ON y.node = b) >= 38e-2 * n * (n - 1)")
 def batch_peeling(spark, d):
-    return graph.batch_peeling(_edges(spark, d), 0.35)
+    return graph.batch_peeling(_edges(spark, d), 0.38, 0.0)
 
 
 @query()
@@ -415,14 +423,27 @@ def community_selection(spark, d):
     return community.method_scores(each, True)
 
 
-@query()
+_SPREAD = _ARCS + ", l0 AS (SELECT person_id AS node, person_id AS community FROM p)"
+for _k in range(1, 6):
+    _SPREAD += f", v{_k} AS (SELECT a AS node, community, sum(weight) AS w FROM arcs JOIN l{_k - 1} l ON l.node = arcs.b GROUP BY ALL), l{_k} AS (SELECT l.node, coalesce(arg_max(v.community, (v.w, -v.community)), any_value(l.community)) AS community FROM l{_k - 1} l LEFT JOIN v{_k} v USING (node) GROUP BY l.node)"
+
+
+@query(f"WITH {_SPREAD} SELECT node, community FROM l5")
 def label_propagation(spark, d):
     return community.label_propagation(_edges(spark, d), _membership(spark, d).select("node"), 5)
 
 
-@query()
+_TOUR = (
+    _LABELS
+    + ", a AS (SELECT src AS x, dst AS y, weight FROM lg UNION ALL SELECT dst, src, weight FROM lg)"
+    + ", t(path, total) AS (SELECT [min(x)], 0::DOUBLE FROM a UNION ALL SELECT list_append(path, y), total + weight FROM t JOIN a ON a.x = path[-1] AND NOT list_contains(path, y))"
+    + ", f AS (SELECT path, total + weight AS total FROM t JOIN a ON a.x = path[-1] AND a.y = path[1] WHERE len(path) = (SELECT count(DISTINCT x) FROM a) AND path[2] < path[-1])"
+)
+
+
+@query(f"WITH RECURSIVE {_TOUR}, b AS (SELECT arg_max(path, total) AS path, max(total) AS total FROM f) SELECT unnest(range(len(path))) AS position, unnest(path) AS node, round(total, 6) AS weight FROM b")
 def max_cycle_exact(spark, d):
-    return layout.cycle(_label_graph(spark, d))
+    return layout.cycle(_label_graph(spark, d)).select("position", "node", F.round("weight", 6).alias("weight"))
 
 
 @query(f"WITH RECURSIVE {_EDGES}, arcs AS (SELECT src AS a, dst AS b, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges), r(step, node, seen, total) AS (SELECT 0, min(a), [min(a)], 0::DOUBLE FROM arcs UNION ALL SELECT step + 1, arg_max(b, (weight, -b)), list_append(any_value(seen), arg_max(b, (weight, -b))), any_value(total) + max(weight) FROM r JOIN arcs ON arcs.a = r.node WHERE NOT list_contains(seen, b) GROUP BY step), z AS (SELECT max_by(total, step) + (SELECT weight FROM arcs WHERE a = max_by(r.node, r.step) AND b = min_by(r.node, r.step)) AS weight FROM r) SELECT step::BIGINT AS position, node, round(z.weight, 6) AS weight FROM r, z")
@@ -477,10 +498,10 @@ def subgroup_strength(spark, d):
     return subgraph.subgroup_strength(_edges(spark, d), _membership(spark, d)).select("community", "size", *_r("density", "strength"), "place")
 
 
-@query("SELECT c_custkey AS node, c_name, c_mktsegment FROM customer WHERE c_custkey % 7 = 0")
+@query("SELECT c_custkey AS node, c_name, c_mktsegment FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 def member_list(spark, d):
     who = _t(spark, d, "customer")
-    members = spark.range(0, 10_000_000, 7).select(F.col("id").alias("node"))
+    members = _t(spark, d, "orders").select(F.col("o_custkey").alias("node")).distinct()
     return subgraph.member_list(subgraph.present(members, who, "c_custkey"), who, ["c_name", "c_mktsegment"], "c_custkey")
 
 
@@ -530,9 +551,9 @@ def vector_append(spark, d):
     return vector_store.load(spark, path).select("id", "vec_id")
 
 
-@query("WITH v AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0) SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_inner_product(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(b.embedding, lambda x: x::DOUBLE)), 6) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id")
+@query("WITH v AS (SELECT vec_id, embedding FROM embeddings) SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_inner_product(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(b.embedding, lambda x: x::DOUBLE)), 6) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id")
 def inner_products(spark, d):
-    rows = _t(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    rows = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return vector_store.inner_products(rows).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
@@ -570,10 +591,9 @@ def file_writes(spark, d):
     return left
 
 
-@query("SELECT o_custkey::VARCHAR AS file_id, o_orderkey::VARCHAR AS version_id, o_orderkey AS version_number FROM orders WHERE o_custkey::VARCHAR = (SELECT min(o_custkey::VARCHAR) FROM orders)")
+@query("SELECT o_custkey::VARCHAR AS file_id, o_orderkey::VARCHAR AS version_id, o_orderkey AS version_number, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::INTEGER AS place FROM orders")
 def versions_ascending(spark, d):
-    v = _versions(spark, d)
-    return catalog.versions_of(v, v.agg(F.min("file_id").alias("f")).first()["f"]).select("file_id", "version_id", "version_number")
+    return catalog.versions_in_order(_versions(spark, d)).select("file_id", "version_id", "version_number", "place")
 
 
 # --- reports --------------------------------------------------------------------------------------
@@ -808,10 +828,20 @@ def knn_threshold(spark, d):
 @query()
 def ivf_knn(spark, d):
     rows = written(_rows(spark, d), "rows")
-    return search.ivf_nearest(rows, rows, 5)
+    return search.ivf_nearest(rows.where("id % 20 = 0"), rows, 5)
 
 
-@query()
+# Rows in order of id: one leads if none of its near predecessors does.
+_LEAD = (
+    "v AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"
+    ", near AS (SELECT a.id AS i, b.id AS j FROM v a JOIN v b ON a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= 5e-1)"
+    ", nb AS (SELECT v.id, coalesce(list(i) FILTER (i IS NOT NULL), []) AS l FROM v LEFT JOIN near ON j = v.id GROUP BY v.id)"
+    ", r(k, lead) AS (SELECT -1::BIGINT, []::BIGINT[] UNION ALL SELECT k + 1, CASE WHEN len(list_intersect(lead, l)) = 0 THEN list_append(lead, k + 1) ELSE lead END FROM r JOIN nb ON nb.id = k + 1)"
+    ", f AS (SELECT arg_max(lead, k) AS lead FROM r)"
+)
+
+
+@query(f"WITH RECURSIVE {_LEAD} SELECT id, coalesce(list_min(list_intersect(lead, l)), id) AS leader FROM nb, f")
 def dedup_mapping(spark, d):
     rows = written(_rows(spark, d), "rows")
     near = pairs.similarities(rows.select(F.col("id").alias("person_id"), "vector"), ["vector"]).where("vector >= 0.5").select("i", "j")
