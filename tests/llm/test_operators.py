@@ -404,6 +404,106 @@ def test_secret_large_layers_and_members(monkeypatch):
     assert not found(box(zlib.compress(filler * 500)))
 
 
+def _nested(r, packs, depth, key):
+    """The key inside `depth` layers of any kind, each with something before and behind it, members of sizes around the steps."""
+    data = key
+    for _ in range(depth):
+        kind = r.choice(["pack", "base64", "url", "hex"])
+        if kind == "pack":
+            pack = r.choice(packs)
+            before = r.choice([b"", b"header line\n", r.randbytes(r.randrange(40)), pack(b"member " * r.randrange(40)), b"-" * r.choice([16381, 16382, 16383, 16384, 3])])
+            data = before + pack(r.choice([b"", b"text "]) + data) + r.choice([b"", b"\0", b" tail", pack(b"more")])
+        else:
+            # what is no text is carried by base64; a separator keeps neighbours out of the run
+            if kind == "base64" or not data.isascii() or b"\0" in data:
+                data = b"see " + base64.b64encode(data) + b" end"
+            elif kind == "url":
+                data = "".join(f"%{c:02x}" for c in data).encode()
+            else:
+                data = b"x='" + "".join(f"\\x{c:02x}" for c in data).encode() + b"'"
+    return data if data.isascii() and b"\0" not in data else b"at " + base64.b64encode(data) + b" to"
+
+
+def test_secret_random_nests():
+    """URL, escapes, base64 and all compressors in any order, in archives inside archives."""
+    import bz2
+    import lzma
+
+    import zstandard
+
+    packs, key = [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress], b"password = hunter2222"
+    r = random.Random(21)
+    for n in range(150):
+        text = _nested(r, packs, r.randrange(1, 6), key).decode()
+        assert any(k == "assign" for k, *_ in secrets.scan(text)[1]), (n, text[:200])
+
+
+def test_secret_members_that_end_near_a_step():
+    import bz2
+
+    key = b"password = hunter2222"
+    for size in (16380, 16381, 16382, 16383, 16384, 16385):
+        over = len(gzip.compress(b"0" * 16000, 0)) - 16000
+        member = gzip.compress(random.Random(size).randbytes(size - over), 0)
+        assert len(member) == size
+        for pack in (bz2.compress, gzip.compress, zlib.compress):
+            text = base64.b64encode(pack(member + gzip.compress(key))).decode()
+            assert any(k == "assign" for k, *_ in secrets.scan(f"a {text} b")[1]), (size, pack)
+    split = gzip.compress(b"x password = hun") + gzip.compress(b"ter2222 y")
+    assert any(k == "assign" for k, *_ in secrets.scan(base64.b64encode(split).decode())[1])  # members are one stream
+
+
+BOMB = """
+import base64, bz2, lzma, resource, sys, zlib
+import zstandard
+from kinloom.llm import secrets
+key, many = b" password = hunter2222 ", b"\\0" * (1 << 20)
+tools = {"gzip": (zlib.compressobj(9, zlib.DEFLATED, 31), 20), "xz": (lzma.LZMACompressor(preset=0), 20), "bz2": (bz2.BZ2Compressor(), 200), "zstd": (zstandard.ZstdCompressor().compressobj(), 200)}
+tool, n = tools[sys.argv[1]]
+data = b"".join([*(tool.compress(many) for _ in range(n)), tool.compress(key), *(tool.compress(many) for _ in range(n)), tool.flush()])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+found = secrets.scan("at " + base64.b64encode(data).decode())[1]
+print({s[0] for s in found}, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) >> 10)
+"""
+
+
+@pytest.mark.parametrize("pack", ["gzip", "xz", "bz2", "zstd"])
+def test_secret_bombs_take_little_memory(pack):
+    """Up to 400 MB from a few hundred bytes, in one block after another."""
+    import subprocess
+    import sys
+
+    out = subprocess.run([sys.executable, "-c", BOMB, pack], capture_output=True, text=True, check=True).stdout.split()
+    assert out[0] == "{'assign'}" and int(out[1]) < 100, out
+
+
+def test_secret_cycles_and_deep_nests_end():
+    data = b"password = hunter2222"
+    for _ in range(400):
+        data = gzip.compress(data, 9)
+    assert any(k == "assign" for k, *_ in secrets.scan(base64.b64encode(data).decode())[1])
+
+
+@pytest.mark.parametrize("code", ["utf-16", "utf-16-le", "utf-16-be", "utf-32-le", "utf-32-be"])
+def test_secret_wide_text(code):
+    text = "x = '" + base64.b64encode("prefix é password = hunter2222 suffix".encode(code)).decode() + "'"
+    got = secrets.scan(text)[1]
+    assert [k for k, *_ in got] == ["assign"] and got[0][1] > 5 and got[0][2] < len(text) - 1
+    plain = "é " + "password = hunter2222".encode(code).decode("latin-1")
+    assert any(k == "assign" for k, *_ in secrets.scan(plain)[1])
+
+
+def test_secret_zip_members():
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("a.txt", "nothing " * 500)
+        z.writestr("b/c.txt", "line\npassword = hunter2222\n" * 3)
+    assert any(k == "assign" for k, *_ in secrets.scan("z " + base64.b64encode(out.getvalue()).decode())[1])
+
+
 def test_secret_words_are_decoded_too():
     """Base64 that looks like one word or number."""
     text = "token=aaaaaa"
