@@ -2,9 +2,10 @@
 
 Messages name their parent. Root-to-leaf paths are enumerated by iterative
 self-joins that double their reach: after k rounds each message knows its
-2^k-th ancestor, and with those each leaf its nearest 2^k ancestors, so a
-thread of n messages takes about log2(n) rounds on id columns alone. Branches are ranked by the sum of their messages' scores, and
-each chosen path becomes one conversation in a ChatML-like template.
+2^k-th ancestor and the scores of its nearest 2^k messages, so a thread of n
+messages takes about log2(n) rounds on id columns alone. Branches are ranked
+by the sum of their messages' scores; only then are the chosen leaves' paths
+enumerated, and each becomes one conversation in a ChatML-like template.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` for each turn. Inside roles
 and texts a backslash is doubled and ``<|`` becomes ``<\\|`` (in roles a line
@@ -27,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinloom.llm.common import written
+from kinloom.scratch import dropped
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 
@@ -71,17 +73,41 @@ def ancestors(spark: SparkSession, ids: DataFrame) -> tuple[list[DataFrame], Dat
     return tables, jump.select("t", "m")
 
 
-def paths(spark: SparkSession, messages: DataFrame) -> DataFrame:
-    """(tree_id, leaf_id, msg_id, up): every message of every root-to-leaf path, `up` steps above the leaf; one row for each message id of a tree."""
-    ids = written(spark, messages.select("tree_id", "msg_id", "parent_id"), "messages")
+def branch_scores(spark: SparkSession, ids: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """(t, m, total): the scores of a message and all its ancestors, summed by the same doubling: after k rounds over its nearest 2^k."""
+    sums = ids.select(F.col("tree_id").alias("t"), F.col("msg_id").alias("m"), F.col("score").alias("total"))
+    old = None
+    for jump in tables:
+        far = sums.select(F.col("t").alias("t2"), F.col("m").alias("m2"), F.col("total").alias("above"))
+        more = jump.join(far, jump.t.eqNullSafe(far.t2) & (jump["to"] == far.m2)).select(F.col("t").alias("t3"), F.col("m").alias("m3"), "above")
+        now = written(spark, sums.join(more, sums.t.eqNullSafe(F.col("t3")) & (sums.m == F.col("m3")), "left").select("t", "m", (F.col("total") + F.coalesce("above", F.lit(0.0))).alias("total")), "sums")
+        if old is not None:
+            dropped(old)
+        old = sums = now
+    return sums
+
+
+def paths(spark: SparkSession, messages: DataFrame, branches: int | None = None) -> DataFrame:
+    """(tree_id, leaf_id, branch_rank, msg_id, up): the messages of each tree's `branches` best root-to-leaf paths (all by default), `up` steps above the leaf; one row for each message id of a tree.
+
+    Leaves are ranked by their path's score before any path is enumerated, so
+    there are only rows of chosen paths.
+    """
+    ids = written(spark, messages.select("tree_id", "msg_id", "parent_id", "score"), "messages")
     tables, endless = ancestors(spark, ids)
     same = lambda c: c.tree_id.eqNullSafe(F.col("t")) & (c.msg_id == F.col("m"))
     parents = tables[0].select("t", F.col("to").alias("m")).distinct() if tables else endless
-    reach = ids.where("msg_id is not null").join(parents, same(ids), "left_anti").join(endless, same(ids), "left_anti")
-    reach = reach.select("tree_id", F.col("msg_id").alias("leaf_id"), "msg_id", F.lit(0).cast("long").alias("up"))
+    leaves = ids.where("msg_id is not null").join(parents, same(ids), "left_anti").join(endless, same(ids), "left_anti").select("tree_id", F.col("msg_id").alias("leaf_id"))
+    sums = branch_scores(spark, ids, tables)
+    scored = leaves.join(sums, leaves.tree_id.eqNullSafe(sums.t) & (leaves.leaf_id == sums.m)).select("tree_id", "leaf_id", "total")
+    place = F.row_number().over(Window.partitionBy("tree_id").orderBy(F.desc("total"), "leaf_id"))
+    reach = scored.withColumn("branch_rank", place).where(F.lit(True) if branches is None else F.col("branch_rank") <= branches)
+    reach = written(spark, reach.select("tree_id", "leaf_id", "branch_rank", F.col("leaf_id").alias("msg_id"), F.lit(0).cast("long").alias("up")), "reach")
     for k, jump in enumerate(tables):
-        further = reach.join(jump, same(reach)).select("tree_id", "leaf_id", F.col("to").alias("msg_id"), (F.col("up") + (1 << k)).alias("up"))
-        reach = written(spark, reach.unionByName(further), "reach")
+        further = reach.join(jump, same(reach)).select("tree_id", "leaf_id", "branch_rank", F.col("to").alias("msg_id"), (F.col("up") + (1 << k)).alias("up"))
+        old, reach = reach, written(spark, reach.unionByName(further), "reach")
+        dropped(old)
+    dropped(ids, *tables, *([sums] if tables else []))
     return reach
 
 
@@ -103,12 +129,8 @@ def conversations(spark: SparkSession, messages: DataFrame, branches: int = 1) -
     """
     messages = written(spark, messages.select("tree_id", "msg_id", "parent_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score")), "turns")
     messages = one_each(messages)
-    on_path = paths(spark, messages)
-    scores = messages.select(F.col("tree_id").alias("t"), F.col("msg_id").alias("m"), "score")
-    branch = on_path.join(scores, on_path.tree_id.eqNullSafe(F.col("t")) & (on_path.msg_id == F.col("m"))).groupBy("tree_id", "leaf_id").agg(F.sum("score").alias("branch_score"))
-    ranked = branch.withColumn("branch_rank", F.row_number().over(Window.partitionBy("tree_id").orderBy(F.desc("branch_score"), "leaf_id"))).where(F.col("branch_rank") <= branches)
-    chosen = ranked.select(F.col("tree_id").alias("t"), F.col("leaf_id").alias("l"), "branch_rank")
-    picked = on_path.join(chosen, on_path.tree_id.eqNullSafe(F.col("t")) & (on_path.leaf_id == F.col("l"))).select(F.col("tree_id").alias("t"), F.col("msg_id").alias("m"), "leaf_id", "branch_rank", "up")
+    on_path = paths(spark, messages, branches)
+    picked = on_path.select(F.col("tree_id").alias("t"), F.col("msg_id").alias("m"), "leaf_id", "branch_rank", "up")
     turns = messages.join(picked, messages.tree_id.eqNullSafe(F.col("t")) & (messages.msg_id == F.col("m"))).select("tree_id", "leaf_id", "branch_rank", "up", (F.col("role") == "assistant").alias("target"), F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n")).alias("head"), escape(F.col("text")).alias("body"))
     order = Window.partitionBy("tree_id", "leaf_id").orderBy(F.desc("up")).rowsBetween(Window.unboundedPreceding, 0)
     size = F.length("head") + F.length("body") + len(END)

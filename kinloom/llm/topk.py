@@ -6,10 +6,12 @@ hold it scatter query weight times posting weight into a dense score array
 (queries x tile). Partition selection keeps the k best of a tile, tiles are
 merged within a task and tasks by a ranked window.
 
-Queries go out in blocks of at most QUERY_BLOCK rows and QUERY_BYTES, one pass
-over the candidates for each block; the driver holds one block at a time.
-Vectors are tiled by length, so a long one doesn't widen the others' tiles, and
-a tile holds at most TILE_BYTES.
+Queries and candidates are dealt over a grid of tasks: a task holds one strip
+of queries (QUERY_BYTES) and lets one strip of candidates stream past it, so
+nothing passes the driver and all strips go at once. Vectors are tiled by
+length, so a long one doesn't widen the others' tiles, and a tile holds at
+most TILE_BYTES. Scores are added in float64, in 64-bit or in whole Python
+numbers, whichever holds terms x largest weight x largest weight exactly.
 
 Defined results: null vectors, vectors with null or non-finite components and
 rows without an id take no part; a shorter vector's missing terms weigh 0; a
@@ -22,29 +24,26 @@ time is held beside its tile.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinloom.llm.common import written
+from kinloom.operators import grid
 
 SCALE = 1024
-QUERY_BLOCK, QUERY_BYTES = 4096, 32 << 20
+QUERY_BYTES = 32 << 20
 TILE_BYTES = 32 << 20
 TILE_ROWS, TILE_QUERIES = 2048, 128
 _LONG = (1 << 63) - 1
 
 
 def weights(values: np.ndarray) -> np.ndarray:
-    """floor(SCALE * x): float64 where sums of products stay exact in it, whole Python numbers otherwise."""
-    scaled = np.floor(values.astype(np.float64) * SCALE)
-    if scaled.size and np.abs(scaled).max() > 1 << 22:
-        return np.vectorize(int, otypes=[object])(scaled)
-    return scaled
+    """floor(SCALE * x), whole numbers in float64."""
+    return np.floor(values.astype(np.float64) * SCALE)
 
 
 def rows_of(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -73,20 +72,31 @@ class Postings:
     """Weights by term: for each term the rows that hold it and their weights; None for rows where all hold it."""
 
     def __init__(self, matrix: np.ndarray):
-        self.n, self.exact, self.terms = len(matrix), matrix.dtype != object, []
+        self.n, self.top, self.terms = len(matrix), int(np.abs(matrix).max(initial=0)), []
         for column in np.ascontiguousarray(matrix.T):
             rows = np.flatnonzero(column)
             self.terms.append((None, column) if len(rows) == self.n else (rows, column[rows]))
 
 
+def _whole(values: np.ndarray, kind: type) -> np.ndarray:
+    """The weights in float64, int64 or as Python numbers."""
+    if kind is object:
+        return np.array([int(v) for v in values] + [None], object)[:-1]
+    return values.astype(kind, copy=False)
+
+
 def accumulate(queries: Postings, tile: Postings) -> np.ndarray:
     """Scores (queries x rows of the tile), term by term: each posting adds to the scores of the queries that hold its term."""
-    scores = np.zeros((queries.n, tile.n), np.float64 if queries.exact and tile.exact else object)
+    most = min(len(queries.terms), len(tile.terms)) * queries.top * tile.top
+    kind = np.float64 if most < 1 << 53 else np.int64 if most <= _LONG else object
+    scores = np.zeros((queries.n, tile.n), kind)
     for (has, ask), (holds, post) in zip(queries.terms, tile.terms, strict=False):
-        if has is None and holds is None:
-            scores += np.multiply.outer(ask, post)
-        elif len(ask) and len(post):
-            scores[np.ix_(np.arange(queries.n) if has is None else has, np.arange(tile.n) if holds is None else holds)] += np.multiply.outer(ask, post)
+        if len(ask) and len(post):
+            added = np.multiply.outer(_whole(ask, kind), _whole(post, kind))
+            if has is None and holds is None:
+                scores += added
+            else:
+                scores[np.ix_(np.arange(queries.n) if has is None else has, np.arange(tile.n) if holds is None else holds)] += added
     return scores
 
 
@@ -111,46 +121,45 @@ class Best:
                 self.found[first + j] = sorted(own + [(-s, i) for s, i in zip(row[take].tolist(), vec_ids[take].tolist(), strict=True)])[:k]
 
 
+class _Search(grid.Cell):
+    """One strip of queries against one strip of candidates: hands on the k best of each query."""
+
+    def __init__(self, number: int, k: int):
+        super().__init__(number)
+        self.k, self.tiles = k, []
+
+    def left(self, rows):
+        ids = rows.column("id").to_numpy()
+        for good, matrix in rows_of(rows.column("vector")):
+            for s in range(0, len(good), TILE_QUERIES):
+                own = ids[good[s : s + TILE_QUERIES]]
+                self.tiles.append((Postings(weights(matrix[s : s + TILE_QUERIES])), Best(own, self.k)))
+
+    def right(self, rows):
+        ids = rows.column("id").to_numpy()
+        for good, matrix in rows_of(rows.column("vector")):
+            tile = Postings(weights(matrix))
+            for asked, best in self.tiles:
+                best.add(0, accumulate(asked, tile), ids[good])
+        return iter(())
+
+    def end(self):
+        found = [(q, i, min(max(int(-s), -_LONG - 1), _LONG)) for _, best in self.tiles for q, own in zip(best.ids.tolist(), best.found, strict=True) for s, i in own]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*found, strict=True)], ["query_id", "vec_id", "score"])
+
+
 def nearest(spark: SparkSession, queries: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score of the k best candidates of each query; both have id and vector."""
-    ask = queries.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).where("id is not null and vector is not null")
-    ask = ask.groupBy("id").agg(F.min("vector").alias("vector")).orderBy("id")
-    rows = candidates.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).where("id is not null and vector is not null")
-
-    def against(block: list) -> DataFrame:
-        blocks = [(np.array([block[i]["id"] for i in good], np.int64), weights(matrix)) for good, matrix in rows_of(pa.array([r["vector"] for r in block], pa.list_(pa.float64())))]
-        shared = spark.sparkContext.broadcast(blocks)
-
-        def run(batches):
-            tiles = [(ids[s : s + TILE_QUERIES], Postings(held[s : s + TILE_QUERIES])) for ids, held in shared.value for s in range(0, len(ids), TILE_QUERIES)]
-            best = [Best(ids, k) for ids, _ in tiles]
-            for batch in batches:
-                all_ids = batch.column(0).to_numpy()
-                for good, matrix in rows_of(batch.column(1)):
-                    tile, vec_ids = Postings(weights(matrix)), all_ids[good]
-                    for own, (_, asked) in zip(best, tiles, strict=True):
-                        own.add(0, accumulate(asked, tile), vec_ids)
-            out = [(q, i, int(-s)) for x in best for q, own in zip(x.ids.tolist(), x.found, strict=True) for s, i in own]
-            if out:
-                q, i, s = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array([min(max(x, -_LONG - 1), _LONG) for x in s], pa.int64())], ["query_id", "vec_id", "score"])
-
-        return rows.mapInArrow(run, "query_id long, vec_id long, score long")
-
-    parts, block, held = [], [], 0
-    for r in ask.toLocalIterator():
-        if block and (len(block) == QUERY_BLOCK or held + 8 * len(r["vector"]) > QUERY_BYTES):
-            parts.append(written(spark, against(block), "block"))
-            block, held = [], 0
-        block.append(r)
-        held += 8 * len(r["vector"])
-    if block or not parts:
-        parts.append(against(block))
-    place = F.row_number().over(_by_query())
-    return reduce(DataFrame.unionByName, parts).withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _by_query():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    take = lambda df: df.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).where("id is not null and vector is not null")
+    ask, rows = take(queries).groupBy("id").agg(F.min("vector").alias("vector")), take(candidates)
+    n, held = ask.agg(F.count("*"), F.coalesce(F.sum(8 * F.size("vector")), F.lit(0))).first()
+    tasks = grid.tasks_of(rows)
+    a = max(1, math.ceil(held / QUERY_BYTES), min(math.ceil(n / TILE_QUERIES), math.isqrt(tasks)))
+    b = max(1, math.ceil(tasks / a))
+    strip = lambda of: F.pmod(F.xxhash64("id"), F.lit(of))
+    # ids that repeat meet in one strip; deal them by their vectors too
+    deal = F.pmod(F.xxhash64("id", "vector"), F.lit(b))
+    found = grid.rectangle(ask, rows, strip(a), deal, (a, b), ["id"], lambda c: _Search(c, k), "query_id long, vec_id long, score long", TILE_ROWS)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -622,7 +622,7 @@ def brute_top(rows, k, step):
 
 
 def test_topk_brute_force(spark, sf, monkeypatch):
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(topk, "TILE_QUERIES", 2)
     monkeypatch.setattr(topk, "TILE_ROWS", 64)
     rows = [(r.vec_id, r.embedding) for r in table(spark, sf, "embeddings").collect()]
     assert sorted(map(tuple, queries.op6_exact_topk(spark, sf).collect())) == brute_top(rows, 10, 100)
@@ -641,6 +641,23 @@ def test_topk_of_unequal_lengths(spark, monkeypatch):
     assert sum(a * b for a, b in found) == 999 * 2 + 20_000
 
 
+def test_topk_is_exact_at_many_dimensions(spark):
+    """Components at the limit in 1,536 dimensions, beyond what float64 and 64 bits hold, against whole Python numbers."""
+    r = random.Random(4)
+    for size, scale in ((1536, 4096.0), (1536, 2.0**30), (40, 2.0**45), (3, 1.0)):
+        rows = [(i, [scale - r.random() * (i + 1) for _ in range(size)]) for i in range(30)]
+        whole = [[math.floor(1024 * x) for x in v] for _, v in rows]
+        df = spark.createDataFrame(rows, "id long, vector array<double>")
+        want = []
+        for q in range(0, 30, 10):
+            scores = sorted((-sum(a * b for a, b in zip(whole[q], whole[i], strict=True)), i) for i in range(30) if i != q)[:10]
+            want += [(q, k, i, min(-s, 2**63 - 1)) for k, (s, i) in enumerate(scores, 1)]
+        got = sorted(map(tuple, topk.nearest(spark, df.where("id % 10 = 0"), df).collect()))
+        assert [(q, s) for q, _, _, s in got] == [(q, s) for q, _, _, s in want]
+        if scale < 2.0**30:
+            assert got == want
+
+
 def test_topk_edges(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.5]), (2, [1.0, 0.5]), (3, None), (4, [nan, 1.0]), (5, [None, 1.0]), (100, [1e12, -1e12]), (7, [0.0, 0.0]), (None, [1.0, 1.0])]
@@ -838,6 +855,22 @@ def test_chat_leaves_off_a_cycle_and_repeated_ids(spark):
     assert back == {(3, 1): [*(f"t{n}" for n in range(1, 7)), "branch"], (3, 2): [f"t{n}" for n in range(1, 14)], (4, 1): ["also first", "b"]}
 
 
+def test_chat_enumerates_chosen_branches_only(spark):
+    """A spine with a leaf on each message: path rows are those of the chosen branches, not of all."""
+    n = 60
+    rows = [(1, i, i - 1 if i else None, "user", f"m{i}", 1.0) for i in range(n)] + [(1, 1000 + i, i, "assistant", f"l{i}", 2.5 if i == 7 else 100.0 if i == 20 else 0.0) for i in range(n)]
+    df = spark.createDataFrame(rows, "tree_id long, msg_id long, parent_id long, role string, text string, score double")
+    for branches in (1, 3):
+        got = chat.paths(spark, df, branches).collect()
+        score = {1000 + i: i + 1 + rows[n + i][5] for i in range(n)}
+        best = sorted(score, key=lambda x: (-score[x], x))[:branches]
+        assert {(r.leaf_id, r.branch_rank) for r in got} == {(x, k) for k, x in enumerate(best, 1)}
+        for leaf in best:
+            own = sorted((r.up, r.msg_id) for r in got if r.leaf_id == leaf)
+            assert own == [(0, leaf)] + [(k + 1, leaf - 1000 - k) for k in range(leaf - 999)]
+        assert len(got) == sum(leaf - 998 for leaf in best)
+
+
 def test_chat_is_native(spark, sf):
     plan = queries.op8_chat_format(spark, sf)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
