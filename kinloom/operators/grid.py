@@ -38,8 +38,9 @@ class Cell:
         return iter(())
 
 
-def over_cells(rows: DataFrame, cells: int, order: list[str], cell: Callable[[int], Cell], schema: str) -> DataFrame:
-    """Rows with columns _cell (0 ... cells - 1) and _side (0 or 1) go to their cell's task, sorted by side and order."""
+def over_cells(rows: DataFrame, cells: int, order: list[str], cell: Callable[[int], Cell], schema: str, tile: int | None = None) -> DataFrame:
+    """Rows with columns _cell (0 ... cells - 1) and _side (0 or 1) go to their cell's task, sorted by side and order, and come to it in tiles."""
+    tile = tile or TILE
 
     def run(batches):
         state = None
@@ -53,8 +54,8 @@ def over_cells(rows: DataFrame, cells: int, order: list[str], cell: Callable[[in
                     if state is not None:
                         yield from state.end()
                     state = cell(int(numbers[s]))
-                for at in range(s, e, TILE):
-                    part = batch.slice(at, min(TILE, e - at))
+                for at in range(s, e, tile):
+                    part = batch.slice(at, min(tile, e - at))
                     if sides[s]:
                         yield from state.right(part)
                     else:
@@ -114,10 +115,10 @@ def triangle(rows: DataFrame, strip: Column, sides: int, order: list[str], prepa
     return over_cells(copies, sides * (sides + 1) // 2, order, lambda n: _Triangle(n, prepare, pair), schema)
 
 
-def rectangle(left: DataFrame, right: DataFrame, left_strip: Column, right_strip: Column, sides: tuple[int, int], order: list[str], cell: Callable[[int], Cell], schema: str) -> DataFrame:
+def rectangle(left: DataFrame, right: DataFrame, left_strip: Column, right_strip: Column, sides: tuple[int, int], order: list[str], cell: Callable[[int], Cell], schema: str, tile: int | None = None) -> DataFrame:
     """Every row of left meets every row of right (same columns): cell(number) works on one strip of either side."""
     a, b = sides
     lefts = left.withColumn("_strip", left_strip.cast("int")).withColumn("_cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(b - 1)), lambda t: F.col("_strip") * b + t)))
     rights = right.withColumn("_strip", right_strip.cast("int")).withColumn("_cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(a - 1)), lambda t: t * b + F.col("_strip"))))
     both = lefts.select("_cell", F.lit(0).alias("_side"), *left.columns).unionByName(rights.select("_cell", F.lit(1).alias("_side"), *left.columns))
-    return over_cells(both, a * b, order, cell, schema)
+    return over_cells(both, a * b, order, cell, schema, tile)
