@@ -31,6 +31,8 @@ GRAM_BUCKETS = 1 << 16
 BUCKETS = LETTER_BUCKETS + GRAM_BUCKETS
 #: Expected number of training texts for each language (a documented bound of the fit; all labelled texts where there are fewer).
 SAMPLE_PER_LANGUAGE = 2000
+#: Languages of one model; each takes a row of log-probabilities.
+MOST_LANGUAGES = 1000
 ALPHA = 0.1
 #: N-grams whose log probabilities are gathered at once.
 GATHERED = 1 << 21
@@ -107,14 +109,17 @@ class Model:
 
 
 def fit(spark: SparkSession, labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """Learns from rows (key, text, lang); a key's hash decides about the sample, so a rerun takes the same rows."""
+    """Learns from rows (key, text, lang); a key's hash decides about the sample (the text's where the key is null), so a rerun takes the same rows. More than MOST_LANGUAGES languages are refused."""
     labelled = labelled.select("key", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} languages: the model holds {BUCKETS * 4} bytes for each, on the driver and in every task; clean the label column")
     if not sizes:
         return Model([])
     languages = sorted(sizes)
     rates = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, per_language / sizes[k])))])
-    draw = F.pmod(F.xxhash64("key"), F.lit(1 << 20)) / float(1 << 20)
+    own = F.when(F.col("key").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("key"))
+    draw = F.pmod(own, F.lit(1 << 20)) / float(1 << 20)
     number = {k: i for i, k in enumerate(languages)}
 
     def kernel():

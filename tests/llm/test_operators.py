@@ -140,6 +140,19 @@ def test_decontamination_with_many_indexes(spark, odd, monkeypatch):
     assert decontaminate.without_leaks(odd, bench).count() == clean
 
 
+def test_decontamination_items_of_many_lines(spark, monkeypatch):
+    """Items parted by line feeds and tabs count their words, and indexes of them keep to their size."""
+    items = [(i, "\n".join(f"{prose(i, 1)}{j}" if j % 3 else f"{prose(i, 1)}{j}\tx" for j in range(300))) for i in range(6)]
+    assert [decontaminate.n_words(x) for _, x in items] == [len(words(x)) for _, x in items]
+    size = decontaminate.index_bytes(400) + 5000
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", 2 * size)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert [len(x.ids) for x in decontaminate.indexes(bench)] == [2, 2, 2]
+    docs = spark.createDataFrame([(10 + i, "before this " + x.replace("\n", " ") + " and after") for i, x in items] + [(99, prose(77, 500))], "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()) == [(10 + i, i) for i, _ in items]
+    assert [r.doc_id for r in decontaminate.without_leaks(docs, bench).collect()] == [99]
+
+
 def test_simhash_blocks_find_all_within_radius():
     r = np.random.default_rng(1)
     c = decontaminate.SizeClass(20, 1, r.integers(0, 1 << 63, 50).astype(np.uint64), np.zeros(50, np.int32), np.zeros(50, np.int32))
@@ -954,6 +967,17 @@ def test_language_held_out_accuracy(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in got)
 
 
+def test_language_labels_are_bounded_and_keys_may_be_null(spark, monkeypatch):
+    rows = [(None, f"text number {i} of many words", "en" if i % 2 else "fr") for i in range(400)]
+    df = spark.createDataFrame(rows, "key long, text string, lang string")
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 2)
+    assert language_id.fit(spark, df, 20).languages == ["en", "fr"]
+    model = language_id.fit(spark, df, 20)
+    assert 0.3 < np.exp(model.log_prior).max() < 0.8
+    with pytest.raises(ValueError):
+        language_id.fit(spark, df.union(spark.createDataFrame([(1, "mot", "de")], df.schema)))
+
+
 def test_language_scores_equal_direct_bayes(spark, sf, odd):
     docs = table(spark, sf, "documents").selectExpr("doc_id AS key", "text", "lang")
     m = language_id.fit(spark, docs)
