@@ -4,6 +4,15 @@ Language identification drops what it can't identify, near-duplicate detection
 keeps one document of each class, decontamination drops documents that hold a
 benchmark item, the secret scan masks what it finds, and the last stage
 encodes the texts.
+
+Defined results, of all stages: a null or empty text has no letter and goes
+with the first stage; nulls in other columns stay as they are; rows that repeat
+an id are documents of their own, compared by their texts, and repeated rows
+are near-duplicates of which one stays; of texts that tie, the smallest id
+stays; texts of any length are read whole; an empty table gives an empty one;
+further columns are carried along, and where one has a name that the last stage
+makes, the stage's own column gets an underscore. A stage's table is deleted
+once the next one is written.
 """
 
 from __future__ import annotations
@@ -15,6 +24,7 @@ from pyspark.sql import functions as F
 
 from kinloom.llm import decontaminate, language_id, neardup, pieces, secrets
 from kinloom.llm.common import bucket_of, shared_dir, table
+from kinloom.scratch import delete
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +67,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, before = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        path = f"{folder}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
