@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from kinloom.functions import text as ft
 from kinloom.functions.scoring import power_mean
 from kinloom.functions.vectors import summed, unit
-from kinloom.operators import catalog, community, graph, insights, layout, pairs, report, search, subgraph, vector_store
+from kinloom.operators import catalog, community, graph, insights, layout, louvain, pairs, report, search, subgraph, vector_store
 from kinloom.schema import COMPLEMENTARITY_WEIGHTS, FEATURES, SIMILARITY_WEIGHTS
 from kinloom.scratch import dense_id, folder, written
 from kinloom.sources import people, store
@@ -412,6 +412,13 @@ def communities_sparse(spark, d):
     return community.detect(strong, ("louvain", "greedy_modularity"))
 
 
+@query()
+def communities_louvain(spark, d):
+    """All people on the table form, contracted to at most 64 communities before the kernel ends it."""
+    strong = graph.above_percentile(written(_edges(spark, d), "edges"), 90).select("src", "dst", "weight")
+    return louvain.communities(written(strong, "strong"), _membership(spark, d).select("node"), kernel_nodes=64)
+
+
 @query()
 def community_selection(spark, d):
     g = written(_label_graph(spark, d), "labels")
