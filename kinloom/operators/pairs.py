@@ -14,12 +14,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinloom.functions.scoring import blended, means
 from kinloom.operators import grid
+from kinloom.operators.components import with_keyed
 from kinloom.schema import COMPLEMENTARITY_WEIGHTS, SIMILARITY_WEIGHTS, Settings
+from kinloom.scratch import written
 
 #: Scores that a pair kernel looks up itself.
 LOOKUP_SCORES = 1_000_000
@@ -184,14 +186,40 @@ def edges(scored: DataFrame, features: Sequence[str], w_s: dict[str, float] | No
     return scored.select("i", "j", a.alias("_a"), b.alias("_b")).select(F.col("i").alias("src"), F.col("j").alias("dst"), blended(F.col("_a"), F.col("_b"), settings).alias("weight"))
 
 
-def jaccard(tags: DataFrame, key: str, column: str) -> DataFrame:
-    """(i, j, jaccard) of the tag sets of all i < j, from shared tags: pairs without one are 0 and left out."""
-    sets = tags.select(key, F.array_distinct(column).alias("_s"))
-    each = sets.select(F.col(key), F.size("_s").alias("n"), F.explode("_s").alias("tag"))
-    a = each.select(F.col(key).alias("i"), F.col("n").alias("_n"), "tag")
-    b = each.select(F.col(key).alias("j"), F.col("n").alias("_m"), "tag")
-    shared = a.join(b, "tag").where("i < j").groupBy("i", "j", "_n", "_m").agg(F.count("*").alias("_k"))
-    return shared.select("i", "j", (F.col("_k") / (F.col("_n") + F.col("_m") - F.col("_k"))).alias("jaccard"))
+#: Rows of one tag that a task meets on either side.
+DEAL = 4096
+
+
+def jaccard(tags: DataFrame, key: str, column: str, threshold: float = 0.0) -> DataFrame:
+    """(i, j, jaccard) of the tag sets of all i < j that share a tag and reach the threshold; pairs that share none are 0 and left out.
+
+    A set join with prefix filter: tags are ordered by frequency, the rarest
+    first; sets of similarity t share one of the first n - ceil(t n) + 1 of
+    their n tags, so only those are joined (all of them for threshold 0, where
+    the shared tags are counted by the join itself). A frequent tag's rows are
+    dealt over a grid of cells of DEAL rows, so none meets in one task.
+    """
+    sets = written(tags.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.array_distinct(column).alias("s")).where(F.size("s") > 0), "sets")
+    each = sets.select("id", F.explode("s").alias("tag"))
+    counts = written(each.groupBy("tag").agg(F.count("*").alias("f")), "tags")
+    total = each.count()
+    rows = with_keyed(each, counts, ["tag"], "f", total)
+    if threshold > 0:
+        sized = sets.select("id", F.size("s").alias("n"))
+        place = F.row_number().over(Window.partitionBy("id").orderBy("f", "tag"))
+        rows = rows.join(sized, "id").withColumn("p", place).where(F.col("p") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).select("id", "tag", "f")
+    rows = written(rows.withColumn("g", F.ceil(F.col("f") / DEAL).cast("int")), "dealt")
+    strip, sides = F.pmod(F.xxhash64("id"), F.col("g")).cast("int"), F.sequence(F.lit(0), F.col("g") - 1)
+    a = rows.select(F.col("id").alias("i"), "tag", strip.alias("a"), F.explode(sides).alias("b"))
+    b = rows.select(F.col("id").alias("j"), "tag", F.explode(sides).alias("a"), strip.alias("b"))
+    met = a.join(b, ["tag", "a", "b"]).where("i < j")
+    one, other = (sets.select(F.col("id").alias(x), F.size("s").alias(f"n{x}"), F.col("s").alias(f"s{x}")) for x in ("i", "j"))
+    if threshold > 0:
+        shared = met.select("i", "j").distinct().join(one, "i").join(other, "j").withColumn("k", F.size(F.array_intersect("si", "sj")))
+    else:
+        shared = met.groupBy("i", "j").agg(F.count("*").alias("k")).join(one.drop("si"), "i").join(other.drop("sj"), "j")
+    found = shared.select("i", "j", (F.col("k") / (F.col("ni") + F.col("nj") - F.col("k"))).alias("jaccard"))
+    return found.where(F.col("jaccard") >= threshold)
 
 
 def jaccard_sum(sets: DataFrame, column: str, count: str) -> DataFrame:

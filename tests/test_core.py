@@ -267,6 +267,23 @@ def test_grid_meets_every_pair_once(spark, monkeypatch):
     assert pairs.similarities(df.limit(0), ["v"]).count() == 0 and pairs.similarities(df.limit(1), ["v"]).count() == 0
 
 
+@pytest.mark.parametrize("deal", [4096, 5])
+def test_jaccard_join_equals_all_pairs(spark, monkeypatch, deal):
+    """A tag that nearly all have, empty and null sets, repeated tags, at several thresholds."""
+    monkeypatch.setattr(pairs, "DEAL", deal)
+    r = np.random.default_rng(3)
+    sets = {i: ["all"] * (i % 9 > 0) + [f"t{x}" for x in r.integers(0, 12, r.integers(0, 6))] for i in range(40)} | {40: ["all", "t1", "t2"], 41: ["t2", "t1", "all"]}
+    df = spark.createDataFrame([*sets.items(), (99, None), (98, [])], "who long, tags array<string>")
+    for t in (0.0, 0.3, 0.5, 0.75, 1.0):
+        want = {}
+        for i, j in itertools.combinations(sets, 2):
+            x, y = set(sets[i]), set(sets[j])
+            if x & y and len(x & y) / len(x | y) >= t:
+                want[i, j] = len(x & y) / len(x | y)
+        got = {(q.i, q.j): q.jaccard for q in pairs.jaccard(df, "who", "tags", t).collect()}
+        assert got == pytest.approx(want), t
+
+
 def test_shuffled_rows_grow_with_the_grids_sides(spark):
     """Each row goes to every strip of the grid once: rows x (sides + 1), not rows x rows / tile."""
     from kinloom.operators import grid
