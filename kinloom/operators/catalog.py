@@ -135,6 +135,38 @@ def job_event(jobs: DataFrame, status: str, at: Column, allowed: tuple[str, ...]
     return own.select("job_id", F.lit(status).alias("status"), at.alias("at"))
 
 
+def created(new: DataFrame, at: Column) -> DataFrame:
+    """First events of new jobs (job_id, user_id, file_id, ...): pending, without progress; a row without an id gets one."""
+    own = new if "job_id" in new.columns else new.withColumn("job_id", F.lit(None).cast("string"))
+    return own.withColumns({"job_id": F.coalesce("job_id", F.expr("uuid()")), "status": F.lit("pending"), "progress": F.lit(0.0), "at": at})
+
+
+def progressed(jobs: DataFrame, updates: DataFrame, at: Column) -> DataFrame:
+    """Events for updates (job_id, progress) of jobs that exist: the status stays, progress is held within 0 and 100."""
+    own = jobs.select("job_id", "status").join(updates.select("job_id", "progress"), "job_id")
+    return own.select("job_id", "status", F.greatest(F.lit(0.0), F.least(F.lit(100.0), "progress")).alias("progress"), at.alias("at"))
+
+
+def moved(jobs: DataFrame, updates: DataFrame, at: Column) -> DataFrame:
+    """Events for updates (job_id, status, message) of jobs that exist; the message stays with failures alone."""
+    own = jobs.select("job_id", "progress").join(updates.select("job_id", "status", "message"), "job_id")
+    return own.select("job_id", "status", "progress", at.alias("at"), F.when(F.col("status") == "failed", F.col("message")).alias("error_message"))
+
+
+def with_results(jobs: DataFrame, results: DataFrame, stored: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
+    """Events that complete the jobs of `results` (job_id, result_data, ...), and the table of results with theirs, a job's last one only."""
+    own = results.join(jobs.select("job_id", "progress"), "job_id")
+    events = own.select("job_id", F.lit("completed").alias("status"), "progress", at.alias("at"), "result_data")
+    kept = stored.join(own.select("job_id"), "job_id", "left_anti")
+    return events, kept.unionByName(own.drop("progress"), allowMissingColumns=True)
+
+
+def without_jobs(events: DataFrame, stored: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events and results without the given jobs (job_id)."""
+    ids = gone.select("job_id").distinct()
+    return events.join(ids, "job_id", "left_anti"), stored.join(ids, "job_id", "left_anti")
+
+
 def cancelled(jobs: DataFrame, at: Column) -> DataFrame:
     """Events that cancel what is still active."""
     return job_event(jobs, "cancelled", at, ACTIVE)

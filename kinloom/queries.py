@@ -808,7 +808,11 @@ def cache_prefix_stats(spark, d):
 @query("SELECT user_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id HAVING arg_max(ts, (ts, event_id)) > (SELECT min(ts) FROM events) + INTERVAL 1 DAY")
 def keyed_upsert(spark, d):
     e = _t(spark, d, "events").select("user_id", "value", "ts", "event_id")
-    last = store.upserted(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), ["user_id"], [F.desc("ts"), F.desc("event_id")])
+    path = f"{folder(spark)}/keyed-{uuid.uuid4().hex}"
+    order = [F.desc("ts"), F.desc("event_id")]
+    store.save_keyed(store.upserted(e.where("event_id % 2 = 0"), e.limit(0), ["user_id"], order), path, ["user_id"])
+    store.upsert_keyed(spark, path, e.where("event_id % 2 = 1"), ["user_id"], order)
+    last = store.load_keyed(spark, path)
     start = e.agg((F.min("ts") + F.expr("INTERVAL 1 DAY")).alias("from"))
     return last.crossJoin(F.broadcast(start)).where("ts > from").select("user_id", "value")
 
@@ -855,6 +859,18 @@ def dedup_mapping(spark, d):
     return search.leaders(rows.select("id"), near)
 
 
+@query("SELECT user_id, event_type AS member FROM events WHERE event_id % 3 <> 0 GROUP BY ALL HAVING count(*) FILTER (event_id % 5 = 0) = 0 AND max(ts) > (SELECT min(ts) + INTERVAL 2 DAY FROM events)")
+def set_members(spark, d):
+    """A stored set table: members are added, some removed, and those not seen for long expire by compaction."""
+    e = _t(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_type").alias("member"), "event_id", F.col("ts").alias("expires_at"))
+    path = f"{folder(spark)}/sets-{uuid.uuid4().hex}"
+    added = e.where("event_id % 3 <> 0").groupBy("key", "member").agg(F.max("expires_at").alias("expires_at"))
+    store.save_keyed(store.set_remove(added, e.where("event_id % 3 <> 0 and event_id % 5 = 0").select("key", "member")), path, ["key", "member"])
+    now = F.lit(e.agg(F.min("expires_at") + F.expr("INTERVAL 2 DAY")).first()[0])
+    store.expire_keyed(spark, path, now)
+    return store.load_keyed(spark, path).select(F.col("key").alias("user_id"), "member")
+
+
 _MAP = "mp AS (SELECT DISTINCT tag, substr(tag, 1, 3) AS umbrella FROM tags WHERE length(tag) > 4)"
 
 
@@ -880,6 +896,31 @@ def llm_reply_parse(spark, d):
     return found.select("event_id", F.col("m")["a"].alias("a"), F.col("m")["b"].alias("b"))
 
 
+_LIFE = (
+    "c AS (SELECT c_custkey, 'job' || c_custkey AS job_id, c_custkey % 4 AS way FROM customer)"
+    ", life AS (SELECT job_id, CASE way WHEN 0 THEN 'pending' WHEN 1 THEN 'running' WHEN 2 THEN 'failed' ELSE 'completed' END AS status, CASE WHEN way = 1 THEN least(1e2, greatest(0e0, c_acctbal / 50)) ELSE 0e0 END AS progress"
+    ", CASE way WHEN 2 THEN 'stopped at ' || c.c_custkey END AS error_message, CASE way WHEN 3 THEN '{\"id\":' || c.c_custkey || '}' END AS result_data FROM c JOIN customer USING (c_custkey) WHERE c.c_custkey % 10 <> 0)"
+)
+
+
+@query(f"WITH {_LIFE} SELECT * FROM life")
+def job_lifecycle(spark, d):
+    """Jobs are created, run and report progress, fail with a message or complete with a result; some are deleted with their results."""
+    c = _t(spark, d, "customer").select("c_custkey", F.concat(F.lit("job"), "c_custkey").alias("job_id"), "c_acctbal", (F.col("c_custkey") % 4).alias("way"))
+    at = lambda hour: F.lit(f"2030-01-01 0{hour}:00:00").cast("timestamp")
+    events = catalog.created(c.select("job_id"), at(0))
+    state = events.select("job_id", "status", "progress")
+    running = catalog.moved(state, c.where("way = 1").select("job_id", F.lit("running").alias("status"), F.lit("ignored").alias("message")), at(1))
+    failed = catalog.moved(state, c.where("way = 2").select("job_id", F.lit("failed").alias("status"), F.concat(F.lit("stopped at "), "c_custkey").alias("message")), at(1))
+    ahead = catalog.progressed(running.select("job_id", "status"), c.where("way = 1").select("job_id", (F.col("c_acctbal") / 50).alias("progress")), at(2))
+    none = c.limit(0).select("job_id", F.lit("").alias("result_data"))
+    done, results = catalog.with_results(state, c.where("way = 3").select("job_id", F.to_json(F.struct(F.col("c_custkey").alias("id"))).alias("result_data")), none, at(1))
+    events = running.unionByName(failed).unionByName(ahead, True).unionByName(done, True).unionByName(events, True).withColumn("seq", F.lit(0))
+    events, results = catalog.without_jobs(written(events, "events"), results, c.where("c_custkey % 10 = 0"))
+    messages = events.where("error_message is not null").select("job_id", "error_message")
+    return catalog.job_state(events).join(messages, "job_id", "left").join(results, "job_id", "left").select("job_id", "status", "progress", "error_message", "result_data")
+
+
 @query(f"WITH {_JOBS} SELECT job_id, CASE WHEN status = 'failed' THEN 'queued' ELSE 'cancelled' END AS status FROM job WHERE status IN ('pending', 'queued', 'running', 'failed')")
 def job_writes(spark, d):
     at = F.lit("2030-01-01").cast("timestamp")

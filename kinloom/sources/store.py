@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinloom.functions.text import content_key
+from kinloom.scratch import delete, dropped, written
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -15,6 +16,60 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column
     return both.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+#: Folders of a stored table by the hash of its keys.
+BUCKETS = 64
+
+
+def _bucketed(rows: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+
+
+def save_keyed(rows: DataFrame, path: str, keys: list[str], buckets: int = BUCKETS) -> None:
+    """A table in folders by the hash of its keys; a bucket's rows are written by one task of its own."""
+    own = _bucketed(rows, keys, buckets)
+    own.repartition(buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def load_keyed(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("bucket")
+
+
+def get_keyed(spark: SparkSession, path: str, wanted: DataFrame, keys: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """The stored rows of the wanted keys; only their buckets are read."""
+    found = [r["bucket"] for r in _bucketed(wanted, keys, buckets).select("bucket").distinct().collect()]
+    return spark.read.parquet(path).where(F.col("bucket").isin(found)).drop("bucket").join(wanted.select(*keys).distinct(), keys, "left_semi")
+
+
+def upsert_keyed(spark: SparkSession, path: str, new: DataFrame, keys: list[str], order: list[Column], buckets: int = BUCKETS) -> None:
+    """Puts rows into a stored table, the last of each key by `order`; buckets without a new key keep their files.
+
+    The touched buckets (their numbers, at most `buckets`, come to the driver)
+    are merged into a table of their own first and then replaced as whole
+    partitions, so a lost executor costs tasks only.
+    """
+    new = written(_bucketed(new, keys, buckets), "upserts")
+    touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]
+    old = spark.read.parquet(path).where(F.col("bucket").isin(touched))
+    _replace(written(upserted(old, new, keys, order), "merged"), path, buckets)
+    dropped(new)
+
+
+def _replace(rows: DataFrame, path: str, buckets: int) -> None:
+    rows.repartition(buckets, "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    dropped(rows)
+
+
+def expire_keyed(spark: SparkSession, path: str, now: Column, expires: str = "expires_at", buckets: int = BUCKETS) -> None:
+    """Compaction: buckets that hold expired rows are written again without them; a bucket that has no other rows goes."""
+    rows = spark.read.parquet(path)
+    counts = rows.groupBy("bucket").agg(F.count_if(F.col(expires) <= now).alias("old"), F.count("*").alias("n")).where("old > 0").collect()
+    mixed, empty = [r["bucket"] for r in counts if r["old"] < r["n"]], [r["bucket"] for r in counts if r["old"] == r["n"]]
+    if mixed:
+        _replace(written(live(rows.where(F.col("bucket").isin(mixed)), now, expires), "live"), path, buckets)
+    for b in empty:
+        delete(spark, f"{path}/bucket={b}")
+
+
 def live(entries: DataFrame, now: Column, expires: str = "expires_at") -> DataFrame:
     return entries.where(F.col(expires).isNull() | (F.col(expires) > now))
 
