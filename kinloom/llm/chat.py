@@ -57,34 +57,31 @@ def linear_tree(rows: DataFrame, conv: str = "conv_id", turn: str = "turn") -> D
 
 
 def ancestors(spark: SparkSession, ids: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Tables k = 0, 1, ... of (t, m, to): message m's 2^k-th ancestor; and those (t, m) whose ancestors never end.
+    """Tables k = 0, 1, ... of (t, m, to, s): message m's 2^k-th ancestor, and the scores of m and those between; and those (t, m) whose ancestors never end.
 
     A tree that has a message of depth d has one of every smaller depth, so
     once a round ends for no message, those left run into a cycle.
     """
     known = ids.select(F.col("tree_id").alias("t"), F.col("msg_id").alias("m"))
-    jump = written(spark, ids.join(known, ids.tree_id.eqNullSafe(known.t) & (ids.parent_id == known.m)).select(F.col("tree_id").alias("t"), F.col("msg_id").alias("m"), F.col("parent_id").alias("to")), "jump")
+    jump = written(spark, ids.join(known, ids.tree_id.eqNullSafe(known.t) & (ids.parent_id == known.m)).select(F.col("tree_id").alias("t"), F.col("msg_id").alias("m"), F.col("parent_id").alias("to"), F.col("score").alias("s")), "jump")
     tables, left = [], None
     while (now := jump.count()) and now != left:
         tables.append(jump)
         left = now
-        hop = jump.select(F.col("t").alias("t2"), F.col("m").alias("m2"), F.col("to").alias("far"))
-        jump = written(spark, jump.join(hop, jump.t.eqNullSafe(hop.t2) & (jump["to"] == hop.m2)).select("t", "m", F.col("far").alias("to")), "jump")
+        hop = jump.select(F.col("t").alias("t2"), F.col("m").alias("m2"), F.col("to").alias("far"), F.col("s").alias("s2"))
+        jump = written(spark, jump.join(hop, jump.t.eqNullSafe(hop.t2) & (jump["to"] == hop.m2)).select("t", "m", F.col("far").alias("to"), (F.col("s") + F.col("s2")).alias("s")), "jump")
     return tables, jump.select("t", "m")
 
 
-def branch_scores(spark: SparkSession, ids: DataFrame, tables: list[DataFrame]) -> DataFrame:
-    """(t, m, total): the scores of a message and all its ancestors, summed by the same doubling: after k rounds over its nearest 2^k."""
-    sums = ids.select(F.col("tree_id").alias("t"), F.col("msg_id").alias("m"), F.col("score").alias("total"))
-    old = None
-    for jump in tables:
-        far = sums.select(F.col("t").alias("t2"), F.col("m").alias("m2"), F.col("total").alias("above"))
-        more = jump.join(far, jump.t.eqNullSafe(far.t2) & (jump["to"] == far.m2)).select(F.col("t").alias("t3"), F.col("m").alias("m3"), "above")
-        now = written(spark, sums.join(more, sums.t.eqNullSafe(F.col("t3")) & (sums.m == F.col("m3")), "left").select("t", "m", (F.col("total") + F.coalesce("above", F.lit(0.0))).alias("total")), "sums")
-        if old is not None:
-            dropped(old)
-        old = sums = now
-    return sums
+def branch_scores(spark: SparkSession, leaves: DataFrame, ids: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """(tree_id, leaf_id, total): the scores of each leaf and all its ancestors; a leaf climbs by the longest reach first, which takes each power of two at most once."""
+    at = written(spark, leaves.select("tree_id", "leaf_id", F.col("leaf_id").alias("msg_id"), F.lit(0.0).alias("total")), "climb")
+    for jump in reversed(tables):
+        old, climbed = at, at.join(jump, at.tree_id.eqNullSafe(jump.t) & (at.msg_id == jump.m), "left")
+        at = written(spark, climbed.select("tree_id", "leaf_id", F.coalesce("to", "msg_id").alias("msg_id"), (F.col("total") + F.coalesce("s", F.lit(0.0))).alias("total")), "climb")
+        dropped(old)
+    root = ids.select(F.col("tree_id").alias("t"), F.col("msg_id").alias("m"), "score")
+    return at.join(root, at.tree_id.eqNullSafe(root.t) & (at.msg_id == root.m)).select("tree_id", "leaf_id", (F.col("total") + F.col("score")).alias("total"))
 
 
 def paths(spark: SparkSession, messages: DataFrame, branches: int | None = None) -> DataFrame:
@@ -98,8 +95,7 @@ def paths(spark: SparkSession, messages: DataFrame, branches: int | None = None)
     same = lambda c: c.tree_id.eqNullSafe(F.col("t")) & (c.msg_id == F.col("m"))
     parents = tables[0].select("t", F.col("to").alias("m")).distinct() if tables else endless
     leaves = ids.where("msg_id is not null").join(parents, same(ids), "left_anti").join(endless, same(ids), "left_anti").select("tree_id", F.col("msg_id").alias("leaf_id"))
-    sums = branch_scores(spark, ids, tables)
-    scored = leaves.join(sums, leaves.tree_id.eqNullSafe(sums.t) & (leaves.leaf_id == sums.m)).select("tree_id", "leaf_id", "total")
+    scored = branch_scores(spark, leaves, ids, tables)
     place = F.row_number().over(Window.partitionBy("tree_id").orderBy(F.desc("total"), "leaf_id"))
     reach = scored.withColumn("branch_rank", place).where(F.lit(True) if branches is None else F.col("branch_rank") <= branches)
     reach = written(spark, reach.select("tree_id", "leaf_id", "branch_rank", F.col("leaf_id").alias("msg_id"), F.lit(0).cast("long").alias("up")), "reach")
@@ -107,7 +103,7 @@ def paths(spark: SparkSession, messages: DataFrame, branches: int | None = None)
         further = reach.join(jump, same(reach)).select("tree_id", "leaf_id", "branch_rank", F.col("to").alias("msg_id"), (F.col("up") + (1 << k)).alias("up"))
         old, reach = reach, written(spark, reach.unionByName(further), "reach")
         dropped(old)
-    dropped(ids, *tables, *([sums] if tables else []))
+    dropped(ids, *tables)
     return reach
 
 
