@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from kinloom.operators import grid
 from kinloom.operators.graph import on_matrix
+from kinloom.scratch import dense_id, dropped, written
 
 
 def held_karp(w: np.ndarray) -> tuple[list[int], float]:
@@ -85,6 +89,56 @@ def shortest_paths(edges: DataFrame) -> DataFrame:
     return on_matrix(edges, kernel, "src long, dst long, distance double")
 
 
+def paths_on_tables(edges: DataFrame) -> DataFrame:
+    """(src, dst, distance) of all connected pairs, as shortest_paths, on a grid of tasks.
+
+    The distance matrix is a table of rows. A round is its min-plus square:
+    two rows meet once on the triangular grid (operators/grid.py) and give the
+    shortest way over any third node, so paths of twice the edges are known
+    after each round and log2 of the longest is enough. A task holds one strip
+    of rows; a row holds a number for each node.
+    """
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    nodes = written(dense_id(ends, ["node"], "at"), "nodes")
+    n, low, high = nodes.count(), *edges.agg(F.min("weight"), F.max("weight")).first()
+    if not n:
+        return edges.select("src", "dst", F.col("weight").alias("distance"))
+    away = 2 - 1.9 * (F.col("weight") - low) / F.lit(high - low) if high > low else F.lit(1.0)
+    a, b = (nodes.select(F.col("node").alias(x), F.col("at").alias(y)) for x, y in (("src", "i"), ("dst", "j")))
+    pairs = edges.join(a, "src").join(b, "dst").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), away.alias("distance"))
+
+    def filled(rows: pd.DataFrame) -> pd.DataFrame:
+        out = np.full(n, np.inf)
+        out[rows["j"]] = rows["distance"]
+        out[rows["i"].iloc[0]] = 0.0
+        return pd.DataFrame({"i": rows["i"].iloc[:1], "row": [out]})
+
+    def prepare(rows: pa.RecordBatch):
+        return rows.column("i").to_numpy(), rows.column("row").flatten().to_numpy().reshape(-1, n)
+
+    def square(left, right, keep):
+        i, j = np.nonzero(keep)
+        old = left[1][:, right[0]][i, j]
+        new = np.stack([(x + right[1]).min(axis=1) for x in left[1]])[i, j]
+        near = np.isfinite(new)
+        return pa.RecordBatch.from_arrays([pa.array(left[0][i][near]), pa.array(right[0][j][near]), pa.array(new[near]), pa.array(new[near] < old[near])], ["i", "j", "distance", "better"])
+
+    sides = grid.strips(n, 8 * n, grid.tasks_of(edges))
+    known = written(pairs.groupBy("i", "j").agg(F.min("distance").alias("distance")), "paths")
+    while True:
+        both = known.select("i", "j", "distance").unionByName(known.select(F.col("j").alias("i"), F.col("i").alias("j"), "distance"))
+        rows = both.groupBy("i").applyInPandas(filled, "i long, row array<double>")
+        strip = F.floor(F.col("i") * sides / F.lit(n))
+        new = written(grid.triangle(rows, strip, sides, ["i"], prepare, square, "i long, j long, distance double, better boolean"), "paths")
+        better = not new.where("better").isEmpty()
+        dropped(known)
+        known = new
+        if not better:
+            break
+    src, dst = (nodes.select(F.col("at").alias(y), F.col("node").alias(x)) for x, y in (("src", "i"), ("dst", "j")))
+    return known.join(src, "i").join(dst, "j").select("src", "dst", "distance")
+
+
 def smacof(d: np.ndarray, seed: int = 42, rounds: int = 300, tolerance: float = 1e-6) -> tuple[np.ndarray, float]:
     """Metric scaling to two dimensions by majorisation: coordinates and raw stress."""
     n = len(d)

@@ -486,6 +486,17 @@ def people_paths(spark, d):
     return layout.shortest_paths(_community(spark, d)[1]).select("src", "dst", F.round("distance", 6).alias("distance"))
 
 
+_SQUARES = _EDGES + ", lim AS (SELECT min(weight) AS lo, max(weight) AS hi FROM edges), e0 AS (SELECT src, dst, 2 - 19e-1 * (weight - lo) / (hi - lo) AS d FROM edges, lim), d0 AS MATERIALIZED (SELECT src AS x, dst AS y, d FROM e0 UNION ALL SELECT dst, src, d FROM e0 UNION ALL SELECT person_id, person_id, 0 FROM p)"
+for _k in range(1, 4):
+    _SQUARES += f", d{_k} AS MATERIALIZED (SELECT a.x, b.y, min(a.d + b.d) AS d FROM d{_k - 1} a JOIN d{_k - 1} b ON a.y = b.x GROUP BY a.x, b.y)"
+
+
+@query(f"WITH {_SQUARES} SELECT x AS src, y AS dst, round(d, 6) AS distance FROM d3 WHERE x < y")
+def all_people_paths(spark, d):
+    """Shortest paths between all people, on tables; the SQL squares the matrix three times (paths of up to eight edges)."""
+    return layout.paths_on_tables(written(_edges(spark, d), "edges")).select("src", "dst", F.round("distance", 6).alias("distance"))
+
+
 @query()
 def people_layout(spark, d):
     return layout.stress_layout(_community(spark, d)[1])

@@ -49,3 +49,23 @@ def test_large_graphs_take_the_table_forms(spark):
     assert members.count() >= 3
     groups = subgraph.subgroups(e, spark.range(24).withColumnRenamed("id", "node"), s).collect()
     assert len({r.community for r in groups}) > 1
+
+
+def test_paths_on_tables_equal_the_dense_kernel(spark, monkeypatch):
+    from kinloom.operators import grid, layout
+
+    monkeypatch.setattr(grid, "TILE", 5)
+    line = np.zeros((23, 23))
+    line[np.arange(22), np.arange(1, 23)] = 1 + np.arange(22) % 3
+    sparse = planted(3, 8, 0.5, 0.05)
+    for w in (line + line.T, sparse, np.triu(np.ones((9, 9)), 1)):
+        w = np.maximum(w, w.T)
+        i, j = np.nonzero(np.triu(w, 1))
+        used = np.unique(np.concatenate([i, j]))
+        low, high = w[i, j].min(), w[i, j].max()
+        d = np.full(w.shape, np.inf)
+        d[i, j] = d[j, i] = 2 - 1.9 * (w[i, j] - low) / (high - low) if high > low else 1.0
+        np.fill_diagonal(d, 0)
+        want = layout.floyd_warshall(d)
+        got = {(r.src, r.dst): r.distance for r in layout.paths_on_tables(edges_of(spark, w)).collect()}
+        assert got == pytest.approx({(a, b): want[a, b] for a in used for b in used if a < b and np.isfinite(want[a, b])})
