@@ -28,7 +28,19 @@ def feature_stats(scored: DataFrame, features: Sequence[str]) -> DataFrame:
     for f in features:
         aggs += [F.avg(f).alias(f"sm_{f}"), F.var_pop(f).alias(f"sv_{f}"), F.avg(f"c_{f}").alias(f"cm_{f}"), F.var_pop(f"c_{f}").alias(f"cv_{f}")]
     row = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"sm_{f}").alias("similarity_mean"), F.col(f"sv_{f}").alias("similarity_variance"), F.col(f"cm_{f}").alias("complementarity_mean"), F.col(f"cv_{f}").alias("complementarity_variance")) for f in features])).alias("x")
-    out = scored.agg(*aggs).select(row).select("x.*")
+    return _labelled(scored.agg(*aggs).select(row).select("x.*"))
+
+
+def stats_of_sums(sums: DataFrame) -> DataFrame:
+    """As feature_stats, from the sums over all pairs (pair_graph.PairGraph.stats): scaling to [0, 1] moves a mean and divides a variance."""
+    n, span = F.col("n"), F.col("high") - F.col("low")
+    var = lambda s, ss: F.greatest(F.col(ss) / n - F.pow(F.col(s) / n, F.lit(2.0)), F.lit(0.0))
+    mean = F.when(span > 0, (F.col("s") / n - F.col("low")) / span).otherwise(0.5)
+    spread = F.when(span > 0, var("s", "ss") / (span * span)).otherwise(0.0)
+    return _labelled(sums.select("feature", mean.alias("similarity_mean"), spread.alias("similarity_variance"), (F.col("c") / n).alias("complementarity_mean"), var("c", "cc").alias("complementarity_variance")))
+
+
+def _labelled(out: DataFrame) -> DataFrame:
     return out.withColumns({"diversity_level": _label(F.col("similarity_mean"), DIVERSITY, "very_high"), "complementarity_potential": _label(F.col("complementarity_mean"), POTENTIAL, "limited"), "homogeneity_score": F.col("similarity_mean") * (1 - F.col("similarity_variance"))})
 
 
