@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinloom.operators import catalog, graph, insights, pairs, subgraph, vector_store
+from kinloom import queries
+from kinloom.operators import catalog, community, graph, insights, pair_graph, pairs, subgraph, vector_store
 from kinloom.plans.analysis import PeopleGraph
 from kinloom.plans.plugins import HashedWords, scored_by, selected
 from kinloom.schema import ESSENTIAL, OPTIONAL, Settings
@@ -143,3 +144,43 @@ def test_whole_report(spark, tmp_path):
         assert counts["replication"] and counts["centroid_report"] and counts["communities"] in (0, n)  # 0: no method divides the graph
         assert ("layout" in out) == (n <= s.dense_nodes)
     assert all(r.line.startswith(f"{r.rank}. ") for r in out["importance_report"].collect())
+
+
+def _all_minima(distance, clusters):
+    """Average linkage that looks at all pairs in every step."""
+    groups = [[x] for x in range(len(distance))]
+    while len(groups) > clusters:
+        _, a, b = min((np.mean([distance[x, y] for x in p for y in q]), a, b) for a, p in enumerate(groups) for b, q in enumerate(groups) if a < b)
+        groups[a] += groups.pop(b)
+    return sorted(map(sorted, groups))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_linkage_by_row_minima_equals_all_pairs(seed):
+    d = np.random.default_rng(seed).random((23, 23))
+    d = np.triu(d, 1) + np.triu(d, 1).T
+    for k, labels in zip((2, 5, 9), community.linkage_levels(d, [2, 5, 9]), strict=True):
+        assert sorted([np.flatnonzero(labels == c).tolist() for c in range(k)]) == _all_minima(d, k)
+
+
+def test_leading_vectors_without_all_of_them(monkeypatch):
+    r = np.random.default_rng(3)
+    w = np.kron(np.eye(4), np.ones((30, 30))) + 0.05 * r.random((120, 120))
+    w = w + w.T
+    exact = community.leading(w, 4)
+    monkeypatch.setattr(community, "EIGEN_NODES", 50)
+    monkeypatch.setattr(community, "EIGEN_STEPS", 60)
+    assert np.linalg.svd(exact.T @ community.leading(w, 4))[1] == pytest.approx(np.ones(4), abs=1e-6)
+
+
+def test_communities_of_pairs_are_those_of_the_edges_without_an_edge_table(spark, sf, monkeypatch):
+    own = queries._graph(spark, sf).only(spark.range(60).withColumnRenamed("id", "node"))
+    for above in (0.3, 0.9):
+        want = [sorted(map(tuple, x.collect())) for x in subgraph.communities(own.edges(), own.rows.selectExpr("id AS node"), Settings(dense_above=above))]
+        with monkeypatch.context() as m:
+            m.setattr(pair_graph.PairGraph, "edges", lambda *_: pytest.fail("edges as rows"))
+            m.setattr(pair_graph.PairGraph, "blocks", lambda *_: pytest.fail("pairs of communities as rows"))
+            got = [sorted(map(tuple, x.collect())) for x in subgraph.communities_of_pairs(own, Settings(dense_above=above))]
+        assert got[0] == want[0]
+        assert [r[::2] for r in got[1]] == [r[::2] for r in want[1]]
+        assert [r[1] for r in got[1]] == pytest.approx([r[1] for r in want[1]])
