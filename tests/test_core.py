@@ -284,6 +284,49 @@ def test_jaccard_join_equals_all_pairs(spark, monkeypatch, deal):
         assert got == pytest.approx(want), t
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_crowded_jaccard_shuffles_no_pairs(spark, monkeypatch, kind):
+    """Frequent tags (as jaccard_pairs): the kernel finds what the join finds, without the join."""
+    r = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, [f"t{x}" for x in r.integers(0, 6, 4)] + [None] * (i % 5 == 0)) for i in range(60)], "who long, tags array<string>").selectExpr(f"cast(who AS {kind}) AS who", "tags")
+    found = []
+    for crowded in (0, 32):
+        monkeypatch.setattr(pairs, "CROWDED", crowded)
+        out = pairs.jaccard(df, "who", "tags")
+        assert ("Join" in out._jdf.queryExecution().executedPlan().toString()) == (crowded == 0)
+        found.append({(q.i, q.j): q.jaccard for q in out.collect()})
+    assert found[1] == pytest.approx(found[0]) and len(found[0]) > 1000
+
+
+def test_nearest_orders_few_scores(monkeypatch):
+    """The k best are those of all scores, ties by id, but only scores that may be among them are ordered."""
+    r, seen, sort = np.random.default_rng(6), [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys, axis=-1: seen.append(np.asarray(keys[0]).size) or sort(keys, axis=axis))
+    for x in (r.standard_normal((3000, 6)), r.integers(-3, 4, (3000, 6)).astype(float)):
+        for least in (None, 3.0):
+            cell = search._Nearest(0, 5, least)
+            tiles = [pa.RecordBatch.from_arrays([pa.array(np.arange(s, min(s + 256, 3000))), pa.array(list(x[s : s + 256]))], ["id", "vector"]) for s in range(0, 3000, 256)]
+            for side in (cell.left, cell.right):
+                for t in tiles:
+                    list(side(t) or ())
+            got = sorted((q, i) for b in cell.end() for q, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+            scores = np.round(x @ x.T, 10)
+            np.fill_diagonal(scores, -np.inf)
+            best = sort((np.broadcast_to(np.arange(3000), scores.shape), -scores), axis=1)[:, :5]
+            assert got == sorted((q, int(i)) for q in range(3000) for i in best[q] if least is None or scores[q, i] >= least)
+    assert sum(seen) < 4 * 3000 * 3000 / 3
+
+
+def test_dedup_mapping_makes_no_rows_of_far_pairs(spark, sf, monkeypatch):
+    from kinloom import queries
+
+    rows = queries._rows(spark, sf).withColumnRenamed("id", "person_id")
+    want = pairs.similarities(rows, ["vector"]).where("vector >= 0.3").select("i", "j").collect()
+    assert sorted(pairs.near(rows, "vector", 0.3).collect()) == sorted(want) and want
+    monkeypatch.setattr(pairs, "similarities", lambda *_, **__: pytest.fail("all pairs as rows"))
+    assert queries.QUERIES["dedup_mapping"](spark, sf).count() == rows.count()
+
+
 def test_shuffled_rows_grow_with_the_grids_sides(spark):
     """Each row goes to every strip of the grid once: rows x (sides + 1), not rows x rows / tile."""
     from kinloom.operators import grid
