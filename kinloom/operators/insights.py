@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinloom.operators import grid
 from kinloom.operators.pairs import cross_scores
 from kinloom.scratch import written
 
@@ -89,6 +93,74 @@ def dense_rows(weights: DataFrame, every: DataFrame, key: str, terms: int = 100)
     return own.select(key, F.transform("names", lambda t: F.coalesce(F.try_element_at(F.col("m"), t), F.lit(0.0))).alias("vector"))
 
 
+#: Terms of one word of a document's mask.
+MASK_BITS = 62
+
+
+def pair_sums(weights: DataFrame, key: str, terms: int = 100) -> DataFrame:
+    """(pairs, total) of TF-IDF rows (key, term, weight > 0): how many pairs of documents share a term, and the sum of the inner products of all pairs.
+
+    The sum follows from the terms' sums. Pairs are counted by the documents'
+    distinct sets of terms, as masks: those that share none are counted on the
+    grid, where tiles of like masks are mostly decided by what all or any of
+    their rows have.
+    """
+    squares = weights.where(F.col(key).isNotNull()).groupBy("term").agg(F.sum("weight").alias("s"), F.sum(F.col("weight") * F.col("weight")).alias("ss"), F.count("*").alias("n"))
+    squares = written(squares, "sums")
+    total = squares.agg(((F.sum(F.col("s") * F.col("s")) - F.sum("ss")) / 2).alias("total"))
+    words = -(-terms // MASK_BITS)
+    # the most frequent terms stand first, so that sorted masks agree in them
+    place = F.broadcast(squares.select("term", (F.row_number().over(Window.orderBy(F.desc("n"), "term")) - 1).alias("at")))  # a row for each of the terms
+    bit = F.expr(f"shiftleft(1L, cast({MASK_BITS - 1} - at % {MASK_BITS} AS int))")
+    names = [f"m{k}" for k in range(words)]
+    masks = weights.where(F.col(key).isNotNull()).join(place, "term").groupBy(key).agg(*[F.bit_or(F.when(F.floor(F.col("at") / MASK_BITS) == k, bit).otherwise(F.lit(0).cast("long"))).alias(n) for k, n in enumerate(names)])
+    masks = written(masks.groupBy(*names).agg(F.count("*").alias("k")), "masks")
+    sides = grid.strips(masks.count(), 8 * (words + 1), grid.tasks_of(masks))
+    apart = grid.triangle_cells(masks, F.pmod(F.xxhash64(*names), F.lit(sides)), sides, names, lambda n: _Apart(n, names), "apart long").agg(F.coalesce(F.sum("apart"), F.lit(0)).alias("apart"))
+    docs = masks.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("d"))
+    shared = (F.col("d") * (F.col("d") - 1) / 2).cast("long") - F.col("apart")
+    return docs.crossJoin(apart).crossJoin(total).select(shared.alias("pairs"), "total")
+
+
+class _Apart(grid.Cell):
+    """How many pairs of documents have masks without a common bit; rows are distinct masks, k documents each."""
+
+    def __init__(self, number: int, names: list[str]):
+        super().__init__(number)
+        b = (math.isqrt(8 * number + 1) - 1) // 2
+        self.diagonal = number == b * (b + 1) // 2 + b
+        self.names, self.held, self.joined, self.apart = names, [], None, 0
+
+    def tile(self, rows):
+        m = np.stack([rows.column(n).to_numpy() for n in self.names])
+        return m, rows.column("k").to_numpy()
+
+    def left(self, rows):
+        self.held.append(self.tile(rows))
+
+    def right(self, rows):
+        if self.joined is None:
+            self.joined = [np.stack(x, axis=1) for x in ([np.bitwise_and.reduce(m, axis=1) for m, _ in self.held], [np.bitwise_or.reduce(m, axis=1) for m, _ in self.held])] + [np.array([k.sum() for _, k in self.held])] if self.held else []
+        if self.held:
+            m, k = self.tile(rows)
+            every, some, sizes = self.joined
+            meet = ((every & np.bitwise_and.reduce(m, axis=1)[:, None]) != 0).any(axis=0)
+            never = ((some & np.bitwise_or.reduce(m, axis=1)[:, None]) == 0).all(axis=0)
+            self.apart += int(sizes[never].sum()) * int(k.sum())
+            for at in np.flatnonzero(~meet & ~never).tolist():
+                x, n = self.held[at]
+                free = (x[0][:, None] & m[0][None, :]) == 0
+                for a, b in zip(x[1:], m[1:], strict=True):
+                    free &= (a[:, None] & b[None, :]) == 0
+                i, j = np.nonzero(free)
+                self.apart += int((n[i] * k[j]).sum())
+        return iter(())
+
+    def end(self):
+        # a strip that meets itself meets each pair twice, and no mask is apart from itself
+        yield pa.RecordBatch.from_arrays([pa.array([self.apart // 2 if self.diagonal else self.apart], pa.int64())], ["apart"])
+
+
 def live_scores(scores: DataFrame, profiles: DataFrame) -> DataFrame:
     """Scores (category, target, comparison, score) whose two profiles (feature, profile) still exist."""
     live = profiles.select(F.col("feature").alias("category"), F.col("profile").alias("target")).distinct()

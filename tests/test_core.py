@@ -317,6 +317,28 @@ def test_nearest_orders_few_scores(monkeypatch):
     assert sum(seen) < 4 * 3000 * 3000 / 3
 
 
+def test_tfidf_pairs_are_counted_by_masks(spark, monkeypatch):
+    """The pairs that share a term and the sum of their products, as by all pairs, while few masks meet."""
+    from kinloom.operators import insights
+
+    monkeypatch.setattr(insights, "MASK_BITS", 7)
+    monkeypatch.setattr(insights.grid, "TILE", 9)
+    r = np.random.default_rng(12)
+    w = r.random((160, 18)) * (r.random((160, 18)) < 0.12)
+    w[:40, 9:] = 0
+    w[40:80, :9] = 0
+    w[5:9] = w[4]
+    df = spark.createDataFrame([(int(i), f"t{j}", float(w[i, j])) for i, j in zip(*np.nonzero(w), strict=True)], "doc_id long, term string, weight double")
+    both = (w @ w.T)[np.triu_indices(160, 1)]
+    found = insights.pair_sums(df, "doc_id", 18).first()
+    assert found["pairs"] == (both > 0).sum() and found["total"] == pytest.approx(both.sum())
+    assert tuple(insights.pair_sums(df.limit(0), "doc_id", 18).first()) == (0, None)
+    monkeypatch.setattr(pairs, "threshold_sums", lambda *_, **__: pytest.fail("all pairs met"))
+    from kinloom import queries
+
+    assert queries.QUERIES["tfidf_similarity"](spark, "/root/testdata/sf0.001").count() == 1
+
+
 def test_dedup_mapping_makes_no_rows_of_far_pairs(spark, sf, monkeypatch):
     from kinloom import queries
 
