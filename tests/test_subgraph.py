@@ -184,3 +184,24 @@ def test_communities_of_pairs_are_those_of_the_edges_without_an_edge_table(spark
         assert got[0] == want[0]
         assert [r[::2] for r in got[1]] == [r[::2] for r in want[1]]
         assert [r[1] for r in got[1]] == pytest.approx([r[1] for r in want[1]])
+
+
+def test_communities_of_groups_are_those_of_each_and_leave_no_row_out(spark, sf):
+    every = queries._graph(spark, sf)
+    groups = spark.range(90).selectExpr("id AS node", "IF(id < 50, 7L, 3L) AS `group`")
+    for above in (0.3, 0.9):
+        found, scores = (x.collect() for x in subgraph.communities_of_groups(every, groups, Settings(dense_above=above)))
+        for g in (3, 7):
+            own = every.only(groups.where(f"`group` = {g}"))
+            want = [sorted(map(tuple, x.collect())) for x in subgraph.communities_of_pairs(own, Settings(dense_above=above))]
+            assert sorted((r.method, r.node, r.community) for r in found if r.group == g) == want[0]
+            got = sorted((r.method, r.score, r.chosen) for r in scores if r.group == g)
+            assert [r[::2] for r in got] == [r[::2] for r in want[1]]
+            assert [r[1] for r in got] == pytest.approx([r[1] for r in want[1]])
+
+
+def test_people_communities_divide_all_people(spark, sf):
+    found = queries.QUERIES["people_communities"](spark, sf)
+    assert found.select("node").distinct().count() == 500
+    assert found.groupBy("node").count().where("count <> 4").isEmpty()
+    assert found.where("chosen").select("label").distinct().count() == 10
