@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinloom import queries
-from kinloom.operators import catalog, community, graph, insights, pair_graph, pairs, subgraph, vector_store
+from kinloom.operators import catalog, community, graph, insights, layout, pair_graph, pairs, subgraph, vector_store
 from kinloom.plans.analysis import PeopleGraph
 from kinloom.plans.plugins import HashedWords, scored_by, selected
 from kinloom.schema import ESSENTIAL, OPTIONAL, Settings
@@ -205,3 +205,26 @@ def test_people_communities_divide_all_people(spark, sf):
     assert found.select("node").distinct().count() == 500
     assert found.groupBy("node").count().where("count <> 4").isEmpty()
     assert found.where("chosen").select("label").distinct().count() == 10
+
+
+def test_the_layout_on_tables_is_that_of_the_matrix(spark, sf):
+    own = queries._graph(spark, sf).only(spark.range(45).withColumnRenamed("id", "node"))
+    want = {r.node: (r.x, r.y, r.stress) for r in layout.stress_layout(own.edges()).collect()}
+    for dense in (10_000, 10):
+        got = {r.node: (r.x, r.y, r.stress) for r in layout.stress_layout_of_pairs(own, dense, rounds=300).collect()}
+        assert got.keys() == want.keys()
+        assert [got[k] for k in sorted(got)] == [pytest.approx(want[k], abs=1e-6) for k in sorted(want)]
+
+
+@pytest.mark.parametrize("name", ["people_paths", "people_layout", "people_subgroups"])
+def test_people_of_a_label_without_an_edge_table(spark, sf, monkeypatch, name):
+    monkeypatch.setattr(pair_graph.PairGraph, "edges", lambda *_, **__: pytest.fail("edges as rows"))
+    assert not queries.QUERIES[name](spark, sf).isEmpty()
+
+
+def test_subgroups_of_pairs_are_those_of_the_edges(spark, sf):
+    own = queries._graph(spark, sf).only(spark.range(60).withColumnRenamed("id", "node"))
+    nodes, edges = own.rows.selectExpr("id AS node"), subgraph.written(own.edges(), "edges")
+    for most in (10_000, 10):
+        want = sorted(map(tuple, subgraph.subgroups(edges, nodes, Settings(dense_nodes=most)).collect()))
+        assert sorted(map(tuple, subgraph.subgroups_of_pairs(own, Settings(dense_nodes=most)).collect())) == want
